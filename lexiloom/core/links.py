@@ -15,31 +15,34 @@ from lexiloom.core.storage import materialize
 BLOCK = 2000
 
 
-def member_pairs(links: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Expand class links into pairs of member ids.
+def expand_links(links: DataFrame, left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows of ``left(class, ...)`` with rows of ``right(class, ...)`` along links.
 
-    ``links(class_a, class_b)`` may hold a class with itself; ``members(class,
-    id)``.  Returns distinct ``(id_a, id_b)`` with ``id_a < id_b``.  Members of
-    a class are cut into blocks of about ``block`` ids, and a link becomes one
-    row for each block of its first side, so a huge class spreads over tasks.
+    ``links(class_a, class_b)``: ``class_a`` names classes of ``left``.  The
+    other columns of both sides must differ in name.  A class of ``left`` is cut
+    into blocks of about ``block`` rows and each link becomes one row for each
+    block, so a huge class spreads over tasks.
     """
-    sizes = members.groupBy("class").agg(F.count("*").alias("n"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
-    left = (
-        members.join(sizes, "class")
-        .select(
-            F.col("class").alias("class_a"),
-            F.pmod(F.xxhash64("id"), blocks).cast("int").alias("part"),
-            F.col("id").alias("id_l"),
-        )
+    sizes = left.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    parted = left.join(sizes, "class").withColumn(
+        "part", F.pmod(F.xxhash64(*[c for c in left.columns if c != "class"]), F.col("parts")).cast("int")
     )
-    spread = (
-        links.join(sizes.select(F.col("class").alias("class_a"), blocks.alias("parts")), "class_a")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("class_a", "class_b", "part")
+    spread = links.join(sizes.withColumnRenamed("class", "class_a"), "class_a").select(
+        "class_a", "class_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
-    right = members.select(F.col("class").alias("class_b"), F.col("id").alias("id_r"))
-    both = spread.join(left, ["class_a", "part"]).join(right, "class_b").where("id_l <> id_r")
+    mine = parted.drop("parts").withColumnRenamed("class", "class_a")
+    return spread.join(mine, ["class_a", "part"]).join(right.withColumnRenamed("class", "class_b"), "class_b")
+
+
+def member_pairs(links: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Expand class links into distinct pairs ``(id_a, id_b)``, ``id_a < id_b``.
+
+    ``links(class_a, class_b)`` may hold a class with itself; ``members(class,
+    id)``.
+    """
+    both = expand_links(
+        links, members.withColumnRenamed("id", "id_l"), members.withColumnRenamed("id", "id_r"), block
+    ).where("id_l <> id_r")
     return both.select(
         F.least("id_l", "id_r").alias("id_a"), F.greatest("id_l", "id_r").alias("id_b")
     ).distinct()
