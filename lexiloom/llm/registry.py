@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom.core.tables import load
-from lexiloom.llm import canonical, near_duplicates
+from lexiloom.llm import canonical, near_duplicates, shared_spans
 
 _TEXTS = ("title", "abstract")
 
@@ -33,5 +33,22 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("cand_id", *_TEXTS).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_canonical": p4_canonical}
+def _span_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return (
+        load(spark, sf_dir, "candidates", "cand_id", "abstract"),
+        load(spark, sf_dir, "segments", "seg_id", "cand_id", "source_paragraph", "candidate_snippet"),
+    )
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that share at least 120 characters."""
+    return shared_spans.shared_pairs(*_span_tables(spark, sf_dir))
+
+
+def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each abstract, paragraph and snippet occurs elsewhere."""
+    return shared_spans.shared_report(*_span_tables(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_shared": p5_shared}
 ORACLE: dict[str, str] = {}
