@@ -9,8 +9,8 @@ operations, estimate the similarity corrected for chance agreement.  Pairs
 whose estimate reaches the threshold less a margin of standard errors are
 checked exactly on the word hashes.
 
-Scale.  The word hashes are shuffled once by class (with the map side already
-merging copies), the band rows once by key.  No group is collected: pairs of a
+Scale.  The texts are tokenized once; their word hashes are written to the
+shared folder and shuffled once by class, the band rows once by key.  No group is collected: pairs of a
 band come from a sort-merge join, which adaptive execution can split on hot
 keys, and a set-size test inside the join drops pairs that cannot qualify.
 
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexiloom.core.links import components, member_pairs
+from lexiloom.core.storage import materialize
 from lexiloom.llm.words import WordHasher, words_of
 
 MINIMA, ROWS, ROUNDS, BITS = 128, 8, 4, 2
@@ -73,22 +74,21 @@ def packed(low: np.ndarray) -> np.ndarray:
     return (bits << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-def _tokenized(batches: Iterator[pa.RecordBatch], min_words: int, whole: bool) -> Iterator[pa.RecordBatch]:
+def _tokenized(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     for batch in batches:
         ids, classes, blobs = [], [], []
         texts = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
         for i, *fields in zip(batch.column(0).to_pylist(), *texts, strict=True):
             hashes = hasher(words_of(*fields))
-            if len(hashes) >= max(1, min_words):
+            if i is not None and len(hashes) >= max(1, min_words):
                 blob = hashes.tobytes()
                 ids.append(i)
                 classes.append(xxhash.xxh3_64_intdigest(blob) - 2**63)
                 blobs.append(blob)
-        if whole:
-            yield pa.RecordBatch.from_pydict({"class": pa.array(classes, pa.int64()), "words": pa.array(blobs, pa.binary())})
-        else:
-            yield pa.RecordBatch.from_pydict({"class": pa.array(classes, pa.int64()), "id": pa.array(ids, batch.schema.field(0).type)})
+        yield pa.RecordBatch.from_pydict({
+            "id": pa.array(ids, batch.schema.field(0).type), "class": pa.array(classes, pa.int64()), "words": pa.array(blobs, pa.binary()),
+        })
 
 
 def _blocks(batch: pa.RecordBatch, size: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -114,7 +114,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _blocks(batch):
             sig = packed(minima(sets))
             cols = {f"s{k}": pa.array(np.ascontiguousarray(sig[:, k])) for k in range(sig.shape[1])}
-            yield pa.RecordBatch.from_pydict({"class": part.column("class"), **cols, "words": part.column("words")})
+            yield pa.RecordBatch.from_pydict({"class": part.column("class"), **cols})
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +124,10 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist(), strict=True)
         ]
         yield pa.RecordBatch.from_pydict({
-            "class_a": batch.column("class_a"), "class_b": batch.column("class_b"), "n_a": batch.column("n_a"),
-            "n_b": batch.column("n_b"), "common": pa.array(common, pa.int32()),
+            "class_a": batch.column("class_a"), "class_b": batch.column("class_b"),
+            "n_a": pa.array([len(x) // 4 for x in batch.column("words_a").to_pylist()], pa.int32()),
+            "n_b": pa.array([len(x) // 4 for x in batch.column("words_b").to_pylist()], pa.int32()),
+            "common": pa.array(common, pa.int32()),
         })
 
 
@@ -140,25 +142,21 @@ def equal_positions(words: int) -> Column:
     return F.lit(MINIMA) - total
 
 
-def classes(df: DataFrame, key: str, fields: tuple[str, ...], min_words: int) -> DataFrame:
-    """``(class, id)`` of the records with at least ``min_words`` words."""
+def word_sets(df: DataFrame, key: str, fields: tuple[str, ...], min_words: int) -> DataFrame:
+    """``(id, class, words)`` of the records with at least ``min_words`` words.
+
+    Written to the shared folder once: every later step reads the hashes (four
+    bytes a word) instead of tokenizing the texts again.
+    """
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *fields).mapInArrow(
-        lambda it: _tokenized(it, min_words, False), f"class long, id {kind}"
-    ).distinct()
+    rows = df.select(key, *fields).mapInArrow(lambda it: _tokenized(it, min_words), f"id {kind}, class long, words binary")
+    return materialize(rows, "word-sets")
 
 
-def class_links(
-    df: DataFrame, key: str, fields: tuple[str, ...], threshold: float, min_words: int, sigmas: float = 4.5
-) -> DataFrame:
+def class_links(sets: DataFrame, threshold: float, sigmas: float = 4.5) -> DataFrame:
     """Verified links ``(class_a, class_b, similarity)`` between different word sets."""
-    distinct = (
-        df.select(key, *fields)
-        .mapInArrow(lambda it: _tokenized(it, min_words, True), "class long, words binary")
-        .groupBy("class")
-        .agg(F.first("words").alias("words"))
-    )
-    rows = distinct.select("class", "words").mapInArrow(_banded, "key long, class long, n int")
+    distinct = sets.groupBy("class").agg(F.first("words").alias("words"))
+    rows = distinct.mapInArrow(_banded, "key long, class long, n int")
     left = rows.select("key", F.col("class").alias("class_a"), F.col("n").alias("n_a"))
     right = rows.select("key", F.col("class").alias("class_b"), F.col("n").alias("n_b"))
     candidates = (
@@ -168,24 +166,26 @@ def class_links(
         .select("class_a", "class_b")
         .distinct()
     )
-    words = 64 * MINIMA * BITS // 64 // 64
-    schema = "class long, " + ", ".join(f"s{k} long" for k in range(words)) + ", words binary"
-    signed = distinct.select("class", "words").mapInArrow(_signed, schema)
+    words = MINIMA * BITS // 64
+    signed = distinct.mapInArrow(_signed, "class long, " + ", ".join(f"s{k} long" for k in range(words)))
 
-    def side(x: str) -> DataFrame:
-        return signed.select(*(F.col(c).alias(f"{c}_{x}") for c in signed.columns))
+    def side(of: DataFrame, x: str) -> DataFrame:
+        return of.select(*(F.col(c).alias(f"{c}_{x}") for c in of.columns))
 
     # estimate = (share of equal positions - chance) / (1 - chance)
     chance = 2.0**-BITS
     expected = threshold + (1 - threshold) * chance
     margin = sigmas * (expected * (1 - expected) / MINIMA) ** 0.5
     near = (
-        candidates.join(side("a"), "class_a").join(side("b"), "class_b")
+        candidates.join(side(signed, "a"), "class_a").join(side(signed, "b"), "class_b")
         .where(equal_positions(words) >= MINIMA * (expected - margin))
-        .select("class_a", "class_b", "words_a", "words_b",
-                (F.octet_length("words_a") / 4).cast("int").alias("n_a"), (F.octet_length("words_b") / 4).cast("int").alias("n_b"))
-    )
-    exact = near.mapInArrow(_exact, "class_a long, class_b long, n_a int, n_b int, common int")
+        .select("class_a", "class_b")
+    )
+    exact = (
+        near.join(side(distinct, "a"), "class_a").join(side(distinct, "b"), "class_b")
+        .select("class_a", "class_b", "words_a", "words_b")
+        .mapInArrow(_exact, "class_a long, class_b long, n_a int, n_b int, common int")
+    )
     similarity = F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
     return exact.select("class_a", "class_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -198,8 +198,9 @@ def near_duplicate_pairs(
     Copies of one word set are similar to each other and to all partners of the
     set; their pairs are written out, as the form of the result asks.
     """
-    members = classes(df, key, fields, min_words)
-    links = class_links(df, key, fields, threshold, min_words).select("class_a", "class_b")
+    sets = word_sets(df, key, fields, min_words)
+    members = sets.select("class", "id").distinct()
+    links = class_links(sets, threshold).select("class_a", "class_b")
     alike = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
     within = alike.select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
     return member_pairs(links.union(within), members)
@@ -214,8 +215,9 @@ def near_duplicate_groups(
     links or by equal word sets); ``n_links`` counts the different word sets the
     record's own is linked to.  A record without partners is its own group.
     """
-    members = classes(df, key, fields, min_words)
-    links = class_links(df, key, fields, threshold, min_words)
+    sets = word_sets(df, key, fields, min_words)
+    members = sets.select("class", "id").distinct()
+    links = materialize(class_links(sets, threshold), "links")
     labels = components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
     degree = (
         links.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
