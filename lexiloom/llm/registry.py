@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom.core.tables import load
-from lexiloom.llm import canonical, near_duplicates, shared_spans
+from lexiloom.llm import canonical, near_duplicates, packing, reading_level, shared_spans, token_ids
 
 _TEXTS = ("title", "abstract")
 
@@ -50,5 +50,39 @@ def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_report(*_span_tables(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_shared": p5_shared}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every review text by byte_bpe_50k."""
+    return token_ids.encode_corpus(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document part with its container."""
+    documents = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    sized = token_ids.count_tokens(documents.select("doc_id", "text")).join(documents.select("doc_id", "lang").dropDuplicates(["doc_id"]), "doc_id")
+    return packing.pack(sized, load(spark, sf_dir, "pack_limits"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each language are."""
+    return packing.fill_report(p7_packed(spark, sf_dir), load(spark, sf_dir, "pack_limits"))
+
+
+def _level_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return load(spark, sf_dir, "documents", "doc_id", "text", "lang"), load(spark, sf_dir, "level_labels")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text as a whole is at level advanced."""
+    return reading_level.advanced_documents(*_level_tables(spark, sf_dir))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimated level of every document."""
+    return reading_level.reading_levels(*_level_tables(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_groups, p4_found, p4_canonical, p5_found, p5_shared, p6_ids, p7_packed, p7_fill, p8_found, p8_levels)
+}
 ORACLE: dict[str, str] = {}
