@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom.core.tables import load
-from lexiloom.llm import canonical, near_duplicates, packing, reading_level, shared_spans, token_ids
+from lexiloom.llm import canonical, near_duplicates, packing, reading_level, shared_spans, token_ids, truncation
 
 _TEXTS = ("title", "abstract")
 
@@ -22,6 +22,24 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumnRenamed("id", "cand_id")
 
 
+def _cut_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    abstracts = load(spark, sf_dir, "candidates", "cand_id", "source", "abstract")
+    bodies = load(spark, sf_dir, "papers", "doc_id", "parse_source", "body")
+    return abstracts.select(F.lit("candidates").alias("tbl"), F.col("cand_id").alias("rec_key"), F.col("source").alias("origin"), F.col("abstract").alias("text")).union(
+        bodies.select(F.lit("papers"), "doc_id", "parse_source", "body")
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates' abstracts and papers' bodies that were cut off."""
+    return truncation.judged(_cut_records(spark, sf_dir)).where("is_cut").select("tbl", "rec_key")
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of cuts for each source and parse_source."""
+    return truncation.cut_rates(truncation.judged(_cut_records(spark, sf_dir)))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates' fields that hold a look-alike or invisible character."""
     return canonical.unstable_fields(load(spark, sf_dir, "candidates", "cand_id", *_TEXTS), "cand_id", *_TEXTS)
@@ -83,6 +101,6 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p4_found, p4_canonical, p5_found, p5_shared, p6_ids, p7_packed, p7_fill, p8_found, p8_levels)
+    for f in (p1_found, p1_groups, p3_found, p3_rates, p4_found, p4_canonical, p5_found, p5_shared, p6_ids, p7_packed, p7_fill, p8_found, p8_levels)
 }
 ORACLE: dict[str, str] = {}
