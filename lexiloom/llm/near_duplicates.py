@@ -155,7 +155,8 @@ def word_sets(df: DataFrame, key: str, fields: tuple[str, ...], min_words: int)
 
 def class_links(sets: DataFrame, threshold: float, sigmas: float = 4.5) -> DataFrame:
     """Verified links ``(class_a, class_b, similarity)`` between different word sets."""
-    distinct = sets.groupBy("class").agg(F.first("words").alias("words"))
+    # the filter, which the joins would add, makes all uses share one exchange
+    distinct = sets.where("class is not null").groupBy("class").agg(F.first("words").alias("words"))
     rows = distinct.mapInArrow(_banded, "key long, class long, n int")
     left = rows.select("key", F.col("class").alias("class_a"), F.col("n").alias("n_a"))
     right = rows.select("key", F.col("class").alias("class_b"), F.col("n").alias("n_b"))
