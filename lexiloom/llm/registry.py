@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom.core.tables import load
-from lexiloom.llm import canonical, near_duplicates, packing, reading_level, shared_spans, token_ids, truncation
+from lexiloom.llm import canonical, entity_match, near_duplicates, packing, reading_level, shared_spans, token_ids, truncation
 
 _TEXTS = ("title", "abstract")
 
@@ -22,6 +22,17 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumnRenamed("id", "cand_id")
 
 
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutually nearest pairs of candidates and catalogue records with confidence."""
+    attributes = ("title", "authors", "year", "url")
+    return entity_match.matches(load(spark, sf_dir, "candidates", "cand_id", *attributes), load(spark, sf_dir, "catalog_records", "rec_id", *attributes))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and catalogue records that describe the same work."""
+    return p2_matches(spark, sf_dir).where("confidence >= 0.5").select("cand_id", "rec_id")
+
+
 def _cut_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     abstracts = load(spark, sf_dir, "candidates", "cand_id", "source", "abstract")
     bodies = load(spark, sf_dir, "papers", "doc_id", "parse_source", "body")
@@ -101,6 +112,6 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p3_found, p3_rates, p4_found, p4_canonical, p5_found, p5_shared, p6_ids, p7_packed, p7_fill, p8_found, p8_levels)
+    for f in (p1_found, p1_groups, p2_found, p2_matches, p3_found, p3_rates, p4_found, p4_canonical, p5_found, p5_shared, p6_ids, p7_packed, p7_fill, p8_found, p8_levels)
 }
 ORACLE: dict[str, str] = {}
