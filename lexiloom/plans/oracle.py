@@ -1,2 +1,217 @@
-"""placeholder"""
-SQL: dict[str, str] = {}
+"""SQL with the same results, for an independent engine (DuckDB's dialect).
+
+Written from the semantics, not from the plans: lists and lambdas stand where
+the plans use joins or array expressions.
+"""
+
+from __future__ import annotations
+
+from lexiloom.functions.grams import CHAR_GRAM, STOP_WORDS, WINDOW, WORD_GRAM
+from lexiloom.functions.text import UNIMPORTANT
+from lexiloom.operators.scoring import UNSHARED
+from lexiloom.plans.labels import LABELS, LANGUAGES
+from lexiloom.sources.catalog import SOURCES
+
+_WIDE = "".join(chr(0xFF01 + k) for k in range(94))
+_PLAIN = "".join(chr(0x21 + k) for k in range(94)).replace("'", "''")
+
+
+def _quoted(words) -> str:
+    return ", ".join("'" + w + "'" for w in words)
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\x1c-\\x1f\\x0b\\p{{Z}}\\x{{0085}}]+|[\\s\\x1c-\\x1f\\x0b\\p{{Z}}\\x{{0085}}]+$', '', 'g')"
+
+
+def _normal(x: str) -> str:
+    """Lower case, decomposed, without marks and punctuation, single spaces."""
+    flat = f"translate(lower(coalesce({x}, '')), '{_WIDE}', '{_PLAIN}')"
+    for a, b in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("²", "2"), ("ϲ", "ς"), ("\u3000", " ")):
+        flat = f"replace({flat}, '{a}', '{b}')"
+    bare = f"regexp_replace(strip_accents({flat}), '[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}\\x{{0085}}]', '', 'g')"
+    return f"trim(regexp_replace(lower({bare}), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+def _hash(x: str) -> str:
+    return f"list_transform({x}, lambda g: ('0x' || substr(md5(g), 1, 8))::BIGINT)"
+
+
+def _char_grams(n: str) -> str:
+    return f"list_transform(range(1, length({n}) - {CHAR_GRAM} + 2), lambda i: substr({n}, i, {CHAR_GRAM}))"
+
+
+def _word_grams(n: str) -> str:
+    words = f"list_filter(string_split({n}, ' '), lambda w: w <> '')"
+    return f"list_transform(range(1, len({words}) - {WORD_GRAM} + 2), lambda i: array_to_string(({words})[i:i+{WORD_GRAM - 1}], ' '))"
+
+
+def _prints(name: str, source: str, key: str) -> str:
+    """CTEs ending in ``name(key, fp)`` over ``source(key, t)``."""
+    win = lambda h: f"case when len({h}) < {WINDOW} then {h} else list_transform(range(1, len({h}) - {WINDOW} + 2), lambda i: list_min({h}[i:i+{WINDOW - 1}])) end"
+    return (
+        f"{name}_n as (select {key}, {_normal('t')} as n from {source}),"
+        f" {name}_h as (select {key}, {_hash(_char_grams('n'))} as ch, {_hash(_word_grams('n'))} as wh from {name}_n),"
+        f" {name} as (select {key}, list_distinct(list_concat({win('ch')}, {win('wh')})) as fp from {name}_h)"
+    )
+
+
+_SRC = "src as (select doc_id as src_id, coalesce(title,'') || ' ' || coalesce(abstract,'') || ' ' || coalesce(body,'') as t from papers)"
+_CAND = "cand as (select distinct cand_id, coalesce(abstract,'') as t from candidates)"
+_PAIRS = "pairs as (select distinct src_id, cand_id from candidates)"
+
+
+def _weights(name: str, source: str, key: str) -> str:
+    """CTEs ending in ``name(key, gram, w)``."""
+    return (
+        f"{name}_w as (select {key}, list_filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\x{{200c}}\\x{{200d}}]+'),"
+        f" lambda w: length(w) > 1 and w not in ({_quoted(STOP_WORDS)})) as ws from {source}),"
+        f" {name}_g as (select {key}, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i+1]))) as gram from {name}_w),"
+        f" {name} as (select {key}, gram, 1 + ln(count(*)) as w from {name}_g group by all)"
+    )
+
+
+_K = UNSHARED * UNSHARED
+_COSINE = (
+    f"{_SRC}, {_CAND}, {_PAIRS}, {_weights('sw', 'src', 'src_id')}, {_weights('cw', 'cand', 'cand_id')},"
+    " sa as (select src_id, sum(w*w) as s_all from sw group by 1), ca as (select cand_id, sum(w*w) as c_all from cw group by 1),"
+    " shared as (select p.src_id, p.cand_id, sum(s.w*c.w) as dot, sum(s.w*s.w) as ss, sum(c.w*c.w) as cc from pairs p join cw c using (cand_id)"
+    " join sw s on s.src_id = p.src_id and s.gram = c.gram group by 1, 2),"
+    f" cosines as (select src_id, cand_id, least(1.0, dot / sqrt((ss + {_K}*(s_all-ss)) * (cc + {_K}*(c_all-cc)))) as cosine"
+    " from shared join sa using (src_id) join ca using (cand_id))"
+)
+_JACCARD = (
+    f"{_prints('sp', 'src', 'src_id')}, {_prints('cp', 'cand', 'cand_id')},"
+    " met as (select src_id, cand_id, len(list_intersect(s.fp, c.fp)) as common, len(s.fp) as ns, len(c.fp) as nc from pairs join sp s using (src_id) join cp c using (cand_id)),"
+    " jac as (select src_id, cand_id, common::BIGINT as common, (case when ns > 0 and nc > 0 then ns + nc - common else 0 end)::BIGINT as united from met)"
+)
+_TENTHS = "(case when united > 0 then (2000*common + united) // (2*united) else 0 end)::BIGINT"
+_KEY = "substr(lower(" + _strip("coalesce(title,'')") + "), 1, 80)"
+_FIRST = f"firsts as (select * from (select *, row_number() over (partition by src_id, {_KEY} order by arrival_seq) as rn from candidates) where rn = 1)"
+_MATCHED = "list_filter(coalesce(keywords, []), lambda k: contains(lower(coalesce(c.abstract,'')), lower(k)))"
+_SHARE = f"(case when len(coalesce(keywords, [])) > 0 then (2000*len({_MATCHED}) + len(keywords)) // (2*len(keywords)) else 0 end)::BIGINT"
+_TIER = "case when score >= 600 then 'high' when score >= 350 then 'medium' else 'low' end"
+_REPORT = (
+    f"{_COSINE}, {_JACCARD}, {_FIRST},"
+    f" base as (select c.src_id, c.cand_id, c.arrival_seq, c.title, c.abstract, floor(coalesce(cosine,0)*1000 + 0.5)::BIGINT as tf, {_SHARE} as kw, coalesce({_TENTHS}, 0) as fp"
+    " from firsts c join papers p on p.doc_id = c.src_id left join cosines k on k.src_id = c.src_id and k.cand_id = c.cand_id"
+    " left join jac j on j.src_id = c.src_id and j.cand_id = c.cand_id),"
+    " scored as (select *, ((45*tf + 20*kw + 35*fp + 50) // 100)::BIGINT as score from base),"
+    f" rep as (select *, {_TIER} as risk_tier, row_number() over (partition by src_id order by score desc, arrival_seq) as rank from scored)"
+)
+_NAMES = "list_filter(string_split(regexp_replace(coalesce(authors,''), ' et al\\.$', ', Q. More'), ', '), lambda a: a <> '')"
+
+
+def _et_al(names: str) -> str:
+    return f"(array_to_string({names}[1:3], ', ') || case when len({names}) > 3 then ' et al.' else '' end)"
+
+
+_VENUE = (
+    "case when contains(lower(coalesce(url,'')), '10.1109') or contains(lower(coalesce(title,'')), 'ieee') then 'IEEE'"
+    " when contains(lower(coalesce(url,'')), '10.1145') or contains(lower(coalesce(title,'')), 'acm') then 'ACM'"
+    " when contains(lower(coalesce(url,'')), '10.1007') or contains(lower(coalesce(title,'')), 'springer') then 'Springer'"
+    " when contains(lower(coalesce(url,'')), '10.1016') or contains(lower(coalesce(title,'')), 'elsevier') then 'Elsevier' else 'CrossRef' end"
+)
+_LABEL_ROWS = ", ".join(f"('{k}', '{lang}', '{t}')" for k, own in LABELS.items() for lang, t in zip(LANGUAGES, own, strict=True))
+_SENT = (
+    "sents as (select cand_id, t, list_filter(list_transform(string_split(regexp_replace(" + _strip("t") + ", '([。！？.!?])[\\s\\p{Z}]+', '\\1␞', 'g'), '␞'), lambda s: " + _strip("s")
+    + "), lambda s: length(s) > 10) as ss from cand),"
+    " wins as (select cand_id, case when len(ss) <= 3 then [t] else list_transform(range(1, len(ss) - 1), lambda i: array_to_string(ss[i:i+2], ' ')) end as ws from sents)"
+)
+
+SQL: dict[str, str] = {
+    "normalize_text": f"with {_CAND} select cand_id, {_normal('t')} as normalized from cand",
+    "char_kgram_counts": f"with {_CAND}, n as (select cand_id, {_normal('t')} as n from cand) select cand_id, len({_char_grams('n')})::BIGINT as n_grams, len(list_distinct({_char_grams('n')}))::BIGINT as n_distinct from n",
+    "word_ngram_counts": f"with {_CAND}, n as (select cand_id, {_normal('t')} as n from cand) select cand_id, len({_word_grams('n')})::BIGINT as n_grams from n",
+    "fingerprint_sizes": f"with {_CAND}, {_prints('cp', 'cand', 'cand_id')} select cand_id, len(fp)::BIGINT as n_hashes from cp",
+    "fingerprint_hashes": f"with {_SRC}, {_prints('sp', 'src', 'src_id')} select src_id, unnest(fp) as h from sp",
+    "fingerprint_jaccard": f"with {_SRC}, {_CAND}, {_PAIRS}, {_JACCARD} select src_id, cand_id, common, united, {_TENTHS} as tenths from jac",
+    "topk_fingerprint": (
+        f"with s as (select doc_id as src_id, coalesce(abstract,'') as t from papers), {_CAND}, {_prints('sp', 's', 'src_id')}, {_prints('cp', 'cand', 'cand_id')},"
+        " a as (select src_id, len(fp) as na, unnest(fp) as h from sp), b as (select cand_id, len(fp) as nb, unnest(fp) as h from cp),"
+        " m as (select src_id, cand_id, count(*) as common, any_value(na) + any_value(nb) - count(*) as united from a join b using (h) group by 1, 2),"
+        " r as (select *, row_number() over (partition by src_id order by common / united desc, cand_id) as rank from m)"
+        " select src_id, cand_id, common::BIGINT as common, united::BIGINT as united, rank from r where rank <= 10"
+    ),
+    "tfidf_terms": f"with {_SRC}, {_weights('sw', 'src', 'src_id')} select src_id, count(*) as n_terms, round(sum(w*w), 4) as sum_w2 from sw group by 1",
+    "tfidf_cosine": f"with {_COSINE} select src_id, cand_id, round(cosine, 6) as cosine from cosines",
+    "keyword_overlap": f"select arrival_seq, array_to_string({_MATCHED}, '|') as matched, {_SHARE} as tenths from candidates c join papers p on p.doc_id = c.src_id",
+    "combined_score": (
+        "with t as (select src_id, cand_id, coalesce(floor(tfidf_score*10+0.5),0)::BIGINT as a, coalesce(floor(keyword_overlap*10+0.5),0)::BIGINT as b,"
+        " coalesce(floor(fingerprint_score*10+0.5),0)::BIGINT as f, coalesce(floor(combined_score*10+0.5),0)::BIGINT as s from scores),"
+        " u as (select *, ((45*a+20*b+35*f+50)//100)::BIGINT as score from t)"
+        f" select src_id, cand_id, score as combined_tenths, {_TIER} as tier, abs(score - s) > 1 as is_stale from u"
+    ),
+    "ranked_report": (
+        f"with {_REPORT} select src_id, cand_id, arrival_seq, tf as tfidf_tenths, kw as keyword_tenths, fp as fingerprint_tenths, score as combined_tenths, risk_tier, rank from rep where score >= 100"
+    ),
+    "risk_tier_summary": (
+        f"with {_REPORT} select src_id, count(*) as total, count_if(risk_tier = 'high')::BIGINT as high, count_if(risk_tier = 'medium')::BIGINT as medium, count_if(risk_tier = 'low')::BIGINT as low from rep where score >= 100 group by 1"
+    ),
+    "detail_view": (
+        f"with {_REPORT} select src_id, cand_id, case risk_tier when 'high' then '🔴' when 'medium' then '🟡' else '🟢' end as mark, substr(coalesce(title,''), 1, 90) as short_title,"
+        " substr(coalesce(abstract,''), 1, 400) as short_abstract, score >= 600 as expanded from rep where score >= 100"
+    ),
+    "dedup_titles": f"with {_FIRST} select src_id, cand_id, arrival_seq from firsts",
+    "important_words": (
+        "with w as (select doc_id, unnest(list_filter(regexp_extract_all(lower(coalesce(abstract,'')), '[\\p{L}\\p{M}\\p{Nd}_]+'), lambda x: true)) as w, "
+        "generate_subscripts(list_filter(regexp_extract_all(lower(coalesce(abstract,'')), '[\\p{L}\\p{M}\\p{Nd}_]+'), lambda x: true), 1) as pos from papers),"
+        f" f as (select doc_id, w, count(*) as n, min(pos) as p from w where regexp_full_match(w, '[a-z]{{4,}}') and w not in ({_quoted(UNIMPORTANT)}) group by 1, 2),"
+        " r as (select *, row_number() over (partition by doc_id order by n desc, p) as k from f)"
+        " select p.doc_id, coalesce(string_agg(w, ' ' order by k) filter (where k <= 10), '') as words from papers p left join r using (doc_id) group by 1"
+    ),
+    "extract_keywords": (
+        "with m as (select doc_id, regexp_extract(coalesce(raw_text,''), '(?im)^(?:keywords?|index terms?|關鍵字|關鍵詞)\\s*[:\\-]?\\s*([^\\n]*)', 1) as k from papers)"
+        " select doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(k, '[;,，；、|]'), lambda x: " + _strip("x") + "), lambda x: length(x) > 2 and length(x) < 60), '|') as keywords from m"
+    ),
+    "long_enough": "select doc_id, length(" + _strip("coalesce(raw_text,'')") + ") >= 100 as ok from papers",
+    "sentence_windows": f"with {_CAND}, {_SENT} select cand_id, (generate_subscripts(ws, 1) - 1)::INTEGER as pos, unnest(ws) as win from wins",
+    "segment_colours": "select distinct seg_id, case when overlap_score >= 15 then '#ffebee' when overlap_score >= 7 then '#fff8e1' else '#f1f8e9' end as colour from segments",
+    "venue_detect": f"select distinct cand_id, url, title, {_VENUE} as venue from candidates",
+    "authors_et_al": (
+        "with a as (select distinct rec_id, title, list_filter(regexp_split_to_array(coalesce(authors,''), '\\s*;\\s*'), lambda x: x <> '') as n from catalog_records)"
+        f" select distinct rec_id, title, {_et_al('n')} as authors from a"
+    ),
+    "crossref_rows": (
+        f"with a as (select *, {_NAMES} as n, " + _strip("coalesce(regexp_replace('<jats:p>' || abstract || '</jats:p>', '<[^>]+>', ' ', 'g'), '')") + " as plain from candidates where source = 'crossref')"
+        f" select arrival_seq, 0 as pos, coalesce(title,'') as title, plain as abstract, year, {_et_al('n')} as authors,"
+        " case when coalesce(url,'') <> '' then url else 'https://doi.org/10.1016/' || cand_id end as url,"
+        " case when contains(lower(coalesce(url,'')), '10.1109') then 'IEEE' when contains(lower(coalesce(url,'')), '10.1145') then 'ACM'"
+        " when contains(lower(coalesce(url,'')), '10.1007') then 'Springer' when contains(lower(case when coalesce(url,'') <> '' then url else '10.1016' end), '10.1016') then 'Elsevier' else 'CrossRef' end as source"
+        " from a where length(plain) >= 30"
+    ),
+    "s2_rows": (
+        f"with a as (select *, {_NAMES} as n from candidates where source = 'semantic' and coalesce(abstract,'') <> '')"
+        f" select arrival_seq, 0 as pos, coalesce(title,'') as title, abstract, year, {_et_al('n')} as authors,"
+        " case when coalesce(url,'') <> '' then url else 'https://doi.org/10.1109/' || cand_id end as url,"
+        " case when cand_id % 3 = 0 then 'ACM' when cand_id % 5 = 0 then 'arXiv' else 'IEEE' end as source from a"
+    ),
+    "springer_rows": (
+        f"with a as (select *, {_NAMES} as n, " + _strip("coalesce(abstract,'')") + " as plain from candidates where source = 'springer')"
+        f" select arrival_seq, 0 as pos, coalesce(title,'') as title, plain as abstract, year, {_et_al('n')} as authors,"
+        " case when cand_id % 2 = 0 then 'https://doi.org/10.1007/' || cand_id else coalesce(url,'') end as url, 'Springer Journal' as source from a where length(plain) >= 30"
+    ),
+    "springer_split": (
+        "select cand_id, arrival_seq from (select *, row_number() over (partition by arrival_seq % 2 order by arrival_seq) as k from candidates where source = 'springer')"
+        " where k <= case when arrival_seq % 2 = 0 then 5 else 6 end"
+    ),
+    "scholar_rows": (
+        f"with a as (select *, {_NAMES} as n, trim(coalesce(title,'')) as tt, trim(coalesce(abstract,'')) as aa from candidates where source = 'gscholar')"
+        f" select arrival_seq, 0 as pos, tt as title, case when aa <> '' then aa else tt end as abstract, year, {_et_al('n')} as authors, coalesce(url,'') as url, 'Google Scholar' as source from a where length(tt) >= 5"
+    ),
+    "source_limit": (
+        "select src_id, source, cand_id, arrival_seq from (select c.*, max_results, row_number() over (partition by src_id, c.source order by arrival_seq) as k"
+        " from candidates c join connectors using (source)) where k <= max_results"
+    ),
+    "progress": (
+        "select src_id, source, done, least(1.0, done / max_results)::DOUBLE as share from (select src_id, source, count(*) as done from candidates group by 1, 2) join connectors using (source)"
+    ),
+    "source_registry": "select * from (values " + ", ".join(
+        f"({k}, '{s.id}', '{s.display_name}', {s.least}, {s.most}, {s.default}, {str(s.has_help).lower()}, {chr(39) + s.key_field + chr(39) if s.key_field else 'null'})" for k, s in enumerate(SOURCES)
+    ) + ") t(ordinal, id, display_name, least, most, default_limit, has_help, key_field)",
+    "i18n_labels": (
+        f"with l(key, lang, template) as (values {_LABEL_ROWS}), a as (select distinct 'risk_' || coalesce(risk_tier, 'none') as key from scores),"
+        " q as (select key, unnest(['zh','en','ja','xx']) as lang from a)"
+        " select q.key, q.lang, coalesce(template, q.key) as label from q left join l on l.key = q.key and l.lang = case when q.lang = 'xx' then 'zh' else q.lang end"
+    ),
+}
