@@ -33,6 +33,7 @@ from lexiloom.core.storage import materialize
 from lexiloom.llm.canonical import canonical_text
 
 _TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|\p{Han}|[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*")
+_ASCII_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[A-Za-z]+(?:['-][A-Za-z]+)*")
 _END_GAP = re.compile(r"[.!?。！？][\"'”’)\]]*(?:\s|$)|[。！？]|\n\s*\n")
 _STOP = re.compile(r"[.!?。！？][\"'”’)\]»]*$")
 _DOTS = re.compile(r"(?:…|\.\.\.+|\[\s*(?:…|\.\.\.)\s*\]|&hellip;?|&(?:h(?:e(?:l(?:l(?:i(?:p)?)?)?)?)?)?)\s*$")
@@ -47,23 +48,31 @@ _HEADING = re.compile(
 FLUSH = 300_000
 
 
-def _classed(text: str) -> list[tuple[str, str, int, int]]:
-    """``(word, class, start, end)`` of the tokens of a canonical text."""
+def _classed(text: str) -> tuple[list[str], list[str], list[int]]:
+    """Tokens of a canonical text in lower case, their classes, and the
+    positions of the tokens, other than the last, after which a sentence ends."""
     shouting = text.isupper()
-    out, fresh, last = [], True, 0
-    for m in _TOKEN.finditer(text):
+    words, classes, ended = [], [], []
+    fresh, last = True, 0
+    for m in (_ASCII_TOKEN if text.isascii() else _TOKEN).finditer(text):
+        start, end = m.span()
         if last:
-            fresh = _END_GAP.search(text, last, m.start()) is not None
+            # one plain space, the usual gap, ends nothing
+            fresh = not (start - last == 1 and text[last] == " ") and _END_GAP.search(text, last, start) is not None
+            if fresh:
+                ended.append(len(words) - 1)
         w = m[0]
-        if w[0].isdigit():
-            c = "#"
-        elif w[0].isupper() and not fresh and not shouting:
-            c = "@"
+        low = w.lower()
+        first = w[0]
+        if first.isdigit():
+            classes.append("#")
+        elif first.isupper() and not fresh and not shouting:
+            classes.append("@")
         else:
-            c = w.lower()
-        out.append((w.lower(), c, m.start(), m.end()))
-        last = m.end()
-    return out
+            classes.append(low)
+        words.append(low)
+        last = end
+    return words, classes, ended
 
 
 def _contexts(classes: list[str]) -> list[str]:
@@ -72,34 +81,34 @@ def _contexts(classes: list[str]) -> list[str]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: Counter[str] = Counter()
+    vocabulary: Counter[str] = Counter()
+    every: Counter[str] = Counter()
     ends: Counter[str] = Counter()
-    goes: Counter[str] = Counter()
 
     def flush() -> pa.RecordBatch:
-        keys = [*words, *(k for k in ends.keys() | goes.keys())]
-        n = len(words)
+        n = len(vocabulary)
         out = pa.RecordBatch.from_pydict({
-            "kind": pa.array(["w"] * n + ["c"] * (len(keys) - n)), "key": pa.array(keys, pa.string()),
-            "ended": pa.array([*words.values(), *(ends[k] for k in keys[n:])], pa.int64()),
-            "went_on": pa.array([0] * n + [goes[k] for k in keys[n:]], pa.int64()),
+            "kind": pa.array(["w"] * n + ["c"] * len(every)), "key": pa.array([*vocabulary, *every], pa.string()),
+            "ended": pa.array([*vocabulary.values(), *(ends[k] for k in every)], pa.int64()),
+            "went_on": pa.array([0] * n + [v - ends[k] for k, v in every.items()], pa.int64()),
         })
-        for c in (words, ends, goes):
+        for c in (vocabulary, every, ends):
             c.clear()
         return out
 
     for batch in batches:
         for t in batch.column("text").to_pylist():
-            text = canonical_text(t)
-            tokens = _classed(text)
-            classes = [c for _, c, _, _ in tokens]
-            for i, (w, _, _, end) in enumerate(tokens[:-1]):
-                if not w[0].isdigit():
-                    words[w] += 1
-                tally = ends if _END_GAP.search(text, end, tokens[i + 1][2]) else goes
-                for k in _contexts(classes[max(0, i - 2) : i + 1]):
-                    tally[k] += 1
-        if len(words) + len(ends) + len(goes) > FLUSH:
+            words, one, ended = _classed(canonical_text(t))
+            two = [f"{a} {b}" for a, b in zip(one, one[1:])]  # noqa: B905
+            three = [f"{a} {b}" for a, b in zip(two, one[2:])]  # noqa: B905
+            # the last token is judged, so it does not count
+            vocabulary.update([w for w, c in zip(words[:-1], one, strict=False) if c != "#"])
+            for keys in (one, two, three):
+                every.update(keys[:-1])
+            ends.update([one[i] for i in ended])
+            ends.update([two[i - 1] for i in ended if i > 0])
+            ends.update([three[i - 2] for i in ended if i > 1])
+        if len(vocabulary) + len(every) > FLUSH:
             yield flush()
     yield flush()
 
@@ -128,11 +137,11 @@ def tail(text: str) -> dict:
     if _STOP.search(bare):
         return facts
     hyphen = bool(re.search(r"\w[-‐]$", bare))
-    tokens = _classed(canonical_text(bare))
-    if not tokens:
+    words, classes, _ = _classed(canonical_text(bare))
+    if not words:
         return facts
-    keys = _contexts([c for _, c, _, _ in tokens[-3:]])
-    last = tokens[-1][0]
+    keys = _contexts(classes[-3:])
+    last = words[-1]
     facts.update(open=True, sure=hyphen, token=None if last[0].isdigit() else last, k3=keys[0], k2=keys[1], k1=keys[2])
     # an opened bracket or quotation never closed near the end shows a cut
     window = bare[-160:]
