@@ -28,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexiloom.core.links import expand_links, member_pairs
+from lexiloom.core.storage import materialize
 
 SLACK = 21
 GRAM = 16
+#: Stands for the place of a window that a text holds more than once.
+REPEATED = -1
 _BLOCK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(_BLOCK + 1, _BASE), dtype=np.uint64)
@@ -94,12 +97,12 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
     size = span - SLACK + 1
     for batch in batches:
         texts, ids, flags = batch.column("text").to_pylist(), batch.column("class").to_numpy(), batch.column("main").to_numpy(zero_copy_only=False)
-        todo: list[tuple[int, np.ndarray]] = []
+        todo: list[tuple[int, int, np.ndarray]] = []
         filled = 0
 
         def flush() -> pa.RecordBatch:
-            codes = np.concatenate([c for _, c in todo])
-            ends = np.cumsum([len(c) for _, c in todo])
+            codes = np.concatenate([c for _, _, c in todo])
+            ends = np.cumsum([len(c) for _, _, c in todo])
             at = selected(codes, span)
             # the span characters behind a selected window must lie in one text
             first = np.arange(len(at))
@@ -107,8 +110,19 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
             at = np.unique(at[inside])
             owner = np.searchsorted(ends, at, side="right")
             h = _hashes(_prefix(codes), size, at)
-            rows = np.array([r for r, _ in todo])[owner]
-            return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "class": pa.array(ids[rows]), "main": pa.array(flags[rows])})
+            starts = np.r_[0, ends[:-1]]
+            within = at - starts[owner] + np.array([a for _, a, _ in todo])[owner]
+            rows = np.array([r for r, _, _ in todo])[owner]
+            # one row for each window of a text; REPEATED where it has several places
+            order = np.lexsort((h, rows))
+            h, rows, within = h[order], rows[order], within[order]
+            fresh = np.r_[True, (np.diff(rows) != 0) | (h[1:] != h[:-1])] if len(h) else np.empty(0, bool)
+            single = np.r_[fresh[1:], True] if len(h) else fresh
+            place = np.where(single, within, REPEATED)[fresh].astype(np.int32)
+            return pa.RecordBatch.from_pydict({
+                "h": pa.array(h[fresh].view(np.int64)), "class": pa.array(ids[rows[fresh]]),
+                "main": pa.array(flags[rows[fresh]]), "place": pa.array(place),
+            })
 
         for r, t in enumerate(texts):
             codes = _codes(t)
@@ -119,7 +133,7 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
                 if filled + len(piece) > _BLOCK:
                     yield flush()
                     todo, filled = [], 0
-                todo.append((r, piece))
+                todo.append((r, a, piece))
                 filled += len(piece)
         if todo:
             yield flush()
@@ -136,49 +150,100 @@ def _runs(mask: np.ndarray, span: int) -> np.ndarray:
     return np.stack([first, last + span], axis=1)
 
 
-def _compared(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+def _alike(x: str, y: str) -> int:
+    """Length of the common prefix."""
+    n = 0
+    for p, q in zip(x, y):  # noqa: B905
+        if p != q:
+            break
+        n += 1
+    return n
+
+
+def _reaches(ta: str, a: int, tb: str, b: int, size: int, span: int) -> bool:
+    """Whether the equal windows at a and b lie in an equal run of ``span``."""
+    if ta[a : a + size] != tb[b : b + size]:
+        return False
+    need = span - size
+    right = _alike(ta[a + size : a + span], tb[b + size : b + span])
+    if right >= need:
+        return True
+    return right + _alike(ta[max(0, a - need) : a][::-1], tb[max(0, b - need) : b][::-1]) >= need
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    size = span - SLACK + 1
+    for batch in batches:
+        keep = []
+        columns = (batch.column(c).to_pylist() for c in ("text_a", "text_b", "places"))
+        for k, (ta, tb, places) in enumerate(zip(*columns, strict=True)):
+            sure = any(
+                p["place_a"] != REPEATED and p["place_b"] != REPEATED and _reaches(ta, p["place_a"], tb, p["place_b"], size, span) for p in places
+            )
+            if not sure and any(p["place_a"] == REPEATED or p["place_b"] == REPEATED for p in places):
+                ha, hb = window_hashes(ta, span), window_hashes(tb, span)
+                sure = any(ta[p : p + span] in tb for p in np.flatnonzero(np.isin(ha, hb))[:3])
+            if sure:
+                keep.append(k)
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int32())) for c in ("class_a", "class_b")], ["class_a", "class_b"])
+
+
+def _spanned(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {"class_a": [], "class_b": [], "spans_a": [], "spans_b": []}
-        for ca, cb, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("class_a", "class_b", "text_a", "text_b")), strict=True):
+        spans_a, spans_b = [], []
+        for ta, tb in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
             ha, hb = window_hashes(ta, span), window_hashes(tb, span)
-            common = np.intersect1d(ha, hb)
-            # the hashes only propose; letters decide
-            if len(common) and any(ta[p : p + span] in tb for p in np.flatnonzero(np.isin(ha, common))[:3]):
-                out["class_a"].append(ca)
-                out["class_b"].append(cb)
-                out["spans_a"].append(_runs(np.isin(ha, common), span).ravel().tolist())
-                out["spans_b"].append(_runs(np.isin(hb, common), span).ravel().tolist())
+            spans_a.append(_runs(np.isin(ha, hb), span).ravel().tolist())
+            spans_b.append(_runs(np.isin(hb, ha), span).ravel().tolist())
         ints = pa.list_(pa.int32())
         yield pa.RecordBatch.from_pydict({
-            "class_a": pa.array(out["class_a"], pa.int64()), "class_b": pa.array(out["class_b"], pa.int64()),
-            "spans_a": pa.array(out["spans_a"], ints), "spans_b": pa.array(out["spans_b"], ints),
+            "class_a": batch.column("class_a"), "class_b": batch.column("class_b"),
+            "spans_a": pa.array(spans_a, ints), "spans_b": pa.array(spans_b, ints),
         })
 
 
-def text_links(texts: DataFrame, span: int) -> DataFrame:
-    """Pairs of different texts that share ``span`` characters, with intervals.
-
-    ``texts(text, main)``: only pairs with at least one ``main`` text count.
-    Returns ``(class_a, class_b, spans_a, spans_b)``, ``class`` being the
-    64-bit hash of a text and spans flat lists of start and end.
-    """
-    distinct = (
+def _distinct(texts: DataFrame, span: int) -> DataFrame:
+    return (
         texts.where(F.length("text") >= span)
         .groupBy(F.xxhash64("text").alias("class"))
         .agg(F.first("text").alias("text"), F.max("main").alias("main"))
     )
-    rows = distinct.select("class", "text", "main").mapInArrow(lambda it: _windows(it, span), "h long, class long, main boolean")
-    left = rows.select("h", F.col("class").alias("class_a"), F.col("main").alias("main_a"))
-    right = rows.select("h", F.col("class").alias("class_b"), F.col("main").alias("main_b"))
-    candidates = left.join(right, "h").where("class_a < class_b and (main_a or main_b)").select("class_a", "class_b").distinct()
 
+
+def _with_texts(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     def side(x: str) -> DataFrame:
         return distinct.select(*(F.col(c).alias(f"{c}_{x}") for c in ("class", "text", "main")))
 
-    both = candidates.join(side("a"), "class_a").join(side("b"), "class_b").where("main_a or main_b")
-    return both.select("class_a", "class_b", "text_a", "text_b").mapInArrow(
-        lambda it: _compared(it, span), "class_a long, class_b long, spans_a array<int>, spans_b array<int>"
+    return pairs.join(side("a"), "class_a").join(side("b"), "class_b").where("main_a or main_b")
+
+
+def text_links(texts: DataFrame, span: int) -> DataFrame:
+    """Pairs ``(class_a, class_b)`` of different texts that share ``span`` characters.
+
+    ``texts(text, main)``: only pairs with at least one ``main`` text count;
+    ``class`` is the 64-bit hash of a text.  Candidates carry the places of the
+    windows they share, so letters are compared only around those.
+    """
+    distinct = _distinct(texts, span)
+    rows = distinct.select("class", "text", "main").mapInArrow(
+        lambda it: _windows(it, span), "h long, class long, main boolean, place int"
+    )
+
+    def side(x: str) -> DataFrame:
+        return rows.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "main", "place")))
+
+    candidates = (
+        side("a").join(side("b"), "h").where("class_a < class_b and (main_a or main_b)")
+        .groupBy("class_a", "class_b").agg(F.collect_set(F.struct("place_a", "place_b")).alias("places"))
     )
+    both = _with_texts(candidates, distinct).select("class_a", "class_b", "text_a", "text_b", "places")
+    return materialize(both.mapInArrow(lambda it: _confirmed(it, span), "class_a long, class_b long"), "span-links")
+
+
+def link_spans(links: DataFrame, texts: DataFrame, span: int) -> DataFrame:
+    """The shared intervals of both texts of every link, as flat lists of start and end."""
+    both = _with_texts(links, _distinct(texts, span)).select("class_a", "class_b", "text_a", "text_b")
+    return both.mapInArrow(lambda it: _spanned(it, span), "class_a long, class_b long, spans_a array<int>, spans_b array<int>")
 
 
 def _records(candidates: DataFrame, segments: DataFrame) -> DataFrame:
@@ -203,7 +268,7 @@ def shared_pairs(candidates: DataFrame, segments: DataFrame, span: int = 120) ->
     """
     records = _records(candidates, segments)
     members = _members(records, span)
-    links = text_links(records.select("text", (F.col("kind") == "abstract").alias("main")), span).select("class_a", "class_b")
+    links = text_links(records.select("text", (F.col("kind") == "abstract").alias("main")), span)
     alike = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
     links = links.union(alike)
     turned = links.union(links.where("class_a <> class_b").select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
@@ -236,7 +301,8 @@ def shared_report(candidates: DataFrame, segments: DataFrame, span: int = 120) -
         F.min(F.when(F.col("kind") == "snippet", F.coalesce("own", F.lit(-1)))).alias("own_min"),
         F.max(F.when(F.col("kind") == "snippet", F.coalesce("own", F.lit(-1)))).alias("own_max"),
     )
-    links = text_links(records.select("text", is_a.alias("main")), span)
+    texts = records.select("text", is_a.alias("main"))
+    links = link_spans(text_links(texts, span), texts, span)
     directed = links.select("class_a", "class_b", F.col("spans_a").alias("spans")).union(
         links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), F.col("spans_b").alias("spans"))
     )
