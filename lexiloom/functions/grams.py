@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from lexiloom.functions.text import let, strip, text
 
@@ -35,7 +36,7 @@ STOP_WORDS = (
 _ODD = re.compile(r"[^\x00-\x7f]")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _decompose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKD", v) if v is not None and _ODD.search(v) else v)
 
