@@ -1,25 +1,30 @@
 """Problem 2: matching works across two tables without a common key.
 
-Method.  Every record is a document of tokens over all its attributes: words
-and segments of the title, names of authors, the identifier in the url, the
-year.  An inverted index in Spark scores pairs with BM25 (each token occurs once
-in a record, so a token's weight is its inverse document frequency).  Retrieval
-is exact and pruned: of a catalogue record's tokens, rarest first, only those
-are looked up without which a pair cannot reach ``FLOOR`` of the record's own
-score; pairs whose found weight plus the weight of the tokens not looked up stay
-below that floor are dropped before the attributes are joined.  So every pair at
-or above the floor is found, however many there are; there is no fixed k.
+Method.  Every record is a document of tokens over all its attributes: words,
+segments and the whole of the title, names of authors, the identifier in the
+url.  An inverted index in Spark scores pairs with BM25 (a token occurs once in
+a record, so its weight is its inverse document frequency).
+
+Retrieval is exact and pruned, with no fixed k.  A match must share an author's
+name, an identifier or, where one side names no author, nearly the whole title
+(see the rules below), so these are the tokens looked up: names, identifiers,
+segments, and of the title's words, rarest first, only those without which a
+pair cannot reach ``TITLE_FLOOR`` of the title's weight.  Common words are
+looked up for records without authors alone.  Pairs whose shared tokens already
+exclude a match are dropped before any attribute is joined; the full score is
+then taken over all tokens of both.
 
 Pairs that are nearest to each other (the score is within ``NEAR`` of the best
 of either side, so several records of one work all stay) get a confidence: a
 logistic function of the score, of its gap to the best of either side and of the
 agreement of the attributes.  It is calibrated on pairs that carry identifiers
-(same identifier: a match; disagreeing authors: none), at most ``MAX_PAIRS`` of
-them, a documented bound; with too few, on fixed starting weights.
+(same identifier: a match) and on equal titles of other authors (none), at most
+``MAX_PAIRS`` of them, a documented bound; with too few, on starting weights.
 
-Different part numbers, authors without a common name, or years more than two
-apart exclude a match.  Null or empty attributes neither speak for a match nor
-against it; records without a title are in no match.  A repeated id counts once.
+Rules: different part numbers, authors without a common name, or years more than
+two apart exclude a match.  Null or empty attributes neither speak for a match
+nor against it; records without a title are in no match.  A repeated id counts
+once.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from lexiloom.core.storage import materialize
 from lexiloom.llm.canonical import canonical_text
 from lexiloom.llm.reading_level import fit_logistic
 
-FLOOR, NEAR, MAX_PAIRS = 0.5, 0.5, 20_000
+TITLE_FLOOR, NEAR, MAX_PAIRS = 0.75, 0.5, 20_000
 _TAG = re.compile(r"<[^<>]{0,60}>|&[a-z]+;|&#\d+;")
 _SEGMENT = re.compile(r"[:：?？]|\s[-–—]+\s")
 _WORD = re.compile(r"[一-鿿]+|[^\W_一-鿿]+")
@@ -46,7 +51,7 @@ _DOI = re.compile(r"10\.\d{3,9}[/_][^\s?#]+")
 _AND = re.compile(r"\b(?:and others|et al)\b\.?|[&;,]|\band\b", re.I)
 FEATURES = ("score", "gap_rec", "gap_cand", "title", "authors", "years", "same_doi")
 #: Starting weights (intercept first) where too few pairs can calibrate.
-START = (-14.0, 4.0, 3.0, 3.0, 6.0, 4.0, 1.0, 3.0)
+START = (-11.0, 4.0, 3.0, 3.0, 6.0, 4.0, 1.0, 3.0)
 _MIN_LABELS = 200
 
 
@@ -92,36 +97,35 @@ def part_number(title: str | None) -> str | None:
     return {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}.get(m[1], m[1]) if m else None
 
 
-def tokens_of(title: str | None, authors: str | None, year: int | None, url: str | None) -> dict[int, str]:
-    """Hashed tokens of a record with the attribute each comes from."""
-    out: dict[str, str] = {}
-    for w in words(title):
-        out[f"t:{w}"] = "t"
-    for s in segments(title):
+def tokens_of(title: str | None, authors: str | None, url: str | None) -> dict[int, str]:
+    """Hashed tokens of a record and their kinds: t word, s segment, f whole title, a name, u identifier."""
+    out: dict[str, str] = {f"t:{w}": "t" for w in words(title)}
+    for k, s in enumerate(segments(title)):
         if " " in s or len(s) > 12:
-            out[f"s:{s}"] = "s"
+            out[f"s:{s}"] = "s" if k else "f"
     for n in names(authors):
         for w in n:
             out[f"a:{w}"] = "a"
     d = doi(url)
     if d:
         out[f"u:{d}"] = "u"
-    if year is not None:
-        out[f"y:{int(year)}"] = "y"
     return {xxhash.xxh3_64_intdigest(k) - 2**63: v for k, v in out.items()}
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, hashes, kinds = [], [], []
-        for i, *fields in zip(*(batch.column(c).to_pylist() for c in ("id", "title", "authors", "year", "url")), strict=True):
-            if i is None or not words(fields[0]):
+        ids, hashes, kinds, listed = [], [], [], []
+        for i, title, authors, url in zip(*(batch.column(c).to_pylist() for c in ("id", "title", "authors", "url")), strict=True):
+            own = tokens_of(title, authors, url)
+            if i is None or "t" not in own.values():
                 continue
-            own = tokens_of(*fields)
             ids += [i] * len(own)
             hashes += own.keys()
             kinds += own.values()
-        yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "h": pa.array(hashes, pa.int64()), "kind": pa.array(kinds, pa.string())})
+            listed += [len(names(authors))] * len(own)
+        yield pa.RecordBatch.from_pydict({
+            "id": pa.array(ids, pa.int64()), "h": pa.array(hashes, pa.int64()), "kind": pa.array(kinds, pa.string()), "n_authors": pa.array(listed, pa.int32()),
+        })
 
 
 def _distance_within(a: str, b: str, most: int) -> bool:
@@ -188,17 +192,25 @@ def author_agreement(rec: str | None, cand: str | None) -> float | None:
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-        title = [title_agreement(a, b) for a, b in zip(col["title_r"], col["title_c"], strict=True)]
-        authors = [author_agreement(a, b) for a, b in zip(col["authors_r"], col["authors_c"], strict=True)]
-        years = [None if a is None or b is None else abs(a - b) for a, b in zip(col["year_r"], col["year_c"], strict=True)]
-        dois = [None if not (x := doi(a)) or not (y := doi(b)) else x == y for a, b in zip(col["url_r"], col["url_c"], strict=True)]
-        parts = []
-        for a, b in zip(col["title_r"], col["title_c"], strict=True):
-            p, q = part_number(a), part_number(b)
-            short = len(segments(a)) != len(segments(b)) or (a or "").rstrip(" .").endswith("…") or (a or "").rstrip().endswith("...")
-            parts.append(p == q or (short and (p is None or q is None) and (a or "").rstrip().endswith(("...", "…"))))
+        score, core, title, authors, years, dois, parts = ([] for _ in range(7))
+        for r in range(batch.num_rows):
+            weights = {t["h"]: (t["idf"], t["kind"]) for t in col["tokens"][r]}
+            strongest = sorted((w for w, k in weights.values() if k == "a"), reverse=True)[:3]
+            own = sum(w for w, k in weights.values() if k == "t") + sum(strongest)
+            common = [weights[h] for h in tokens_of(col["title_c"][r], col["authors_c"][r], col["url_c"][r]) if h in weights]
+            score.append(sum(w for w, _ in common) / own)
+            core.append(sum(w for w, k in common if k != "u") / own)
+            title.append(title_agreement(col["title_r"][r], col["title_c"][r]))
+            authors.append(author_agreement(col["authors_r"][r], col["authors_c"][r]))
+            a, b = col["year_r"][r], col["year_c"][r]
+            years.append(None if a is None or b is None else abs(a - b))
+            x, y = doi(col["url_r"][r]), doi(col["url_c"][r])
+            dois.append(None if not x or not y else x == y)
+            p, q = part_number(col["title_r"][r]), part_number(col["title_c"][r])
+            cut = col["title_r"][r].rstrip().endswith(("...", "…"))
+            parts.append(p == q or (cut and p is None))
         yield pa.RecordBatch.from_pydict({
-            "rec_id": batch.column("rec_id"), "cand_id": batch.column("cand_id"), "score": batch.column("score"), "core": batch.column("core"),
+            "rec_id": batch.column("rec_id"), "cand_id": batch.column("cand_id"), "score": pa.array(score, pa.float64()), "core": pa.array(core, pa.float64()),
             "title": pa.array(title, pa.float64()), "authors": pa.array(authors, pa.float64()),
             "years": pa.array(years, pa.int32()), "same_doi": pa.array(dois, pa.bool_()), "same_part": pa.array(parts, pa.bool_()),
         })
@@ -208,53 +220,39 @@ def _attributes(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "title", "authors", F.col("year").cast("int").alias("year"), "url").dropDuplicates(["id"])
 
 
-def retrieved(candidates: DataFrame, records: DataFrame) -> DataFrame:
-    """``(rec_id, cand_id, score, core)`` of all pairs at or above the floor.
-
-    The score is the pair's BM25 weight as a share of the record's own, the core
-    that of titles and authors alone, on which the gaps are taken: several
-    candidates of one work differ in identifier and year.  Both
-    inputs are ``(id, title, authors, year, url)``.
-    """
-    schema = "id long, h long, kind string"
+def weighted_tokens(candidates: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates' tokens, and records' tokens with their inverse document frequency."""
+    schema = "id long, h long, kind string, n_authors int"
     cand_tokens, rec_tokens = candidates.mapInArrow(_tokenized, schema), records.mapInArrow(_tokenized, schema)
     total = records.select(F.lit(1)).union(candidates.select(F.lit(1))).agg(F.count("*").alias("n"))
     frequency = cand_tokens.select("h").union(rec_tokens.select("h")).groupBy("h").agg(F.count("*").alias("df"))
-    weighted = materialize(
-        rec_tokens.join(frequency, "h").crossJoin(F.broadcast(total))  # one row
-        .select(F.col("id").alias("rec_id"), "h", "kind", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")),
-        "weights",
+    weighted = rec_tokens.join(frequency, "h").crossJoin(F.broadcast(total)).select(  # total is one row
+        F.col("id").alias("rec_id"), "h", "kind", "n_authors", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
-    # a record's tokens are few; rarest first, with the weight left behind each
-    listed = weighted.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("idf", "h", "kind")), asc=False).alias("ts"))
-    title_weight = F.aggregate(F.filter("ts", lambda x: x["kind"] == "t"), F.lit(0.0), lambda a, x: a + x["idf"])
-    author_weight = F.aggregate(F.slice(F.filter("ts", lambda x: x["kind"] == "a"), 1, 3), F.lit(0.0), lambda a, x: a + x["idf"])
-    own = listed.select("rec_id", "ts", (title_weight + author_weight).alias("own"), F.aggregate("ts", F.lit(0.0), lambda a, x: a + x["idf"]).alias("all"))
-    ahead = F.expr(
+    return cand_tokens, materialize(weighted, "weights")
+
+
+def retrieved(cand_tokens: DataFrame, weighted: DataFrame) -> DataFrame:
+    """``(rec_id, cand_id)`` of all pairs that their shared tokens allow to match."""
+    # a title's words are few; rarest first, with the weight of the word and those after it
+    words_of = weighted.where("kind = 't'").groupBy("rec_id", "n_authors").agg(F.sort_array(F.collect_list(F.struct("idf", "h")), asc=False).alias("ts"))
+    left = F.expr(
         "transform(sequence(0, size(ts) - 1), i -> struct(ts[i].h as h, ts[i].idf as idf,"
-        " `all` - aggregate(slice(ts, 1, i), cast(0 as double), (a, x) -> a + x.idf) as left_before))"
-    )
-    essential = materialize(
-        own.select("rec_id", "own", F.explode(F.filter(ahead, lambda x: x["left_before"] >= FLOOR * F.col("own"))).alias("e"))
-        .select("rec_id", "own", "e.h", "e.idf", (F.col("e.left_before") - F.col("e.idf")).alias("rest")),
-        "essential",
+        " aggregate(slice(ts, i + 1, size(ts)), cast(0 as double), (a, x) -> a + x.idf) as still))"
     )
-    rests = essential.groupBy("rec_id").agg(F.max("own").alias("own"), F.min("rest").alias("rest"))
-    partial = (
-        cand_tokens.select(F.col("id").alias("cand_id"), "h").join(essential.select("rec_id", "h", "idf"), "h")
-        .groupBy("rec_id", "cand_id").agg(F.sum("idf").alias("found"))
+    needed = words_of.select("rec_id", "n_authors", F.explode(left).alias("e"), F.aggregate("ts", F.lit(0.0), lambda a, x: a + x["idf"]).alias("own"))
+    looked_up = weighted.where("kind <> 't'").select("rec_id", "h", "kind", "n_authors").union(
+        needed.where(F.col("e.still") >= TITLE_FLOOR * F.col("own")).select("rec_id", "e.h", F.lit("t"), "n_authors")
     )
-    hopeful = partial.join(rests, "rec_id").where(F.col("found") + F.col("rest") >= FLOOR * F.col("own")).select("rec_id", "cand_id")
-    # the exact score of what is left, over all tokens of both
-    return (
-        hopeful.join(weighted, "rec_id")
-        .join(cand_tokens.select(F.col("id").alias("cand_id"), "h"), ["cand_id", "h"])
-        .groupBy("rec_id", "cand_id")
-        .agg(F.sum("idf").alias("weight"), F.sum(F.when(F.col("kind").isin("t", "a"), F.col("idf")).otherwise(0.0)).alias("core"))
-        .join(rests.select("rec_id", "own"), "rec_id")
-        .where(F.col("weight") >= FLOOR * F.col("own"))
-        .select("rec_id", "cand_id", (F.col("weight") / F.col("own")).alias("score"), (F.col("core") / F.col("own")).alias("core"))
+    postings = cand_tokens.select(F.col("id").alias("cand_id"), "h", F.col("n_authors").alias("n_listed"))
+    kind = lambda k: F.count_if(F.col("kind") == k)
+    unknown = (F.col("n_authors") == 0) | (F.col("n_listed") == 0)
+    shared = (
+        looked_up.join(postings, "h").where((F.col("kind") != "t") | unknown)
+        .groupBy("rec_id", "cand_id", "n_authors", "n_listed").agg(kind("a").alias("names"), kind("u").alias("ids"), kind("f").alias("wholes"))
     )
+    enough = F.col("names") * 2 >= F.least("n_authors", "n_listed")
+    return shared.where(unknown | enough | (F.col("ids") > 0) | (F.col("wholes") > 0)).select("rec_id", "cand_id")
 
 
 def _logistic(weights: np.ndarray) -> Column:
@@ -267,13 +265,15 @@ def _logistic(weights: np.ndarray) -> Column:
 def matches(candidates: DataFrame, records: DataFrame) -> DataFrame:
     """``(cand_id, rec_id, score, confidence)`` of the matched pairs."""
     cands, recs = _attributes(candidates, "cand_id"), _attributes(records, "rec_id")
-    pairs = retrieved(cands, recs)
+    cand_tokens, weighted = weighted_tokens(cands, recs)
+    pairs = retrieved(cand_tokens, weighted)
+    tokens = weighted.groupBy("rec_id").agg(F.collect_list(F.struct("h", "idf", "kind")).alias("tokens"))
 
     def side(df: DataFrame, key: str, x: str) -> DataFrame:
         return df.select(F.col("id").alias(key), *(F.col(c).alias(f"{c}_{x}") for c in ("title", "authors", "year", "url")))
 
     compared = materialize(
-        pairs.join(side(recs, "rec_id", "r"), "rec_id").join(side(cands, "cand_id", "c"), "cand_id").mapInArrow(
+        pairs.join(side(recs, "rec_id", "r").join(tokens, "rec_id"), "rec_id").join(side(cands, "cand_id", "c"), "cand_id").mapInArrow(
             _compared, "rec_id long, cand_id long, score double, core double, title double, authors double, years int, same_doi boolean, same_part boolean"
         ),
         "compared",
