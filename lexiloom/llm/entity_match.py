@@ -10,8 +10,10 @@ name, an identifier or, where one side names no author, nearly the whole title
 (see the rules below), so these are the tokens looked up: names, identifiers,
 segments, and of the title's words, rarest first, only those without which a
 pair cannot reach ``TITLE_FLOOR`` of the title's weight.  Common words are
-looked up for records without authors alone.  Pairs whose shared tokens already
-exclude a match are dropped before any attribute is joined; the full score is
+looked up for records without authors alone.  Every posting carries a sketch of
+the title's words in 128 bits: pairs that share less than half of the shorter
+title's words, and no identifier, never leave the join, and pairs whose shared
+names already exclude a match are dropped before any attribute is joined; the full score is
 then taken over all tokens of both.
 
 Pairs that are nearest to each other (the score is within ``NEAR`` of the best
@@ -42,7 +44,9 @@ from lexiloom.core.storage import materialize
 from lexiloom.llm.canonical import canonical_text
 from lexiloom.llm.reading_level import fit_logistic
 
-TITLE_FLOOR, NEAR, MAX_PAIRS = 0.75, 0.5, 20_000
+TITLE_FLOOR, TITLE_WORDS, NEAR, MAX_PAIRS = 0.75, 0.5, 0.5, 20_000
+# Words too common in titles to tell works apart.
+_COMMON = frozenset("a an and at by for from in of on the to with under towards".split())
 _TAG = re.compile(r"<[^<>]{0,60}>|&[a-z]+;|&#\d+;")
 _SEGMENT = re.compile(r"[:：?？]|\s[-–—]+\s")
 _WORD = re.compile(r"[一-鿿]+|[^\W_一-鿿]+")
@@ -112,9 +116,19 @@ def tokens_of(title: str | None, authors: str | None, url: str | None) -> dict[i
     return {xxhash.xxh3_64_intdigest(k) - 2**63: v for k, v in out.items()}
 
 
+def sketch(title: str | None) -> tuple[int, int]:
+    """The title's words, but for the commonest, as 128 bits in two signed numbers."""
+    bits = 0
+    for w in words(title):
+        if w not in _COMMON:
+            bits |= 1 << (xxhash.xxh3_64_intdigest(w) & 127)
+    halves = bits & (2**64 - 1), bits >> 64
+    return tuple(x - 2**64 if x >= 2**63 else x for x in halves)
+
+
 def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, hashes, kinds, listed = [], [], [], []
+        ids, hashes, kinds, listed, low, high = [], [], [], [], [], []
         for i, title, authors, url in zip(*(batch.column(c).to_pylist() for c in ("id", "title", "authors", "url")), strict=True):
             own = tokens_of(title, authors, url)
             if i is None or "t" not in own.values():
@@ -123,8 +137,12 @@ def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes += own.keys()
             kinds += own.values()
             listed += [len(names(authors))] * len(own)
+            a, b = sketch(title)
+            low += [a] * len(own)
+            high += [b] * len(own)
         yield pa.RecordBatch.from_pydict({
             "id": pa.array(ids, pa.int64()), "h": pa.array(hashes, pa.int64()), "kind": pa.array(kinds, pa.string()), "n_authors": pa.array(listed, pa.int32()),
+            "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64()),
         })
 
 
@@ -222,12 +240,12 @@ def _attributes(df: DataFrame, key: str) -> DataFrame:
 
 def weighted_tokens(candidates: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates' tokens, and records' tokens with their inverse document frequency."""
-    schema = "id long, h long, kind string, n_authors int"
+    schema = "id long, h long, kind string, n_authors int, low long, high long"
     cand_tokens, rec_tokens = candidates.mapInArrow(_tokenized, schema), records.mapInArrow(_tokenized, schema)
     total = records.select(F.lit(1)).union(candidates.select(F.lit(1))).agg(F.count("*").alias("n"))
     frequency = cand_tokens.select("h").union(rec_tokens.select("h")).groupBy("h").agg(F.count("*").alias("df"))
     weighted = rec_tokens.join(frequency, "h").crossJoin(F.broadcast(total)).select(  # total is one row
-        F.col("id").alias("rec_id"), "h", "kind", "n_authors", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+        F.col("id").alias("rec_id"), "h", "kind", "n_authors", "low", "high", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
     return cand_tokens, materialize(weighted, "weights")
 
@@ -235,20 +253,25 @@ def weighted_tokens(candidates: DataFrame, records: DataFrame) -> tuple[DataFram
 def retrieved(cand_tokens: DataFrame, weighted: DataFrame) -> DataFrame:
     """``(rec_id, cand_id)`` of all pairs that their shared tokens allow to match."""
     # a title's words are few; rarest first, with the weight of the word and those after it
-    words_of = weighted.where("kind = 't'").groupBy("rec_id", "n_authors").agg(F.sort_array(F.collect_list(F.struct("idf", "h")), asc=False).alias("ts"))
+    words_of = weighted.where("kind = 't'").groupBy("rec_id", "n_authors", "low", "high").agg(F.sort_array(F.collect_list(F.struct("idf", "h")), asc=False).alias("ts"))
     left = F.expr(
         "transform(sequence(0, size(ts) - 1), i -> struct(ts[i].h as h, ts[i].idf as idf,"
         " aggregate(slice(ts, i + 1, size(ts)), cast(0 as double), (a, x) -> a + x.idf) as still))"
     )
-    needed = words_of.select("rec_id", "n_authors", F.explode(left).alias("e"), F.aggregate("ts", F.lit(0.0), lambda a, x: a + x["idf"]).alias("own"))
-    looked_up = weighted.where("kind <> 't'").select("rec_id", "h", "kind", "n_authors").union(
-        needed.where(F.col("e.still") >= TITLE_FLOOR * F.col("own")).select("rec_id", "e.h", F.lit("t"), "n_authors")
+    needed = words_of.select("rec_id", "n_authors", "low", "high", F.explode(left).alias("e"), F.aggregate("ts", F.lit(0.0), lambda a, x: a + x["idf"]).alias("own"))
+    looked_up = weighted.where("kind <> 't'").select("rec_id", "h", "kind", "n_authors", "low", "high").union(
+        needed.where(F.col("e.still") >= TITLE_FLOOR * F.col("own")).select("rec_id", "e.h", F.lit("t"), "n_authors", "low", "high")
+    )
+    postings = cand_tokens.select(
+        F.col("id").alias("cand_id"), "h", F.col("n_authors").alias("n_listed"), F.col("low").alias("low_c"), F.col("high").alias("high_c")
     )
-    postings = cand_tokens.select(F.col("id").alias("cand_id"), "h", F.col("n_authors").alias("n_listed"))
+    bits = lambda a, b: F.bit_count(a) + F.bit_count(b)
+    common = bits(F.col("low").bitwiseAND(F.col("low_c")), F.col("high").bitwiseAND(F.col("high_c")))
+    shorter = F.least(bits(F.col("low"), F.col("high")), bits(F.col("low_c"), F.col("high_c")))
     kind = lambda k: F.count_if(F.col("kind") == k)
     unknown = (F.col("n_authors") == 0) | (F.col("n_listed") == 0)
     shared = (
-        looked_up.join(postings, "h").where((F.col("kind") != "t") | unknown)
+        looked_up.join(postings, "h").where((F.col("kind") != "t") | unknown).where((F.col("kind") == "u") | (common >= TITLE_WORDS * shorter))
         .groupBy("rec_id", "cand_id", "n_authors", "n_listed").agg(kind("a").alias("names"), kind("u").alias("ids"), kind("f").alias("wholes"))
     )
     enough = F.col("names") * 2 >= F.least("n_authors", "n_listed")
