@@ -31,6 +31,7 @@ once.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -45,6 +46,8 @@ from lexiloom.llm.canonical import canonical_text
 from lexiloom.llm.reading_level import fit_logistic
 
 TITLE_FLOOR, TITLE_WORDS, NEAR, MAX_PAIRS = 0.75, 0.5, 0.5, 20_000
+#: Results of one record's functions that a worker remembers; callers do not change them.
+CACHED = 20_000
 # Words too common in titles to tell works apart.
 _COMMON = frozenset("a an and at by for from in of on the to with under towards".split())
 _TAG = re.compile(r"<[^<>]{0,60}>|&[a-z]+;|&#\d+;")
@@ -59,6 +62,7 @@ START = (-11.0, 4.0, 3.0, 3.0, 6.0, 4.0, 1.0, 3.0)
 _MIN_LABELS = 200
 
 
+@functools.lru_cache(maxsize=CACHED)
 def words(title: str | None) -> list[str]:
     """Words of a title in canonical form, without accents or mark-up."""
     if not title:
@@ -67,6 +71,7 @@ def words(title: str | None) -> list[str]:
     return _WORD.findall("".join(c for c in text if not unicodedata.combining(c)))
 
 
+@functools.lru_cache(maxsize=CACHED)
 def segments(title: str | None) -> list[str]:
     """The whole title and its parts at colons, dashes and question marks."""
     if not title:
@@ -76,6 +81,7 @@ def segments(title: str | None) -> list[str]:
     return list(dict.fromkeys(p for p in parts if p))
 
 
+@functools.lru_cache(maxsize=CACHED)
 def names(authors: str | None) -> list[set[str]]:
     """Name words of each listed author, without initials."""
     if not authors:
@@ -89,18 +95,21 @@ def names(authors: str | None) -> list[set[str]]:
     return out
 
 
+@functools.lru_cache(maxsize=CACHED)
 def doi(url: str | None) -> str | None:
     """The identifier in a url or reference, in lower case."""
     m = _DOI.search(url.lower()) if url else None
     return re.sub(r"\.pdf$", "", m[0].replace("_", "/", 1)).rstrip(".)/") if m else None
 
 
+@functools.lru_cache(maxsize=CACHED)
 def part_number(title: str | None) -> str | None:
     """The number at the end of a title: part, volume or stage of a series."""
     m = _PART.search(" ".join(words(title)))
     return {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}.get(m[1], m[1]) if m else None
 
 
+@functools.lru_cache(maxsize=CACHED)
 def tokens_of(title: str | None, authors: str | None, url: str | None) -> dict[int, str]:
     """Hashed tokens of a record and their kinds: t word, s segment, f whole title, a name, u identifier."""
     out: dict[str, str] = {f"t:{w}": "t" for w in words(title)}
@@ -148,7 +157,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _distance_within(a: str, b: str, most: int) -> bool:
     """Whether a and b are within ``most`` edits (a swap of neighbours is one)."""
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
         return False
     before, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -180,6 +189,8 @@ def title_agreement(rec: str | None, cand: str | None) -> float:
             hit += 1
         else:
             open_words.append(w)
+    if len(open_words) > max(2, 0.34 * len(a)):
+        return hit / len(a)  # too many for spelling to explain
     for w in open_words:
         most = 1 if len(w) < 6 else 2
         found = next((x for x in left if (len(w) > 3 and _distance_within(w, x, most)) or (len(w) == 1 and x.startswith(w))), None)
@@ -208,11 +219,16 @@ def author_agreement(rec: str | None, cand: str | None) -> float | None:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remembered: dict[int, dict[int, tuple[float, str]]] = {}
     for batch in batches:
-        col = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        col = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "tokens"}
         score, core, title, authors, years, dois, parts = ([] for _ in range(7))
         for r in range(batch.num_rows):
-            weights = {t["h"]: (t["idf"], t["kind"]) for t in col["tokens"][r]}
+            weights = remembered.get(col["rec_id"][r])
+            if weights is None:
+                if len(remembered) >= CACHED:
+                    remembered.clear()
+                weights = remembered[col["rec_id"][r]] = {t["h"]: (t["idf"], t["kind"]) for t in batch.column("tokens")[r].as_py()}
             strongest = sorted((w for w, k in weights.values() if k == "a"), reverse=True)[:3]
             own = sum(w for w, k in weights.values() if k == "t") + sum(strongest)
             common = [weights[h] for h in tokens_of(col["title_c"][r], col["authors_c"][r], col["url_c"][r]) if h in weights]
