@@ -45,7 +45,7 @@ from lexiloom.core.storage import materialize
 from lexiloom.llm.canonical import canonical_text
 from lexiloom.llm.reading_level import fit_logistic
 
-TITLE_FLOOR, TITLE_WORDS, NEAR, MAX_PAIRS = 0.75, 0.5, 0.5, 20_000
+TITLE_FLOOR, TITLE_WORDS, NEAR, MAX_PAIRS = 0.6, 0.5, 0.5, 20_000
 #: Results of one record's functions that a worker remembers; callers do not change them.
 CACHED = 20_000
 # Words too common in titles to tell works apart.
