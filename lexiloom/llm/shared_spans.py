@@ -288,62 +288,46 @@ def shared_report(candidates: DataFrame, segments: DataFrame, span: int = 120) -
 
     One row for each abstract, paragraph and snippet that is not null: ``(kind,
     id, n_chars, shared_chars, n_spans)``.  The shared characters are those of
-    the merged intervals of all valid partners (the kinds of ``shared_pairs``);
-    a text of ``span`` characters or more that another valid record repeats
-    whole is shared whole.  Repeated keys with one text count once.
+    the merged intervals of all partners: every other record of any kind counts
+    (the kinds of ``shared_pairs`` limit only the pairs), so also a snippet's own
+    candidate and the rows that repeat a paragraph.  A text of ``span``
+    characters or more that another record repeats whole is shared whole.
+    Repeated keys with one text count once; the texts of one key that has
+    several are no partners of each other.
     """
     records = _records(candidates, segments).distinct()
-    members = _members(records, span)
-    is_a = F.col("kind") == "abstract"
-    facts = members.groupBy("class").agg(
-        F.min(F.when(is_a, F.col("id"))).alias("a_min"), F.max(F.when(is_a, F.col("id"))).alias("a_max"),
-        F.max(F.col("kind") == "paragraph").alias("has_p"),
-        F.min(F.when(F.col("kind") == "snippet", F.coalesce("own", F.lit(-1)))).alias("own_min"),
-        F.max(F.when(F.col("kind") == "snippet", F.coalesce("own", F.lit(-1)))).alias("own_max"),
-    )
-    texts = records.select("text", is_a.alias("main"))
-    links = link_spans(text_links(texts, span), texts, span)
-    directed = links.select("class_a", "class_b", F.col("spans_a").alias("spans")).union(
-        links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), F.col("spans_b").alias("spans"))
+    key = F.concat_ws(":", "kind", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    sized = records.select("kind", "id", F.xxhash64("text").alias("class"), F.length("text").alias("n_chars"), key.alias("key")).distinct()
+    long = sized.where(F.col("n_chars") >= span)
+    several = long.groupBy("key").agg(F.count_distinct("class").alias("n")).where("n > 1").select("key", F.col("key").alias("viewer"))
+    # a class has one set of intervals for all its records, but for keys with several texts
+    seen = long.join(several, "key", "left").withColumn("viewer", F.coalesce("viewer", F.lit("")))
+    viewers = seen.select("class", "viewer", "n_chars").distinct()
+    holders = long.groupBy("class").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    texts = records.select("text", F.lit(True).alias("main"))
+    links = materialize(link_spans(text_links(texts, span), texts, span), "shared-spans")
+    directed = links.select(F.col("class_a").alias("class"), F.col("class_b").alias("partner"), F.col("spans_a").alias("spans")).union(
+        links.select("class_b", "class_a", "spans_b")
     )
     n = F.expr("transform(sequence(0, size(spans) - 2, 2), i -> struct(spans[i] as s, spans[i + 1] as e))")
-    partner = facts.select(F.col("class").alias("class_b"), *(F.col(c).alias(f"o_{c}") for c in facts.columns if c != "class"))
-    # the class itself is a partner over the whole text
-    own = members.select("class", "kind", "id", "own").join(facts, "class").select(
-        "class", "kind", "id", "own", F.col("class").alias("class_b"), *(F.col(c).alias(f"o_{c}") for c in facts.columns if c != "class"),
-        F.lit(None).cast("array<struct<s:int,e:int>>").alias("runs"),
-    )
-    other = (
-        expand_links(
-            directed.select("class_a", "class_b").distinct(),
-            members.select("class", "kind", "id", "own"),
-            partner.withColumnRenamed("class_b", "class"),
-        )
-        .join(directed, ["class_a", "class_b"])
-        .select(F.col("class_a").alias("class"), "kind", "id", "own", "class_b", *(f"o_{c}" for c in facts.columns if c != "class"), n.alias("runs"))
-    )
-    # an abstract goes with another abstract, any paragraph, a snippet of another candidate
-    valid = F.expr(
-        "case kind when 'abstract' then coalesce(o_a_min <> id or o_a_max <> id, false) or o_has_p"
-        " or coalesce(o_own_min <> id or o_own_max <> id, false)"
-        " when 'paragraph' then o_a_min is not null"
-        " else o_a_min is not null and (own is null or o_a_min <> own or o_a_max <> own) end"
-    )
+    other = directed.join(holders.withColumnRenamed("class", "partner"), "partner").select(
+        "class", F.when(F.col("first") == F.col("last"), F.col("first")).alias("only"), F.explode(n).alias("r")
+    ).select("class", "only", "r.s", "r.e")
+    whole = holders.where("first <> last").select("class", F.lit(None).cast("string").alias("only"), F.lit(0).alias("s"), F.lit(2**31 - 1).alias("e"))
     runs = (
-        own.union(other).where(valid).select("kind", "id", "class", F.explode_outer("runs").alias("r"))
-        .select("kind", "id", "class", F.coalesce("r.s", F.lit(0)).alias("s"), F.coalesce("r.e", F.lit(2**31 - 1)).alias("e")).distinct()
+        other.union(whole).join(viewers, "class").where("only is null or only <> viewer")
+        .select("class", "viewer", "s", F.least("e", "n_chars").alias("e")).distinct()
     )
-    before = Window.partitionBy("kind", "id", "class").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    sized = records.select("kind", "id", F.xxhash64("text").alias("class"), F.length("text").alias("n_chars")).distinct()
+    before = Window.partitionBy("class", "viewer").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
-        runs.join(sized, ["kind", "id", "class"]).withColumn("e", F.least("e", "n_chars"))
-        .withColumn("reach", F.coalesce(F.max("e").over(before), F.lit(0)))
-        .groupBy("kind", "id", "class")
+        runs.withColumn("reach", F.coalesce(F.max("e").over(before), F.lit(0)))
+        .groupBy("class", "viewer")
         .agg(
             F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "reach"))).alias("shared_chars"),
             F.count_if((F.col("s") > F.col("reach")) | (F.col("reach") == 0)).alias("n_spans"),
         )
     )
-    return sized.join(covered, ["kind", "id", "class"], "left").select(
+    shared = seen.join(covered, ["class", "viewer"]).select("key", "class", "shared_chars", "n_spans")
+    return sized.join(shared, ["key", "class"], "left").select(
         "kind", "id", "n_chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.coalesce("n_spans", F.lit(0)).alias("n_spans")
     )

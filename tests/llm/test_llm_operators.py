@@ -117,6 +117,26 @@ def test_shared_spans_equal_brute_force(spark):
     assert shared_spans.shared_pairs(c.limit(0), s.limit(0)).count() == 0
 
 
+def test_shared_report_counts_every_other_record(spark):
+    a, b, c = text(11, 60), text(12, 60), text(13, 60)
+    abstracts = [(1, a), (2, c[:110]), (3, b[:150]), (3, b[20:150] + "#")]
+    segs = [(10, 9, c[:200], b[200:330]), (11, 9, c[50:250], text(14, 40)), (12, 9, c[:200], b[190:340]), (13, 1, text(15, 40), a[40:180]), (14, 9, None, "")]
+    cands = spark.createDataFrame(abstracts, "cand_id long, abstract string")
+    s = spark.createDataFrame(segs, "seg_id long, cand_id long, source_paragraph string, candidate_snippet string")
+    records = {("abstract", i, t) for i, t in abstracts}
+    records |= {(k, x[0], x[n]) for x in segs for k, n in (("paragraph", 2), ("snippet", 3)) if x[n] is not None}
+
+    def covered(kind, i, t):
+        at = {p + k for p in range(len(t) - 119) for x in records if x[:2] != (kind, i) and t[p : p + 120] in x[2] for k in range(120)}
+        return kind, i, len(t), len(at), sum(p - 1 not in at for p in at)
+
+    got = sorted(tuple(r) for r in shared_spans.shared_report(cands, s).collect())
+    assert got == sorted(covered(*r) for r in records)
+    by = {r[:2]: r[3] for r in got}
+    # paragraph with paragraph, snippet with snippet, a snippet with its own candidate's abstract
+    assert (by["paragraph", 10], by["paragraph", 11], by["snippet", 12], by["snippet", 13], by["abstract", 1]) == (200, 150, 130, 140, 140)
+
+
 # --- problem 6 ---------------------------------------------------------------------------------------------------
 
 HARD = ["", " ", "a", "  a  b ", "x" * 5000, " " * 3000 + "a b" * 400, "日本語 テキスト" * 300, "<|endoftext|> hi " * 40, "it's we'll  don 't" * 50, "a\n\n b\tc  d" * 99, "naïve 😀 ½ ² " * 80]
