@@ -251,8 +251,10 @@ def springer_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def springer_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidates(spark, d).where("source = 'springer'").select("cand_id", "arrival_seq")
-    return payloads.springer_search(rows.where("arrival_seq % 2 = 0"), rows.where("arrival_seq % 2 = 1"), "arrival_seq", 11)
+    """Each paper's search: its first journals and books, told apart here by arrival_seq."""
+    rows = _candidates(spark, d).where("source = 'springer'").select("src_id", "cand_id", "arrival_seq")
+    found = payloads.springer_search(rows.where("arrival_seq % 2 = 0"), rows.where("arrival_seq % 2 = 1"), "arrival_seq", 11, ("src_id",))
+    return found.select("cand_id", "arrival_seq")
 
 
 @query

@@ -48,6 +48,17 @@ def test_scholar_and_springer_rows(spark):
     assert payloads.springer_search(both, both, "resp", 1).count() == 2
 
 
+def test_springer_split_limits_each_paper(spark, tmp_path):
+    from lexiloom.plans.registry import springer_split
+
+    # papers 1 and 2 exceed the limit of 5 journals and 6 books, paper 3 does not
+    rows = [(1 + k // 2 % 2, 100 + k, "springer", k) for k in range(40)] + [(3, 200 + k, "springer", 40 + k) for k in range(3)] + [(3, 300, "arxiv", 43)]
+    spark.createDataFrame(rows, "src_id long, cand_id long, source string, arrival_seq long").write.parquet(f"{tmp_path}/candidates.parquet")
+    of = {c: s for s, c, *_ in rows}
+    got = sorted((of[r["cand_id"]], r["arrival_seq"] % 2) for r in springer_split(spark, str(tmp_path)).collect())
+    assert got == [(1, 0)] * 5 + [(1, 1)] * 6 + [(2, 0)] * 5 + [(2, 1)] * 6 + [(3, 0)] * 2 + [(3, 1)]
+
+
 def test_thesis_strategies(spark):
     table = "<table><tr><td>1<td><a href='/t/1'>A title of some length</a><td>作者: 王小明 2019</tr><tr><td>An abstract in the next row, longer than thirty.</td></tr></table>"
     block = "<div class='thesis-item'><h3>Block title long</h3><a href='http://x/2'>go</a><p>" + "words " * 12 + "</p></div>"
