@@ -17,7 +17,8 @@ names already exclude a match are dropped before any attribute is joined; the fu
 then taken over all tokens of both.
 
 Pairs that are nearest to each other (the score is within ``NEAR`` of the best
-of either side, so several records of one work all stay) get a confidence: a
+of either side, so several records of one work all stay; that of words and names
+alone suffices, as a misspelt title shares no whole title or segment) get a confidence: a
 logistic function of the score, of its gap to the best of either side and of the
 agreement of the attributes.  It is calibrated on pairs that carry identifiers
 (same identifier: a match) and on equal titles of other authors (none), at most
@@ -222,7 +223,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     remembered: dict[int, dict[int, tuple[float, str]]] = {}
     for batch in batches:
         col = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "tokens"}
-        score, core, title, authors, years, dois, parts = ([] for _ in range(7))
+        score, core, plain, title, authors, years, dois, parts = ([] for _ in range(8))
         for r in range(batch.num_rows):
             weights = remembered.get(col["rec_id"][r])
             if weights is None:
@@ -234,6 +235,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = [weights[h] for h in tokens_of(col["title_c"][r], col["authors_c"][r], col["url_c"][r]) if h in weights]
             score.append(sum(w for w, _ in common) / own)
             core.append(sum(w for w, k in common if k != "u") / own)
+            plain.append(sum(w for w, k in common if k in "ta") / own)
             title.append(title_agreement(col["title_r"][r], col["title_c"][r]))
             authors.append(author_agreement(col["authors_r"][r], col["authors_c"][r]))
             a, b = col["year_r"][r], col["year_c"][r]
@@ -245,7 +247,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append(p == q or (cut and p is None))
         yield pa.RecordBatch.from_pydict({
             "rec_id": batch.column("rec_id"), "cand_id": batch.column("cand_id"), "score": pa.array(score, pa.float64()), "core": pa.array(core, pa.float64()),
-            "title": pa.array(title, pa.float64()), "authors": pa.array(authors, pa.float64()),
+            "plain": pa.array(plain, pa.float64()), "title": pa.array(title, pa.float64()), "authors": pa.array(authors, pa.float64()),
             "years": pa.array(years, pa.int32()), "same_doi": pa.array(dois, pa.bool_()), "same_part": pa.array(parts, pa.bool_()),
         })
 
@@ -313,12 +315,12 @@ def matches(candidates: DataFrame, records: DataFrame) -> DataFrame:
 
     compared = materialize(
         pairs.join(side(recs, "rec_id", "r").join(tokens, "rec_id"), "rec_id").join(side(cands, "cand_id", "c"), "cand_id").mapInArrow(
-            _compared, "rec_id long, cand_id long, score double, core double, title double, authors double, years int, same_doi boolean, same_part boolean"
+            _compared, "rec_id long, cand_id long, score double, core double, plain double, title double, authors double, years int, same_doi boolean, same_part boolean"
         ),
         "compared",
     )
-    best_r = compared.groupBy("rec_id").agg(F.max("core").alias("best_rec"))
-    best_c = compared.groupBy("cand_id").agg(F.max("core").alias("best_cand"))
+    best_r = compared.groupBy("rec_id").agg(F.max("core").alias("best_rec"), F.max("plain").alias("plain_rec"))
+    best_c = compared.groupBy("cand_id").agg(F.max("core").alias("best_cand"), F.max("plain").alias("plain_cand"))
     x = (
         compared.join(best_r, "rec_id").join(best_c, "cand_id")
         .select(
@@ -328,6 +330,7 @@ def matches(candidates: DataFrame, records: DataFrame) -> DataFrame:
             F.coalesce("authors", F.lit(0.5)).alias("x_authors"),
             F.when(F.col("years").isNull(), 0.5).when(F.col("years") <= 2, 1.0).otherwise(0.0).alias("x_years"),
             F.when(F.col("same_doi"), 1.0).otherwise(0.0).alias("x_same_doi"),
+            *((F.col("plain") / F.greatest(f"plain_{x}", F.lit(1e-9)) - 1).alias(f"plain_gap_{x}") for x in ("rec", "cand")),
         )
     )
     apart = (F.coalesce("authors", F.lit(1.0)) == 0) | ~F.col("same_part")
@@ -344,7 +347,7 @@ def matches(candidates: DataFrame, records: DataFrame) -> DataFrame:
         data[::2, FEATURES.index("authors")] = 0.5
         weights = fit_logistic(data, y, penalty=1e-3)
         weights[1 + FEATURES.index("same_doi")] = 3.0
-    nearest = (F.col("x_gap_rec") >= NEAR - 1) & (F.col("x_gap_cand") >= NEAR - 1)
+    nearest = (F.greatest("x_gap_rec", "plain_gap_rec") >= NEAR - 1) & (F.greatest("x_gap_cand", "plain_gap_cand") >= NEAR - 1)
     allowed = ~apart & (F.coalesce("years", F.lit(0)) <= 2)
     # known authors allow for a shortened title; else the whole title must agree
     same = F.coalesce("same_doi", F.lit(False))

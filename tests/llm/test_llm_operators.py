@@ -262,6 +262,15 @@ def test_matches(spark):
     assert entity_match.matches(empty, spark.createDataFrame(recs, schema.format("rec_id"))).count() == 0
 
 
+def test_misspelt_record_stays_beside_an_exact_copy(spark):
+    title = "Packet scheduling: latency evidence: Vabebiornetolu"
+    cands = [(1, title, "Korth Dawirum", 2020, None)] + [(10 + i, f"{WORDS[i]} filter for {WORDS[i + 40]} control", f"An {WORDS[i]}a", 2001, None) for i in range(30)]
+    recs = [(500, title, "Dawirum, K.", 2020, None), (501, "Packet shceduling: latency evideence: Vabebiornetolu", "Dawirum, K.", 2020, None)]
+    schema = "{} long, title string, authors string, year int, url string"
+    got = entity_match.matches(spark.createDataFrame(cands, schema.format("cand_id")), spark.createDataFrame(recs, schema.format("rec_id")))
+    assert {(r["cand_id"], r["rec_id"]) for r in got.collect()} == {(1, 500), (1, 501)}
+
+
 def test_registered_queries_name_the_contract():
     from lexiloom.llm import registry
 
