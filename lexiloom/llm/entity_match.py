@@ -1,33 +1,39 @@
 """Problem 2: matching works across two tables without a common key.
 
-Method.  Every record is a document of tokens over all its attributes: words,
-segments and the whole of the title, names of authors, the identifier in the
-url.  An inverted index in Spark scores pairs with BM25 (a token occurs once in
-a record, so its weight is its inverse document frequency).
-
-Retrieval is exact and pruned, with no fixed k.  A match must share an author's
-name, an identifier or, where one side names no author, nearly the whole title
-(see the rules below), so these are the tokens looked up: names, identifiers,
-segments, and of the title's words, rarest first, only those without which a
-pair cannot reach ``TITLE_FLOOR`` of the title's weight.  Common words are
-looked up for records without authors alone.  Every posting carries a sketch of
-the title's words in 128 bits: pairs that share less than half of the shorter
-title's words, and no identifier, never leave the join, and pairs whose shared
-names already exclude a match are dropped before any attribute is joined; the full score is
-then taken over all tokens of both.
-
-Pairs that are nearest to each other (the score is within ``NEAR`` of the best
-of either side, so several records of one work all stay; that of words and names
-alone suffices, as a misspelt title shares no whole title or segment) get a confidence: a
-logistic function of the score, of its gap to the best of either side and of the
-agreement of the attributes.  It is calibrated on pairs that carry identifiers
-(same identifier: a match) and on equal titles of other authors (none), at most
-``MAX_PAIRS`` of them, a documented bound; with too few, on starting weights.
-
-Rules: different part numbers, authors without a common name, or years more than
-two apart exclude a match.  Null or empty attributes neither speak for a match
-nor against it; records without a title are in no match.  A repeated id counts
-once.
+Method.  Every record is a document of tokens over all its attributes: the words
+of the title, the names of the authors, the year and the identifier in the url.
+Records of the catalogue are queries against an inverted index of the
+candidates; pairs are scored by BM25 (term saturation, document length, inverse
+document frequency over both tables).  Words enter the index by their set of
+letters, so swapped or doubled letters change nothing.
+
+Retrieval is exact and pruned, with no fixed k: it finds every pair whose shared
+weight is at least ``FLOOR`` of the record's own (its title and its three
+rarest author names), or ``TITLE_FLOOR`` of its title's where one side names no
+author, or that shares an identifier.  Pairs that name authors on both sides and
+share none are no matches by definition and are not looked up.  So the tokens
+looked up are names, identifiers and the rarest words of the title: those
+without which a pair without authors cannot reach its floor.  An upper bound
+from 128-bit sketches of the titles drops pairs inside the join (what may be
+shared weighs less than the floor); the rest is scored in the same stage from
+packed token lists, so no candidate pair below the floor is ever shuffled.
+
+Pairs that are nearest to each other stay: the score is within ``NEAR`` of the
+best of either side, as works have several records and candidates.  Their
+confidence is a logistic function of the score, of its gaps to the best of
+either side and of the shares of title and authors.  It is calibrated on pairs
+with identifiers on both sides (the same: a match, different: none), at most
+about ``MAX_PAIRS`` of them, a documented bound, with the starting weights as
+prior mean at every size; the identifier itself then counts with a fixed weight.
+
+An exact check follows: different part numbers or years more than two apart
+exclude a match.  Null or empty attributes neither speak for a match nor against
+it; records without a title are in no match.  Of a repeated id with several
+contents each counts; a pair comes once, with its best confidence.
+
+Scale.  Hot tokens are cut into parts by the product of their frequencies, the
+same on both sides.  Broadcast are one byte for each of 2^20 cells of token
+hashes (which tokens are looked up, and in how many parts) and the weights.
 """
 
 from __future__ import annotations
@@ -46,21 +52,28 @@ from lexiloom.core.storage import materialize
 from lexiloom.llm.canonical import canonical_text
 from lexiloom.llm.reading_level import fit_logistic
 
-TITLE_FLOOR, TITLE_WORDS, NEAR, MAX_PAIRS = 0.6, 0.5, 0.5, 20_000
+FLOOR, TITLE_FLOOR, NEAR, MAX_PAIRS = 0.6, 0.8, 0.7, 20_000
+#: BM25: saturation of repeated terms, and how much the document's length counts.
+K1, B = 1.2, 0.3
 #: Results of one record's functions that a worker remembers; callers do not change them.
 CACHED = 20_000
-# Words too common in titles to tell works apart.
-_COMMON = frozenset("a an and at by for from in of on the to with under towards".split())
+#: Pairs of postings that one task joins for a token, and the most parts (as powers of two).
+PART_LOAD, MOST_PARTS = 1 << 26, 12
+CELL_BITS = 20
+TITLE, AUTHOR, YEAR, URL = 0, 1, 2, 3
+_TIERS = 3
+_TOKEN = np.dtype([("h", "<i8"), ("tf", "u1")])
+_HELD = np.dtype([("h", "<u4"), ("tf", "u1")])
+_ASKED = np.dtype([("h", "<u4"), ("w", "<f4"), ("looked", "u1")])
 _TAG = re.compile(r"<[^<>]{0,60}>|&[a-z]+;|&#\d+;")
-_SEGMENT = re.compile(r"[:：?？]|\s[-–—]+\s")
 _WORD = re.compile(r"[一-鿿]+|[^\W_一-鿿]+")
 _PART = re.compile(r"(?:^|\s)(\d{1,3}|i{1,3}|iv|v)$")
 _DOI = re.compile(r"10\.\d{3,9}[/_][^\s?#]+")
-_AND = re.compile(r"\b(?:and others|et al)\b\.?|[&;,]|\band\b", re.I)
-FEATURES = ("score", "gap_rec", "gap_cand", "title", "authors", "years", "same_doi")
-#: Starting weights (intercept first) where too few pairs can calibrate.
-START = (-11.0, 4.0, 3.0, 3.0, 6.0, 4.0, 1.0, 3.0)
-_MIN_LABELS = 200
+FEATURES = ("score", "title", "back", "authors", "unknown", "gap_rec", "gap_cand")
+#: Prior mean of the calibration (intercept first), and its weight in labelled pairs.
+START, PRIOR = (-9.5, 3.5, 3.5, 4.5, 2.0, -1.0, 4.5, 1.0), 10.0
+#: Fixed weight of an identifier that both sides name: for if the same, against if not.
+IDENTIFIER = 4.0
 
 
 @functools.lru_cache(maxsize=CACHED)
@@ -72,16 +85,6 @@ def words(title: str | None) -> list[str]:
     return _WORD.findall("".join(c for c in text if not unicodedata.combining(c)))
 
 
-@functools.lru_cache(maxsize=CACHED)
-def segments(title: str | None) -> list[str]:
-    """The whole title and its parts at colons, dashes and question marks."""
-    if not title:
-        return []
-    text = canonical_text(_TAG.sub(" ", title))
-    parts = [" ".join(words(p)) for p in (text, *_SEGMENT.split(text))]
-    return list(dict.fromkeys(p for p in parts if p))
-
-
 @functools.lru_cache(maxsize=CACHED)
 def names(authors: str | None) -> list[set[str]]:
     """Name words of each listed author, without initials."""
@@ -110,247 +113,295 @@ def part_number(title: str | None) -> str | None:
     return {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}.get(m[1], m[1]) if m else None
 
 
-@functools.lru_cache(maxsize=CACHED)
-def tokens_of(title: str | None, authors: str | None, url: str | None) -> dict[int, str]:
-    """Hashed tokens of a record and their kinds: t word, s segment, f whole title, a name, u identifier."""
-    out: dict[str, str] = {f"t:{w}": "t" for w in words(title)}
-    for k, s in enumerate(segments(title)):
-        if " " in s or len(s) > 12:
-            out[f"s:{s}"] = "s" if k else "f"
-    for n in names(authors):
-        for w in n:
-            out[f"a:{w}"] = "a"
-    d = doi(url)
-    if d:
-        out[f"u:{d}"] = "u"
-    return {xxhash.xxh3_64_intdigest(k) - 2**63: v for k, v in out.items()}
-
-
-def sketch(title: str | None) -> tuple[int, int]:
-    """The title's words, but for the commonest, as 128 bits in two signed numbers."""
-    bits = 0
+def letters(word: str, least: int) -> str:
+    """What a word enters the index by: its set of letters if it has ``least`` or more."""
+    return "".join(sorted(set(word))) + "*" if len(word) >= least and word.isalpha() else word
+
+
+def terms(title: str | None, authors: str | None, year: int | None, url: str | None) -> list[tuple[int, str]]:
+    """The tokens of a record with their kinds, repeats kept."""
+    out = []
     for w in words(title):
-        if w not in _COMMON:
-            bits |= 1 << (xxhash.xxh3_64_intdigest(w) & 127)
-    halves = bits & (2**64 - 1), bits >> 64
-    return tuple(x - 2**64 if x >= 2**63 else x for x in halves)
+        if "一" <= w[0] <= "鿿":
+            out += [(TITLE, w[i : i + 2]) for i in range(max(1, len(w) - 1))]
+        else:
+            out.append((TITLE, letters(w, 4)))
+    out += {(AUTHOR, letters(w, 8)) for n in names(authors) for w in n}
+    if year is not None:
+        out.append((YEAR, str(year)))
+    identifier = doi(url)
+    return [*out, (URL, identifier)] if identifier else out
 
 
-def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(kind: int, token: str) -> int:
+    return (xxhash.xxh3_64_intdigest(f"{kind}{token}") & ~3 | kind) - 2**63
+
+
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, tokens, part, year``: tokens packed as hash and count; part -1 where a cut may hide it."""
+    known: dict[tuple[int, str], int] = {}
     for batch in batches:
-        ids, hashes, kinds, listed, low, high = [], [], [], [], [], []
-        for i, title, authors, url in zip(*(batch.column(c).to_pylist() for c in ("id", "title", "authors", "url")), strict=True):
-            own = tokens_of(title, authors, url)
-            if i is None or "t" not in own.values():
+        ids, blobs, parts, years = [], [], [], []
+        for i, title, authors, year, url in zip(*(batch.column(c).to_pylist() for c in ("id", "title", "authors", "year", "url")), strict=True):
+            found: dict[int, int] = {}
+            if i is None or not words(title):
                 continue
-            ids += [i] * len(own)
-            hashes += own.keys()
-            kinds += own.values()
-            listed += [len(names(authors))] * len(own)
-            a, b = sketch(title)
-            low += [a] * len(own)
-            high += [b] * len(own)
-        yield pa.RecordBatch.from_pydict({
-            "id": pa.array(ids, pa.int64()), "h": pa.array(hashes, pa.int64()), "kind": pa.array(kinds, pa.string()), "n_authors": pa.array(listed, pa.int32()),
-            "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64()),
-        })
+            if len(known) > 10 * CACHED:
+                known.clear()
+            for t in terms(title, authors, year, url):
+                h = known.get(t)
+                if h is None:
+                    h = known[t] = _hashed(*t)
+                found[h] = min(found.get(h, 0) + 1, 255)
+            ids.append(i)
+            blobs.append(np.array(list(found.items()), dtype=_TOKEN).tobytes())
+            number = part_number(title)
+            parts.append(xxhash.xxh3_64_intdigest(number) >> 2 if number else -1 if title.rstrip().endswith(("...", "…")) else 0)
+            years.append(year)
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "tokens": pa.array(blobs, pa.binary()), "part": pa.array(parts, pa.int64()), "year": pa.array(years, pa.int32())})
+
+
+def _unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a column of packed lists, and the row of each."""
+    blobs = column.to_pylist()
+    sizes = np.array([len(b) for b in blobs], dtype=np.int64) // kind.itemsize
+    return np.frombuffer(b"".join(blobs), dtype=kind), np.repeat(np.arange(len(blobs)), sizes)
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        entries, row = _unpacked(batch.column("tokens"), _TOKEN)
+        cols = {c: batch.column(c).take(pa.array(row)) for c in batch.schema.names if c != "tokens"}
+        yield pa.RecordBatch.from_pydict(cols | {"h": pa.array(np.ascontiguousarray(entries["h"])), "tf": pa.array(entries["tf"].astype(np.int32))})
 
 
-def _distance_within(a: str, b: str, most: int) -> bool:
-    """Whether a and b are within ``most`` edits (a swap of neighbours is one)."""
-    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
-        return False
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if before is not None and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return False
-        before, last = last, row
-    return last[-1] <= most
-
-
-def title_agreement(rec: str | None, cand: str | None) -> float:
-    """Share of the shorter title's words found in the other, spelling aside."""
-    a, b = words(rec), words(cand)
-    if not a or not b:
-        return 0.0
-    if len(a) > len(b):
-        a, b = b, a
-    left = list(b)
-    hit = 0
-    open_words = []
-    for w in a:
-        if w in left:
-            left.remove(w)
-            hit += 1
-        else:
-            open_words.append(w)
-    if len(open_words) > max(2, 0.34 * len(a)):
-        return hit / len(a)  # too many for spelling to explain
-    for w in open_words:
-        most = 1 if len(w) < 6 else 2
-        found = next((x for x in left if (len(w) > 3 and _distance_within(w, x, most)) or (len(w) == 1 and x.startswith(w))), None)
-        if found is None and len(w) > 3 and left:
-            # a word that a missing or added space split or joined
-            found = next((x for x in left if x.startswith(w) or w.startswith(x) and len(x) > 3), None)
-        if found is not None:
-            left.remove(found)
-            hit += 1
-    return hit / len(a)
-
-
-def author_agreement(rec: str | None, cand: str | None) -> float | None:
-    """Share of the shorter list's authors with a name in the other; None if unknown."""
-    a, b = names(rec), names(cand)
-    if not a or not b:
-        return None
-    if len(a) > len(b):
-        a, b = b, a
-    pool = set().union(*b)
-    hits = 0
-    for own in a:
-        if own & pool or any(len(w) > 7 and any(_distance_within(w, x, 1) for x in pool) for w in own):
-            hits += 1
-    return hits / len(a)
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    remembered: dict[int, dict[int, tuple[float, str]]] = {}
+def _mask(bits: np.ndarray) -> tuple[int, int, int]:
+    """Two signed halves of the 128-bit mask of some bits, and how many bits coincide."""
+    own = set(bits.tolist())
+    m = sum(1 << b for b in own)
+    return *(x - 2**64 if x >= 2**63 else x for x in (m & (2**64 - 1), m >> 64)), len(bits) - len(own)
+
+
+_BOUNDS = [f"{c}{k}" for k in range(_TIERS) for c in ("low", "high", "top")]
+_QUERY = (
+    "rec_id long, year_r int, part_r long, own_t float, own_a float, names long, top_a float, more_a float, base float, "
+    + ", ".join(f"{c} {'float' if c[0] == 't' else 'long'}" for c in _BOUNDS) + ", asked binary, looks array<long>, levels array<int>"
+)
+
+
+def _queries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Each record as a query: weights, the tokens to look up, and bounds on what a title can share."""
     for batch in batches:
-        col = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "tokens"}
-        score, core, plain, title, authors, years, dois, parts = ([] for _ in range(8))
-        for r in range(batch.num_rows):
-            weights = remembered.get(col["rec_id"][r])
-            if weights is None:
-                if len(remembered) >= CACHED:
-                    remembered.clear()
-                weights = remembered[col["rec_id"][r]] = {t["h"]: (t["idf"], t["kind"]) for t in batch.column("tokens")[r].as_py()}
-            strongest = sorted((w for w, k in weights.values() if k == "a"), reverse=True)[:3]
-            own = sum(w for w, k in weights.values() if k == "t") + sum(strongest)
-            common = [weights[h] for h in tokens_of(col["title_c"][r], col["authors_c"][r], col["url_c"][r]) if h in weights]
-            score.append(sum(w for w, _ in common) / own)
-            core.append(sum(w for w, k in common if k != "u") / own)
-            plain.append(sum(w for w, k in common if k in "ta") / own)
-            title.append(title_agreement(col["title_r"][r], col["title_c"][r]))
-            authors.append(author_agreement(col["authors_r"][r], col["authors_c"][r]))
-            a, b = col["year_r"][r], col["year_c"][r]
-            years.append(None if a is None or b is None else abs(a - b))
-            x, y = doi(col["url_r"][r]), doi(col["url_c"][r])
-            dois.append(None if not x or not y else x == y)
-            p, q = part_number(col["title_r"][r]), part_number(col["title_c"][r])
-            cut = col["title_r"][r].rstrip().endswith(("...", "…"))
-            parts.append(p == q or (cut and p is None))
-        yield pa.RecordBatch.from_pydict({
-            "rec_id": batch.column("rec_id"), "cand_id": batch.column("cand_id"), "score": pa.array(score, pa.float64()), "core": pa.array(core, pa.float64()),
-            "plain": pa.array(plain, pa.float64()), "title": pa.array(title, pa.float64()), "authors": pa.array(authors, pa.float64()),
-            "years": pa.array(years, pa.int32()), "same_doi": pa.array(dois, pa.bool_()), "same_part": pa.array(parts, pa.bool_()),
-        })
+        out: dict[str, list] = {c.split()[0]: [] for c in _QUERY.split(", ")}
+        for rec_id, year, part, ts in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "year", "part", "ts")), strict=True):
+            h = np.array([t["h"] for t in ts], dtype=np.int64)
+            df, held = np.array([t["df"] for t in ts], dtype=float), np.array([t["held"] for t in ts], dtype=float)
+            order = np.argsort(df, kind="stable")
+            h, df, held = h[order], df[order], held[order]
+            w, kind = np.log(1 + (n - df + 0.5) / (df + 0.5)), h & 3
+            titled, named = kind == TITLE, kind == AUTHOR
+            own_t, own_a = w[titled].sum(), w[named][:3].sum()
+            # words by falling weight; those without which a pair cannot reach the floor of the title
+            left = own_t - np.cumsum(w[titled]) + w[titled]
+            looked = named | (kind == URL)
+            looked[np.flatnonzero(titled)[left >= TITLE_FLOOR * own_t]] = True
+            heavy = titled & (df <= n / 10)
+            bits, weights, base = (h[heavy] >> 8) & 127, w[heavy], w[titled & ~heavy].sum()
+            for k, tier in enumerate(np.array_split(np.arange(len(bits)), _TIERS)):
+                low, high, same = _mask(bits[tier])
+                top = weights[tier].max() if len(tier) else 0.0
+                base += same * top
+                for c, x in ((f"low{k}", low), (f"high{k}", high), (f"top{k}", top)):
+                    out[c].append(x)
+            low, _, same = _mask((h[named] >> 8) & 63)
+            top = w[named].max() if named.any() else 0.0
+            load = held * (df - held) / PART_LOAD
+            packed = np.empty(len(h), dtype=_ASKED)
+            packed["h"], packed["w"], packed["looked"] = h & 0xFFFFFFFF, w, looked
+            packed.sort(order="h")
+            row = {
+                "rec_id": rec_id, "year_r": year, "part_r": part, "own_t": own_t, "own_a": own_a, "names": low, "top_a": top, "more_a": same * top, "base": base,
+                "asked": packed.tobytes(), "looks": h[looked].tolist(), "levels": np.clip(np.ceil(np.log2(np.maximum(load[looked], 1))), 0, MOST_PARTS).astype(int).tolist(),
+            }
+            for c, x in row.items():
+                out[c].append(x)
+        yield pa.RecordBatch.from_pydict(out, schema=_arrow(_QUERY))
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "float": pa.float32(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+
+
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _asked(batches: Iterator[pa.RecordBatch], cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each token that a query looks up, and for each of the token's parts."""
+    for batch in batches:
+        looks = batch.column("looks")
+        h, row = looks.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), looks.value_lengths().to_numpy(zero_copy_only=False))
+        parts = 1 << (cells[_cell(h)].astype(np.int64) - 1)
+        each = np.repeat(np.arange(len(h)), parts)
+        part = np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts)
+        cols = {c: batch.column(c).take(pa.array(row[each])) for c in batch.schema.names if c not in ("looks", "levels")}
+        yield pa.RecordBatch.from_pydict({"h": pa.array(h[each]), "part": pa.array(part.astype(np.int32))} | cols)
 
 
-def _attributes(df: DataFrame, key: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "title", "authors", F.col("year").cast("int").alias("year"), "url").dropDuplicates(["id"])
+def _posted(batches: Iterator[pa.RecordBatch], cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Postings of the candidates' tokens that any query may look up."""
+    for batch in batches:
+        entries, row = _unpacked(batch.column("tokens"), _TOKEN)
+        h = np.ascontiguousarray(entries["h"])
+        n, kind, bit = batch.num_rows, h & 3, (h >> 8) & 127
+        sketch = np.zeros((n, 3), dtype=np.uint64)
+        one = np.uint64(1) << (bit & 63).astype(np.uint64)
+        for k, own in enumerate(((kind == TITLE) & (bit < 64), (kind == TITLE) & (bit >= 64), kind == AUTHOR)):
+            np.bitwise_or.at(sketch[:, k], row[own], one[own])
+        packed = np.empty(len(h), dtype=_HELD)
+        packed["h"], packed["tf"] = h & 0xFFFFFFFF, entries["tf"]
+        order = np.lexsort((packed["h"], row))
+        ends = np.searchsorted(row, np.arange(n), side="right") * _HELD.itemsize
+        data = packed[order].tobytes()
+        blobs = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
+        value = cells[_cell(h)] if len(h) else np.empty(0, np.uint8)
+        keep = np.flatnonzero((value > 0) & (kind != YEAR))
+        at = pa.array(row[keep])
+        ids = batch.column("id").to_numpy()[row[keep]]
+        spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        part = spread.astype(np.int64) & ((1 << (value[keep].astype(np.int64) - 1)) - 1)
+        signed = sketch.view(np.int64)
+        yield pa.RecordBatch.from_pydict({
+            "h": pa.array(h[keep]), "part": pa.array(part.astype(np.int32)), "cand_id": pa.array(ids), "year_c": batch.column("year").take(at), "part_c": batch.column("part").take(at),
+            "low": pa.array(signed[row[keep], 0]), "high": pa.array(signed[row[keep], 1]), "names_c": pa.array(signed[row[keep], 2]), "held": pa.array(blobs, pa.binary()).take(at),
+        })
 
 
-def weighted_tokens(candidates: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates' tokens, and records' tokens with their inverse document frequency."""
-    schema = "id long, h long, kind string, n_authors int, low long, high long"
-    cand_tokens, rec_tokens = candidates.mapInArrow(_tokenized, schema), records.mapInArrow(_tokenized, schema)
-    total = records.select(F.lit(1)).union(candidates.select(F.lit(1))).agg(F.count("*").alias("n"))
-    frequency = cand_tokens.select("h").union(rec_tokens.select("h")).groupBy("h").agg(F.count("*").alias("df"))
-    weighted = rec_tokens.join(frequency, "h").crossJoin(F.broadcast(total)).select(  # total is one row
-        F.col("id").alias("rec_id"), "h", "kind", "n_authors", "low", "high", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
-    return cand_tokens, materialize(weighted, "weights")
+_SCORED = "rec_id long, cand_id long, score double, title double, back double, authors double, years int, same_doi boolean, same_part boolean"
 
 
-def retrieved(cand_tokens: DataFrame, weighted: DataFrame) -> DataFrame:
-    """``(rec_id, cand_id)`` of all pairs that their shared tokens allow to match."""
-    # a title's words are few; rarest first, with the weight of the word and those after it
-    words_of = weighted.where("kind = 't'").groupBy("rec_id", "n_authors", "low", "high").agg(F.sort_array(F.collect_list(F.struct("idf", "h")), asc=False).alias("ts"))
-    left = F.expr(
-        "transform(sequence(0, size(ts) - 1), i -> struct(ts[i].h as h, ts[i].idf as idf,"
-        " aggregate(slice(ts, i + 1, size(ts)), cast(0 as double), (a, x) -> a + x.idf) as still))"
-    )
-    needed = words_of.select("rec_id", "n_authors", "low", "high", F.explode(left).alias("e"), F.aggregate("ts", F.lit(0.0), lambda a, x: a + x["idf"]).alias("own"))
-    looked_up = weighted.where("kind <> 't'").select("rec_id", "h", "kind", "n_authors", "low", "high").union(
-        needed.where(F.col("e.still") >= TITLE_FLOOR * F.col("own")).select("rec_id", "e.h", F.lit("t"), "n_authors", "low", "high")
+def _scored(batches: Iterator[pa.RecordBatch], length: float) -> Iterator[pa.RecordBatch]:
+    """BM25 of each pair, once, at the first token that both sides share and the query looks up."""
+    for batch in batches:
+        n = batch.num_rows
+        asked, row = _unpacked(batch.column("asked"), _ASKED)
+        held, row_c = _unpacked(batch.column("held"), _HELD)
+        mine, other = (row.astype(np.int64) << 32) | asked["h"], (row_c.astype(np.int64) << 32) | held["h"]
+        at = np.minimum(np.searchsorted(other, mine), max(len(other) - 1, 0))
+        shared = other[at] == mine if len(other) else np.zeros(len(mine), bool)
+        kind = asked["h"] & 3
+        sums = lambda mask, weights: np.bincount(row[mask], weights=weights[mask].astype(float), minlength=n)
+        tf, norm = held["tf"].astype(float), K1 * (1 - B + B * np.bincount(row_c, weights=held["tf"], minlength=n) / length)
+        gain = asked["w"] * (K1 + 1) * tf[at] / (tf[at] + norm[row]) if len(other) else asked["w"] * 0.0
+        plain = [sums(shared & (kind == k), asked["w"]) for k in (TITLE, AUTHOR)]
+        full = [sums(shared & (kind == k), gain) for k in (TITLE, AUTHOR, YEAR)]
+        own_t, own_a = (batch.column(c).to_numpy().astype(float) for c in ("own_t", "own_a"))
+        known = (batch.column("names").to_numpy() != 0) & (batch.column("names_c").to_numpy() != 0)
+        dated = batch.column("year_r").is_valid().to_numpy(zero_copy_only=False) & batch.column("year_c").is_valid().to_numpy(zero_copy_only=False)
+        own_y = sums(kind == YEAR, asked["w"])
+        ids_r, ids_c = np.bincount(row[kind == URL], minlength=n) > 0, np.bincount(row_c[(held["h"] & 3) == URL], minlength=n) > 0
+        same = np.bincount(row[shared & (kind == URL)], minlength=n) > 0
+        names = np.minimum(plain[1], own_a)
+        share = np.where(known, plain[0] + names, plain[0]) / np.where(known, own_t + own_a, own_t)
+        enough = np.where(known, (share >= FLOOR) & (names > 0), share >= TITLE_FLOOR) | same
+        # the pair is met at each shared token that is looked up; it counts at one of them
+        meets = shared & (asked["looked"] > 0) & ((kind != TITLE) | ~known[row])
+        rank = np.where(meets, asked["h"].astype(np.int64) + np.where(kind == URL, 0, 1 << 32), 1 << 40)
+        least = np.full(n, 1 << 40)
+        np.minimum.at(least, row, rank)
+        keep = np.flatnonzero(enough & ((least & 0xFFFFFFFF) == (batch.column("h").to_numpy() & 0xFFFFFFFF)))
+        words_c = np.bincount(row_c[(held["h"] & 3) == TITLE], minlength=n)
+        weight = own_t + np.where(known, own_a, 0) + np.where(dated, own_y, 0)
+        # of the names at most the weight of the record's three rarest counts, as in the record's own
+        named = names * full[1] / np.maximum(plain[1], 1e-9)
+        score = (full[0] + np.where(known, named, 0) + np.where(dated, full[2], 0)) / weight
+        years = np.abs(batch.column("year_r").fill_null(0).to_numpy().astype(np.int64) - batch.column("year_c").fill_null(0).to_numpy())
+        part_r = batch.column("part_r").to_numpy()
+        cols = {
+            "rec_id": batch.column("rec_id").to_numpy(), "cand_id": batch.column("cand_id").to_numpy(), "score": score, "title": plain[0] / own_t,
+            "back": np.bincount(row[shared & (kind == TITLE)], minlength=n) / np.maximum(words_c, 1), "authors": names / np.maximum(own_a, 1e-9),
+            "years": years.astype(np.int32), "same_doi": same, "same_part": (part_r == batch.column("part_c").to_numpy()) | (part_r == -1),
+        }
+        empty = {"authors": ~known, "years": ~dated, "same_doi": ~(ids_r & ids_c)}
+        yield pa.RecordBatch.from_pydict({c: pa.array(x[keep], mask=empty[c][keep] if c in empty else None) for c, x in cols.items()}, schema=_arrow(_SCORED))
+
+
+def _profiles(df: DataFrame, key: str) -> DataFrame:
+    source = df.select(F.col(key).cast("long").alias("id"), "title", "authors", F.col("year").cast("int").alias("year"), "url")
+    return materialize(source.mapInArrow(_profiled, "id long, tokens binary, part long, year int"), "profiles")
+
+
+def _possible() -> Column:
+    """Whether the shared bits of the sketches allow the pair to reach its floor."""
+    title = F.col("base")
+    for k in range(_TIERS):
+        title = title + F.col(f"top{k}") * (F.bit_count(F.col(f"low{k}").bitwiseAND(F.col("low"))) + F.bit_count(F.col(f"high{k}").bitwiseAND(F.col("high"))))
+    title = F.least(title, F.col("own_t"))
+    names = F.least(F.col("more_a") + F.col("top_a") * F.bit_count(F.col("names").bitwiseAND(F.col("names_c"))), F.col("own_a"))
+    kind = F.col("h").bitwiseAND(F.lit(3))
+    slack = 1e-4  # the bounds are single precision
+    known = (F.col("names") != 0) & (F.col("names_c") != 0)
+    by_title = (kind == TITLE) & ~known & (title >= (TITLE_FLOOR - slack) * F.col("own_t"))
+    by_names = (kind == AUTHOR) & (title + names >= (FLOOR - slack) * (F.col("own_t") + F.col("own_a")))
+    return (kind == URL) | by_names | by_title
+
+
+def scored_pairs(candidates: DataFrame, records: DataFrame) -> DataFrame:
+    """The pairs above their floor with score and agreement of their attributes."""
+    cands, recs = _profiles(candidates, "cand_id"), _profiles(records, "rec_id")
+    tokens_c = cands.select("tokens").mapInArrow(_exploded, "h long, tf int").select("h", "tf", F.lit(0).alias("asks"))
+    # a repeated record is one query, a repeated id with other contents another
+    tokens_r = recs.withColumn("content", F.xxhash64("tokens")).mapInArrow(_exploded, "id long, part long, year int, content long, h long, tf int")
+    frequency = materialize(
+        tokens_c.union(tokens_r.select("h", "tf", F.lit(1))).groupBy("h")
+        .agg(F.count("*").alias("df"), F.sum("asks").alias("held"), F.sum("tf").alias("tf")).where("held > 0"),
+        "frequency",
     )
-    postings = cand_tokens.select(
-        F.col("id").alias("cand_id"), "h", F.col("n_authors").alias("n_listed"), F.col("low").alias("low_c"), F.col("high").alias("high_c")
+    n = cands.count() + recs.count()
+    length = max(1.0, (cands.agg(F.sum(F.length("tokens"))).first()[0] or 0) / _TOKEN.itemsize / max(1, n))
+    queries = materialize(
+        tokens_r.join(frequency, "h").groupBy(F.col("id").alias("rec_id"), "content", "part", "year").agg(F.collect_set(F.struct("h", "df", "held")).alias("ts"))
+        .mapInArrow(lambda it: _queries(it, n), _QUERY),
+        "queries",
     )
-    bits = lambda a, b: F.bit_count(a) + F.bit_count(b)
-    common = bits(F.col("low").bitwiseAND(F.col("low_c")), F.col("high").bitwiseAND(F.col("high_c")))
-    shorter = F.least(bits(F.col("low"), F.col("high")), bits(F.col("low_c"), F.col("high_c")))
-    kind = lambda k: F.count_if(F.col("kind") == k)
-    unknown = (F.col("n_authors") == 0) | (F.col("n_listed") == 0)
-    shared = (
-        looked_up.join(postings, "h").where((F.col("kind") != "t") | unknown).where((F.col("kind") == "u") | (common >= TITLE_WORDS * shorter))
-        .groupBy("rec_id", "cand_id", "n_authors", "n_listed").agg(kind("a").alias("names"), kind("u").alias("ids"), kind("f").alias("wholes"))
+    looked = queries.select(F.explode(F.arrays_zip("looks", "levels")).alias("x")).groupBy(F.shiftrightunsigned("x.looks", 64 - CELL_BITS).alias("cell")).agg((F.max("x.levels") + 1).cast("long").alias("v"))
+    # one byte a cell, eight to a number: at most 2^17 rows, whatever the input
+    bytes_of = looked.groupBy(F.shiftright("cell", 3).alias("at")).agg(F.sum(F.expr("shiftleft(v, cast((cell & 7) * 8 as int))")).alias("v")).toPandas()
+    packed = np.zeros(1 << CELL_BITS - 3, dtype=np.int64)
+    packed[bytes_of["at"].to_numpy(np.int64)] = bytes_of["v"].to_numpy(np.int64)
+    cells = packed.astype("<i8").view(np.uint8)
+    asking = _QUERY.split(", looks")[0]
+    asked = queries.mapInArrow(lambda it: _asked(it, cells), f"h long, part int, {asking}")
+    postings = cands.mapInArrow(
+        lambda it: _posted(it, cells), "h long, part int, cand_id long, year_c int, part_c long, low long, high long, names_c long, held binary"
     )
-    enough = F.col("names") * 2 >= F.least("n_authors", "n_listed")
-    return shared.where(unknown | enough | (F.col("ids") > 0) | (F.col("wholes") > 0)).select("rec_id", "cand_id")
+    met = asked.join(postings, ["h", "part"]).where(_possible())
+    needed = ("h", "rec_id", "cand_id", "year_r", "year_c", "part_r", "part_c", "own_t", "own_a", "names", "names_c", "asked", "held")
+    return materialize(met.select(*needed).mapInArrow(lambda it: _scored(it, length), _SCORED), "scored")
 
 
-def _logistic(weights: np.ndarray) -> Column:
-    total = F.lit(float(weights[0]))
-    for f, w in zip(FEATURES, weights[1:], strict=True):
-        total = total + F.col(f"x_{f}") * float(w)
-    return 1 / (1 + F.exp(-total))
+def _features(pairs: DataFrame) -> DataFrame:
+    best_r, best_c = (pairs.groupBy(k).agg(F.max("score").alias(f"best_{k[:-3]}")) for k in ("rec_id", "cand_id"))
+    return pairs.join(best_r, "rec_id").join(best_c, "cand_id").select(
+        *pairs.columns, F.col("score").alias("x_score"), F.col("title").alias("x_title"), F.col("back").alias("x_back"), F.coalesce("authors", F.lit(0.0)).alias("x_authors"),
+        F.when(F.col("authors").isNull(), 1.0).otherwise(0.0).alias("x_unknown"), (F.col("score") / F.greatest("best_rec", F.lit(1e-9)) - 1).alias("x_gap_rec"),
+        (F.col("score") / F.greatest("best_cand", F.lit(1e-9)) - 1).alias("x_gap_cand"),
+    )
 
 
 def matches(candidates: DataFrame, records: DataFrame) -> DataFrame:
-    """``(cand_id, rec_id, score, confidence)`` of the matched pairs."""
-    cands, recs = _attributes(candidates, "cand_id"), _attributes(records, "rec_id")
-    cand_tokens, weighted = weighted_tokens(cands, recs)
-    pairs = retrieved(cand_tokens, weighted)
-    tokens = weighted.groupBy("rec_id").agg(F.collect_list(F.struct("h", "idf", "kind")).alias("tokens"))
-
-    def side(df: DataFrame, key: str, x: str) -> DataFrame:
-        return df.select(F.col("id").alias(key), *(F.col(c).alias(f"{c}_{x}") for c in ("title", "authors", "year", "url")))
-
-    compared = materialize(
-        pairs.join(side(recs, "rec_id", "r").join(tokens, "rec_id"), "rec_id").join(side(cands, "cand_id", "c"), "cand_id").mapInArrow(
-            _compared, "rec_id long, cand_id long, score double, core double, plain double, title double, authors double, years int, same_doi boolean, same_part boolean"
-        ),
-        "compared",
-    )
-    best_r = compared.groupBy("rec_id").agg(F.max("core").alias("best_rec"), F.max("plain").alias("plain_rec"))
-    best_c = compared.groupBy("cand_id").agg(F.max("core").alias("best_cand"), F.max("plain").alias("plain_cand"))
-    x = (
-        compared.join(best_r, "rec_id").join(best_c, "cand_id")
-        .select(
-            "rec_id", "cand_id", "score", "title", "authors", "years", "same_doi", "same_part",
-            F.least("core", F.lit(1.5)).alias("x_score"), (F.col("core") / F.greatest("best_rec", F.lit(1e-9)) - 1).alias("x_gap_rec"),
-            (F.col("core") / F.greatest("best_cand", F.lit(1e-9)) - 1).alias("x_gap_cand"), F.col("title").alias("x_title"),
-            F.coalesce("authors", F.lit(0.5)).alias("x_authors"),
-            F.when(F.col("years").isNull(), 0.5).when(F.col("years") <= 2, 1.0).otherwise(0.0).alias("x_years"),
-            F.when(F.col("same_doi"), 1.0).otherwise(0.0).alias("x_same_doi"),
-            *((F.col("plain") / F.greatest(f"plain_{x}", F.lit(1e-9)) - 1).alias(f"plain_gap_{x}") for x in ("rec", "cand")),
-        )
-    )
-    apart = (F.coalesce("authors", F.lit(1.0)) == 0) | ~F.col("same_part")
-    label = F.when(F.col("authors") == 0, 0.0).when(F.col("same_doi") & (F.col("title") > 0.6), 1.0)
-    inputs = [f"x_{f}" for f in FEATURES]
-    sample = (
-        x.withColumn("y", label).where("y is not null").orderBy(F.xxhash64("rec_id", "cand_id")).limit(MAX_PAIRS)
-        .withColumn("x_same_doi", F.lit(0.0)).select("y", *inputs).toPandas()
-    )
-    weights = np.array(START)
-    if min((sample["y"] == 1).sum(), (sample["y"] == 0).sum()) >= _MIN_LABELS:
-        # half the authors' votes are hidden, so the rest of the evidence is weighed too
-        data, y = sample[inputs].to_numpy(float), sample["y"].to_numpy(float)
-        data[::2, FEATURES.index("authors")] = 0.5
-        weights = fit_logistic(data, y, penalty=1e-3)
-        weights[1 + FEATURES.index("same_doi")] = 3.0
-    nearest = (F.greatest("x_gap_rec", "plain_gap_rec") >= NEAR - 1) & (F.greatest("x_gap_cand", "plain_gap_cand") >= NEAR - 1)
-    allowed = ~apart & (F.coalesce("years", F.lit(0)) <= 2)
-    # known authors allow for a shortened title; else the whole title must agree
-    same = F.coalesce("same_doi", F.lit(False))
-    sound = F.when(F.col("authors") >= 0.5, F.col("title") >= 0.8).when(F.col("authors").isNull() & ~same, F.col("title") >= 0.99).otherwise(same & (F.col("title") >= 0.6))
-    scored = x.withColumn("confidence", _logistic(weights))
-    return scored.where(nearest & allowed & sound).select("cand_id", "rec_id", "score", "confidence", "title", "authors", "years", "same_doi")
+    """``(cand_id, rec_id, score, confidence, title, authors, years, same_doi)`` of the mutually nearest pairs."""
+    x = _features(scored_pairs(candidates, records))
+    labelled = x.where("same_doi is not null").select(F.col("same_doi").cast("double").alias("y"), F.xxhash64("rec_id", "cand_id").alias("r"), *(f"x_{f}" for f in FEATURES))
+    most = MAX_PAIRS / max(1, labelled.count())
+    sample = labelled.where(F.pmod("r", F.lit(1 << 20)) < int(min(1.0, most) * (1 << 20))).toPandas()
+    weights = fit_logistic(sample[[f"x_{f}" for f in FEATURES]].to_numpy(float), sample["y"].to_numpy(float), prior=np.array(START), strength=PRIOR)
+    total = F.lit(float(weights[0])) + IDENTIFIER * F.when(F.col("same_doi"), 1.0).when(~F.col("same_doi"), -1.0).otherwise(0.0)
+    for f, w in zip(FEATURES, weights[1:], strict=True):
+        total = total + F.col(f"x_{f}") * float(w)
+    nearest = (F.col("x_gap_rec") >= NEAR - 1) & (F.col("x_gap_cand") >= NEAR - 1)
+    checked = F.col("same_part") & (F.coalesce("years", F.lit(0)) <= 2)
+    found = x.where(nearest & checked).select("cand_id", "rec_id", (1 / (1 + F.exp(-total))).alias("confidence"), F.struct("score", "title", "authors", "years", "same_doi").alias("s"))
+    once = found.groupBy("cand_id", "rec_id").agg(F.max(F.struct("confidence", "s")).alias("b"))
+    return once.select("cand_id", "rec_id", "b.s.score", "b.confidence", "b.s.title", "b.s.authors", "b.s.years", "b.s.same_doi")

@@ -109,15 +109,21 @@ def standardized(rows: DataFrame) -> DataFrame:
     return rows.join(stats, "own", "left").select("doc_id", "own", "n_words", F.round(F.exp("cover_80")).cast("long").alias("coverage_rank"), F.exp("sentence_mean").alias("words_per_sentence"), *z)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Weights (intercept first) of a ridge logistic regression, by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None, strength: float | None = None, rounds: int = 40) -> np.ndarray:
+    """Weights (intercept first) of a ridge logistic regression, by Newton steps.
+
+    The weights are drawn to ``prior`` (zero unless given) as by ``strength``
+    labels; by default a hundredth of the labels, the intercept free.  Few labels
+    shade into many without a switch, and none give the prior itself.
+    """
     z = np.c_[np.ones(len(x)), x]
-    w = np.zeros(z.shape[1])
-    ridge = penalty * np.r_[0.0, np.ones(x.shape[1])]
+    mean = np.zeros(z.shape[1]) if prior is None else prior
+    w = mean.copy()
+    ridge = np.full(z.shape[1], strength) if strength is not None else 1e-2 * len(y) * np.r_[0.0, np.ones(x.shape[1])] + 1e-9
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hessian = (z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(ridge + 1e-9)
-        w -= np.linalg.solve(hessian, z.T @ (p - y) / len(y) + ridge * w)
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9)
+        w = w - np.linalg.solve(hessian, z.T @ (p - y) + ridge * (w - mean))
     return w
 
 
