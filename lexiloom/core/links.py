@@ -1,37 +1,76 @@
 """Joins of a table with itself on a key, and connected components of links.
 
 Both stay whole when one key holds a large share of the rows: hot keys are cut
-into blocks, so no task sees a key's whole square, and no key's rows are ever
-collected into one list.
+into blocks on both sides, so no task sees a key's whole square or one side's
+rows times a block, and no key's rows are ever collected into one list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexiloom.core.storage import materialize
 
-#: Rows of one key that a single task may pair with the key's other rows.
+#: Rows of one key on either side that a single unit of a join holds.
 BLOCK = 2000
 
 
+def _cut(df: DataFrame, parts: Column, mine: str, other: str) -> DataFrame:
+    """Each row in one of ``parts`` blocks (``mine``), once for each block it meets (``other``)."""
+    own = F.pmod(F.xxhash64(*df.columns), parts).cast("int")
+    return df.withColumn(mine, own).withColumn(other, F.explode(F.sequence(F.lit(0), parts - 1)))
+
+
+def keyed_pairs(rows: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """All ordered pairs of rows with one key: columns ``key, <c>_a, <c>_b``, a row with itself too.
+
+    Rows are shuffled by key once; keys of a single row end there.  A key of more
+    than ``block`` rows is cut into blocks on both sides, so a task joins at most
+    about ``block`` rows of a key with as many.
+    """
+    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n > 1")
+    small, large = counted.where(F.col("_n") <= block).drop("_n"), counted.where(F.col("_n") > block)
+    parts = F.ceil(F.col("_n") / block).cast("int")
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        fixed = {key, "_p", "_q"}
+        return df.select(*(F.col(c).alias(c if c in fixed else f"{c}_{x}") for c in df.columns if c != "_n"))
+
+    few = side(small, "a").join(side(small, "b"), key)
+    many = side(_cut(large, parts, "_p", "_q"), "a").join(side(_cut(large, parts, "_q", "_p"), "b"), [key, "_p", "_q"])
+    return few.unionByName(many.drop("_p", "_q"))
+
+
 def expand_links(links: DataFrame, left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows of ``left(class, ...)`` with rows of ``right(class, ...)`` along links.
 
-    ``links(class_a, class_b)``: ``class_a`` names classes of ``left``.  The
-    other columns of both sides must differ in name.  A class of ``left`` is cut
-    into blocks of about ``block`` rows and each link becomes one row for each
-    block, so a huge class spreads over tasks.
+    ``links(class_a, class_b)``: ``class_a`` names classes of ``left``; it is read
+    twice, so it should be a written table.  The other columns of both sides must
+    differ in name.  Classes of more than ``block`` rows are cut into blocks on
+    their side and each link becomes one unit for each pair of blocks, so no task
+    joins more than about ``block`` rows with as many.
     """
-    sizes = left.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    parted = left.join(sizes, "class").withColumn(
-        "part", F.pmod(F.xxhash64(*[c for c in left.columns if c != "class"]), F.col("parts")).cast("int")
-    )
-    spread = links.join(sizes.withColumnRenamed("class", "class_a"), "class_a").select(
-        "class_a", "class_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    )
-    mine = parted.drop("parts").withColumnRenamed("class", "class_a")
-    return spread.join(mine, ["class_a", "part"]).join(right.withColumnRenamed("class", "class_b"), "class_b")
+
+    def sizes(df: DataFrame, x: str) -> DataFrame:
+        counts = df.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias(f"parts_{x}"))
+        return counts.where(f"parts_{x} > 1").withColumnRenamed("class", f"class_{x}")
+
+    big_a, big_b = sizes(left, "a"), sizes(right, "b")
+    tagged = links.join(big_a, "class_a", "left").join(big_b, "class_b", "left")
+    mine, other = left.withColumnRenamed("class", "class_a"), right.withColumnRenamed("class", "class_b")
+    few = tagged.where("parts_a is null and parts_b is null").select("class_a", "class_b").join(mine, "class_a").join(other, "class_b")
+    ranges = [F.explode(F.sequence(F.lit(0), F.coalesce(f"parts_{x}", F.lit(1)) - 1)) for x in "ab"]
+    units = tagged.where("parts_a is not null or parts_b is not null").withColumn("_p", ranges[0]).withColumn("_q", ranges[1]).select("class_a", "class_b", "_p", "_q")
+
+    def placed(df: DataFrame, big: DataFrame, key: str, part: str) -> DataFrame:
+        parts = F.coalesce(f"parts_{key[-1]}", F.lit(1))
+        touched = df.join(units.select(key).distinct(), key, "left_semi").join(big, key, "left")
+        cut = touched.withColumn(part, F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), parts).cast("int")).drop(f"parts_{key[-1]}")
+        return cut.join(units, [key, part])
+
+    unit = ["class_a", "class_b", "_p", "_q"]
+    many = placed(mine, big_a, "class_a", "_p").join(placed(other, big_b, "class_b", "_q"), unit)
+    return few.unionByName(many.drop("_p", "_q"))
 
 
 def member_pairs(links: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -42,7 +81,7 @@ def member_pairs(links: DataFrame, members: DataFrame, block: int = BLOCK) -> Da
     """
     both = expand_links(
         links, members.withColumnRenamed("id", "id_l"), members.withColumnRenamed("id", "id_r"), block
-    ).where("id_l <> id_r")
+    ).where("id_l < id_r or id_l > id_r and class_a <> class_b")
     return both.select(
         F.least("id_l", "id_r").alias("id_a"), F.greatest("id_l", "id_r").alias("id_b")
     ).distinct()
