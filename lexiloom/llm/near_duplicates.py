@@ -2,7 +2,7 @@
 
 Method.  Each record's set of distinct words is hashed; records with the same
 set form one class, so copies cost one row from there on.  For each class 128
-minima are computed; bands of 8 minima give band keys, and classes that share a
+minima are computed; bands of 6 minima give band keys, and classes that share a
 band key are candidates.  Of each minimum only the low 2 bits are kept, packed
 into four 64-bit words; equal positions of two signatures, counted by bit
 operations, estimate the similarity corrected for chance agreement.  Pairs
@@ -10,9 +10,11 @@ whose estimate reaches the threshold less a margin of standard errors are
 checked exactly on the word hashes.
 
 Scale.  The texts are tokenized once; their word hashes are written to the
-shared folder and shuffled once by class, the band rows once by key.  No group is collected: pairs of a
-band come from a sort-merge join, which adaptive execution can split on hot
-keys, and a set-size test inside the join drops pairs that cannot qualify.
+shared folder and shuffled once by class, the band rows once by key.  No group
+is collected: keys of one class end after that shuffle, hot keys are cut into
+blocks on both sides of the join, and a set-size test inside it drops pairs that
+cannot qualify.  Classes are told apart by the sets themselves, their 64-bit
+hashes only route them.
 
 Records with null or empty texts, or with fewer words than ``min_words``, are
 in no pair and form groups of their own.  Repeated ids count once.
@@ -27,16 +29,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexiloom.core.links import components, member_pairs
+from lexiloom.core.links import components, keyed_pairs, member_pairs
 from lexiloom.core.storage import materialize
 from lexiloom.llm.words import WordHasher, words_of
 
-MINIMA, ROWS, ROUNDS, BITS = 128, 8, 4, 2
+MINIMA, ROWS, ROUNDS, BITS = 128, 6, 2, 2
 _rng = np.random.default_rng(20240501)
 _MULT = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
-#: Each round deals all minima into bands of ROWS.
-BANDS = np.concatenate([_rng.permutation(MINIMA).reshape(-1, ROWS) for _ in range(ROUNDS)])
+#: Each round deals the minima into bands of ROWS; what is left over of a deal is in no band of it.
+BANDS = np.concatenate([_rng.permutation(MINIMA)[: MINIMA // ROWS * ROWS].reshape(-1, ROWS) for _ in range(ROUNDS)])
 _FOLD = _rng.integers(1, 2**63, (len(BANDS), ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -156,12 +158,10 @@ def word_sets(df: DataFrame, key: str, fields: tuple[str, ...], min_words: int)
 def class_links(sets: DataFrame, threshold: float, sigmas: float = 4.5) -> DataFrame:
     """Verified links ``(class_a, class_b, similarity)`` between different word sets."""
     # the filter, which the joins would add, makes all uses share one exchange
-    distinct = sets.where("class is not null").groupBy("class").agg(F.first("words").alias("words"))
+    distinct = sets.where("class is not null").select("class", "words").distinct()
     rows = distinct.mapInArrow(_banded, "key long, class long, n int")
-    left = rows.select("key", F.col("class").alias("class_a"), F.col("n").alias("n_a"))
-    right = rows.select("key", F.col("class").alias("class_b"), F.col("n").alias("n_b"))
     candidates = (
-        left.join(right, "key")
+        keyed_pairs(rows, "key")
         .where("class_a < class_b")
         .where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
         .select("class_a", "class_b")
@@ -204,7 +204,7 @@ def near_duplicate_pairs(
     links = class_links(sets, threshold).select("class_a", "class_b")
     alike = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
     within = alike.select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
-    return member_pairs(links.union(within), members)
+    return member_pairs(materialize(links.union(within), "links"), members)
 
 
 def near_duplicate_groups(

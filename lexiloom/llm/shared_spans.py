@@ -10,11 +10,13 @@ windows of ``span - SLACK + 1`` characters only those go to Spark that a rule
 selects from the content of the ``span`` characters around them (the window at
 the position, modulo the slack, of the least hash of short grams).  Two texts
 that share ``span`` characters select the same window in them, so no case is
-lost.  Second, texts that share a selected window are compared on the hashes of
+lost.  The selected windows are counted; those of a single text end there.
+Second, texts that share a selected window are compared on the hashes of
 every window of ``span`` characters; repeated windows merge into intervals.
 
 Exact copies collapse into one text before the first shuffle of windows, and
-no group is collected: pairs of texts come from a join on the window hash.
+no group is collected: pairs of texts come from a join on the repeated windows,
+in which hot windows are cut into blocks on both sides.
 Null and empty texts and texts shorter than ``span`` are in no result row of the
 pairs and have zero shared characters in the report.
 """
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexiloom.core.links import expand_links, member_pairs
+from lexiloom.core.links import expand_links, keyed_pairs, member_pairs
 from lexiloom.core.storage import materialize
 
 SLACK = 21
@@ -182,7 +184,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Reco
             )
             if not sure and any(p["place_a"] == REPEATED or p["place_b"] == REPEATED for p in places):
                 ha, hb = window_hashes(ta, span), window_hashes(tb, span)
-                sure = any(ta[p : p + span] in tb for p in np.flatnonzero(np.isin(ha, hb))[:3])
+                sure = any(ta[p : p + span] in tb for p in np.flatnonzero(np.isin(ha, hb)))
             if sure:
                 keep.append(k)
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int32())) for c in ("class_a", "class_b")], ["class_a", "class_b"])
@@ -205,8 +207,8 @@ def _spanned(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
 def _distinct(texts: DataFrame, span: int) -> DataFrame:
     return (
         texts.where(F.length("text") >= span)
-        .groupBy(F.xxhash64("text").alias("class"))
-        .agg(F.first("text").alias("text"), F.max("main").alias("main"))
+        .groupBy(F.xxhash64("text").alias("class"), "text")
+        .agg(F.max("main").alias("main"))
     )
 
 
@@ -221,19 +223,15 @@ def text_links(texts: DataFrame, span: int) -> DataFrame:
     """Pairs ``(class_a, class_b)`` of different texts that share ``span`` characters.
 
     ``texts(text, main)``: only pairs with at least one ``main`` text count;
-    ``class`` is the 64-bit hash of a text.  Candidates carry the places of the
+    ``class`` is the 64-bit hash of a text (texts are told apart by their letters).  Candidates carry the places of the
     windows they share, so letters are compared only around those.
     """
     distinct = _distinct(texts, span)
     rows = distinct.select("class", "text", "main").mapInArrow(
         lambda it: _windows(it, span), "h long, class long, main boolean, place int"
     )
-
-    def side(x: str) -> DataFrame:
-        return rows.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "main", "place")))
-
     candidates = (
-        side("a").join(side("b"), "h").where("class_a < class_b and (main_a or main_b)")
+        keyed_pairs(rows, "h").where("class_a < class_b and (main_a or main_b)")
         .groupBy("class_a", "class_b").agg(F.collect_set(F.struct("place_a", "place_b")).alias("places"))
     )
     both = _with_texts(candidates, distinct).select("class_a", "class_b", "text_a", "text_b", "places")
@@ -270,7 +268,7 @@ def shared_pairs(candidates: DataFrame, segments: DataFrame, span: int = 120) ->
     members = _members(records, span)
     links = text_links(records.select("text", (F.col("kind") == "abstract").alias("main")), span)
     alike = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
-    links = links.union(alike)
+    links = materialize(links.union(alike), "links")
     turned = links.union(links.where("class_a <> class_b").select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
     abstracts = members.where("kind = 'abstract'").select("class", "id")
     others = members.where("kind <> 'abstract'").select("class", "kind", F.col("id").alias("id_b"), "own")
