@@ -1,7 +1,8 @@
 """Scalar text functions as Column expressions: all JVM-side, none a Python UDF.
 
 Nulls count as empty text.  Patterns are stated with the flags that give them
-Unicode meaning, and ``(?d)`` where line anchors should see ``\\n`` alone.
+Unicode meaning (white space and word ends too, as texts of pages hold no-break
+spaces), and ``(?d)`` where line anchors should see ``\\n`` alone.
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # The section headers, header and affiliation phrases recognised.
-ABSTRACT_LINE = r"(?iumd)^(?:abstract|摘要|summary|概要)\s*[:\-]?\s*$"
-ABSTRACT_INLINE = r"(?iumd)^[^\n]{0,40}?\babstract\b\s*[—–\-:]\s*"
-KEYWORD_LINE = r"(?iumd)^(?:keywords?|index terms?|關鍵字|關鍵詞)\s*[:\-]?\s*"
-INTRODUCTION_LINE = r"(?iumd)^(?:1\.?\s+introduction|1\.?\s+介紹|1\.?\s+緒論|introduction)\s*$"
-CLOSING_LINE = r"(?iumd)^(?:\d+\.?\s+)?(?:conclusion|related work|references|acknowledgment|bibliography|參考文獻|結論)"
+ABSTRACT_LINE = r"(?iuUmd)^(?:abstract|摘要|summary|概要)\s*[:\-]?\s*$"
+ABSTRACT_INLINE = r"(?iuUmd)^[^\n]{0,40}?\babstract\b\s*[—–\-:]\s*"
+KEYWORD_LINE = r"(?iuUmd)^(?:keywords?|index terms?|關鍵字|關鍵詞)\s*[:\-]?\s*"
+INTRODUCTION_LINE = r"(?iuUmd)^(?:1\.?\s+introduction|1\.?\s+介紹|1\.?\s+緒論|introduction)\s*$"
+CLOSING_LINE = r"(?iuUmd)^(?:\d+\.?\s+)?(?:conclusion|related work|references|acknowledgment|bibliography|參考文獻|結論)"
 PAGE_HEADER = (
     r"(?iU)^(?:ieee\b|transactions\b|proceedings\s+of|acm\s+(?:transactions|sigchi|siggraph)|springer\b|elsevier\b|nature\b"
     r"|vol\.?\s*\d|volume\s+\d|no\.?\s*\d|this\s+(?:article|paper)\s+(?:was|is|has\s+been)\s+(?:published|accepted|submitted)"

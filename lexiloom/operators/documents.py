@@ -9,11 +9,13 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexiloom.functions.text import clean, extract_abstract, extract_body, extract_keywords, extract_title, join_hyphens, strip, text
+from lexiloom.functions.text import extract_abstract, extract_body, extract_keywords, extract_title, join_hyphens, strip, text
+from lexiloom.operators import layout
 
-MIN_LENGTH = 100
+MIN_LENGTH, MOST_BODY = 100, 4000
 PAPER = "title string, abstract string, keywords array<string>, body string"
 
 
@@ -30,42 +32,90 @@ def parse_text(docs: DataFrame) -> DataFrame:
     )
 
 
-def _own_text(xml: Column, path: str) -> Column:
-    return F.transform(F.xpath(xml, F.lit(path + "/text()[1]")), strip)
+_PAPER_TYPE = pa.struct([("title", pa.string()), ("abstract", pa.string()), ("keywords", pa.list_(pa.string())), ("body", pa.string())])
+
+
+def _heads(root: ET.Element, path: str) -> list[str]:
+    """Stripped texts of the elements on a path, each up to its first child."""
+    return [(e.text or "").strip() for e in root.iterfind(path)]
+
+
+def tei_paper(tei: str) -> dict | None:
+    """The paper in a TEI document, None without title and abstract; raises on malformed XML."""
+    root = ET.fromstring(tei)
+    listed = ".//{*}titleStmt/{*}title"
+    # of each kind of title the first element counts
+    firsts = [root.find(listed + kind) for kind in ("[@type='main']", "[@level='a']", "")]
+    title = ([(e.text or "").strip() for e in firsts if e is not None and e.text] or [""])[0]
+    summary = ".//{*}profileDesc/{*}abstract"
+    abstract = " ".join(_heads(root, summary + "//{*}p")).strip()
+    if not abstract and (whole := root.find(summary)) is not None:
+        abstract = "".join(whole.itertext()).strip()
+    if not title and not abstract:
+        return None
+    keywords = [k for k in _heads(root, ".//{*}profileDesc/{*}textClass/{*}keywords/{*}term") if k]
+    body = " ".join(_heads(root, ".//{*}text/{*}body//{*}p"))[:MOST_BODY]
+    return {"title": title, "abstract": abstract, "keywords": keywords, "body": body}
 
 
 def parse_tei(docs: DataFrame) -> DataFrame:
-    """``doc_id, paper`` of ``docs(doc_id, tei)``; null without title and abstract.
+    """``doc_id, paper, error`` of ``docs(doc_id, tei)``; a null paper without title and abstract.
 
     Only the text before an element's first child counts, as in titles and
-    paragraphs with inline marks.  A null or broken document gives null.
+    paragraphs with inline marks.  A null document gives no row; a broken one
+    gives a null paper and the parser's message, and stops nothing.
     """
-    name = lambda *steps: "".join(f"//*[local-name()='{s}']" for s in steps)
-    x = F.col("tei")
-    title_path = "//*[local-name()='titleStmt']/*[local-name()='title'"
-    titles = [F.get(_own_text(x, title_path + cond + "]"), F.lit(0)) for cond in (" and @type='main'", " and @level='a'", "")]
-    title = F.coalesce(*[F.nullif(t, F.lit("")) for t in titles], F.lit(""))
-    joined = strip(F.array_join(_own_text(x, name("profileDesc", "abstract", "p")), " "))
-    everything = strip(F.array_join(F.xpath(x, F.lit(name("profileDesc", "abstract") + "//text()")), ""))
-    abstract = F.coalesce(F.nullif(joined, F.lit("")), everything, F.lit(""))
-    keywords = F.filter(_own_text(x, name("textClass", "keywords") + "/*[local-name()='term']"), lambda k: k != "")
-    body = F.substring(F.array_join(_own_text(x, name("text", "body", "p")), " "), 1, 4000)
-    sound = x.isNotNull() & x.rlike(r"(?s)^\s*<.*>\s*$")
-    paper = F.struct(title.alias("title"), abstract.alias("abstract"), keywords.alias("keywords"), body.alias("body"))
-    return docs.where(sound).select("doc_id", F.when((title != "") | (abstract != ""), paper).alias("paper"))
-
-
-def first_success(docs: DataFrame, tei: DataFrame, layout: DataFrame, pattern: DataFrame) -> DataFrame:
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            papers, errors = [], []
+            for tei in batch.column("tei").to_pylist():
+                try:
+                    papers.append(tei_paper(tei))
+                    errors.append(None)
+                except (ET.ParseError, ValueError) as broken:
+                    papers.append(None)
+                    errors.append(str(broken))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "paper": pa.array(papers, _PAPER_TYPE), "error": pa.array(errors, pa.string())})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    paper = "struct<title:string,abstract:string,keywords:array<string>,body:string>"
+    return docs.where("tei is not null").select("doc_id", "tei").mapInArrow(parse, f"doc_id {kind}, paper {paper}, error string")
+
+
+def parse_layout(words: DataFrame, chars: DataFrame) -> DataFrame:
+    """``doc_id, paper``: the title by font size, the rest from the text in reading order.
+
+    ``words`` and ``chars`` as in :mod:`lexiloom.operators.layout`.  Documents
+    without text or without a title by font give no row.
+    """
+    raw = join_hyphens(F.col("raw_text"))
+    parts = layout.page_texts(words).select("doc_id", raw.alias("raw")).where(strip(F.col("raw")) != "")
+    titled = parts.join(layout.font_title(chars).where("title <> ''"), "doc_id")
+    t = F.col("raw")
+    paper = F.struct("title", extract_abstract(t).alias("abstract"), extract_keywords(t).alias("keywords"), extract_body(t).alias("body"))
+    return titled.select("doc_id", paper.alias("paper"))
+
+
+def is_pdf(name: Column) -> Column:
+    """Whether a file's name says that TEI and layout may be tried."""
+    return F.endswith(F.lower(text(name)), F.lit(".pdf"))
+
+
+def first_success(docs: DataFrame, tei: DataFrame, layouts: DataFrame, pattern: DataFrame) -> DataFrame:
     """The best parse of each document: TEI, then layout, then patterns.
 
-    Each input is ``(doc_id, paper)``; ``parse_source`` tells which was taken.
+    ``docs(doc_id)``, or ``docs(doc_id, name)``: files that are not named .pdf go
+    to the patterns alone.  Each other input is ``(doc_id, paper)``;
+    ``parse_source`` tells which was taken.
     """
-    named = [(d.select("doc_id", F.col("paper").alias(n)), n) for d, n in ((tei, "grobid"), (layout, "layout"), (pattern, "regex"))]
-    out = docs.select("doc_id")
+    named = [(d.select("doc_id", F.col("paper").alias(n)), n) for d, n in ((tei, "grobid"), (layouts, "layout"), (pattern, "regex"))]
+    out = docs.select("doc_id", (is_pdf(F.col("name")) if "name" in docs.columns else F.lit(True)).alias("paged"))
     for d, _ in named:
         out = out.join(d, "doc_id", "left")
-    source = F.when(F.col("grobid").isNotNull(), "grobid").when(F.col("layout").isNotNull(), "layout").when(F.col("regex").isNotNull(), "regex")
-    return out.select("doc_id", F.coalesce("grobid", "layout", "regex").alias("paper"), source.alias("parse_source")).select("doc_id", "paper.*", "parse_source")
+    ways = [(F.when(F.col("paged"), F.col("grobid")), "grobid"), (F.when(F.col("paged"), F.col("layout")), "layout"), (F.col("regex"), "regex")]
+    source = F.coalesce(*[F.when(w.isNotNull(), F.lit(n)) for w, n in ways])
+    return out.select("doc_id", F.coalesce(*[w for w, _ in ways]).alias("paper"), source.alias("parse_source")).select("doc_id", "paper.*", "parse_source")
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -93,7 +143,3 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFram
 
     return files.mapInPandas(convert, "path string, raw_text string, error string")
 
-
-def tidy(docs: DataFrame) -> DataFrame:
-    """``doc_id, raw_text`` with hyphens joined and blank runs removed."""
-    return docs.select("doc_id", clean(join_hyphens(F.col("raw_text"))).alias("raw_text"))

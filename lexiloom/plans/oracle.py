@@ -119,6 +119,107 @@ _SENT = (
     " wins as (select cand_id, case when len(ss) <= 3 then [t] else list_transform(range(1, len(ss) - 1), lambda i: array_to_string(ss[i:i+2], ' ')) end as ws from sents)"
 )
 
+# --- raw first pages: line breaks, headers and the parts between them, in RE2's dialect ---
+
+_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{0085}\x{2028}\x{2029}]"
+_NOT_BREAK = r"[^\n\r\x0b\x0c\x1c-\x1e\x{0085}\x{2028}\x{2029}]"
+_S = r"[\s\x0b\x1c-\x1f\p{Z}\x{0085}]"
+_HEAD_RE = (
+    r"(?i)^(ieee\b|transactions\b|proceedings\s+of|acm\s+(transactions|sigchi|siggraph)|springer\b|elsevier\b|nature\b|vol\.?\s*\d|volume\s+\d|no\.?\s*\d"
+    r"|this\s+(article|paper)\s+(was|is|has\s+been)\s+(published|accepted|submitted)|authorized\s+licensed|digital\s+object\s+identifier|doi\s*:|arxiv\s*:|©\s*\d{4}|copyright)"
+)
+_PLACE_RE = (
+    r"(?i)(department\s+of|school\s+of|university\s+(of|at)?|institute\s+of|laboratory|research\s+(center|group|lab)|faculty\s+of|college\s+of"
+    r"|national\s+\w+\s+(university|institute)|@[\w.\-]+\.[a-z]{2,}|received\s+\w+\s+\d{1,2}|revised\s+\w+\s+\d{1,2}|accepted\s+\w+\s+\d{1,2})"
+)
+_NAMES_RE = r"^[A-Z][a-z]+([- ][A-Z][a-z]+)*\d*(\s*(and|,)\s*[A-Z][a-z]+([- ][A-Z][a-z]+)*\d*)+\s*$"
+_ABSTRACT_RE, _INLINE_RE = rf"^(abstract|摘要|summary|概要){_S}*[:\-]?{_S}*$", rf"^[^\n]{{0,40}}?\babstract\b{_S}*[—–\-:]{_S}*"
+_KEYS_RE, _INTRO_RE = rf"^(keywords?|index terms?|關鍵字|關鍵詞){_S}*[:\-]?{_S}*", rf"^(1\.?{_S}+introduction|1\.?{_S}+介紹|1\.?{_S}+緒論|introduction){_S}*$"
+_CLOSE_RE = rf"^(\d+\.?{_S}+)?(conclusion|related work|references|acknowledgment|bibliography|參考文獻|結論)"
+
+
+def _authors_line(x: str) -> str:
+    return f"(length({x}) <= 120 and regexp_matches({x}, '{_NAMES_RE}'))"
+
+
+def _front(x: str) -> str:
+    return f"(regexp_matches({x}, '{_HEAD_RE}') or regexp_matches({x}, '{_PLACE_RE}') or contains({x}, '@') or {_authors_line(x)})"
+
+
+def _upto(x: str, pattern: str) -> str:
+    """What precedes the first match, null without one."""
+    return f"case when regexp_matches({x}, '(?im){pattern}') then regexp_extract({x}, '(?ims)\\A(.*?){pattern}', 1) end"
+
+
+def _past(x: str, pattern: str) -> str:
+    """What follows the first match, null without one."""
+    return f"case when regexp_matches({x}, '(?im){pattern}') then substr({x}, length(regexp_extract({x}, '(?ims)\\A.*?{pattern}', 0)) + 1) end"
+
+
+def _clean(x: str) -> str:
+    return _strip(f"regexp_replace(regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g')")
+
+
+_LINES = f"list_filter(list_transform(regexp_split_to_array(coalesce(raw_text,''), '{_BREAK}'), lambda x: {_strip('x')}), lambda x: x <> '')"
+_STARTS = (
+    f"ended as (select doc_id, coalesce(raw_text,'') as raw, regexp_extract_all(coalesce(raw_text,''), '{_NOT_BREAK}*(?:{_BREAK})|{_NOT_BREAK}+$')[1:40] as ls from papers),"
+    f" marked as (select doc_id, raw, ls, list_transform(list_transform(ls, lambda x: {_strip('x')}), lambda b: b <> '' and ({_front('b')} or regexp_matches(b, '^[\\d\\s,;.\\-]+$'))) as front from ended),"
+    " starts as (select doc_id, raw, coalesce(list_sum(list_transform(ls[1:coalesce(nullif(list_position(front, false), 0), len(ls) + 1) - 1], lambda x: length(x))), 0)::INTEGER as pos from marked)"
+)
+_TITLES = (
+    f"titles as (select doc_id, ls, list_filter(ls[1:20], lambda x: length(x) >= 10 and not regexp_matches(x, '^[\\d\\s]+$') and not regexp_matches(x, '(?i)^(abstract|keywords?|摘要|關鍵字)')"
+    f" and not {_front('x')}) as fit from (select doc_id, {_LINES} as ls from papers)), title_of as (select doc_id, coalesce(fit[1], ls[1], '') as title from titles)"
+)
+_IMPORTANT = (
+    "w as (select doc_id, unnest(regexp_extract_all(lower(coalesce(abstract,'')), '[\\p{L}\\p{M}\\p{Nd}_]+')) as w, "
+    "generate_subscripts(regexp_extract_all(lower(coalesce(abstract,'')), '[\\p{L}\\p{M}\\p{Nd}_]+'), 1) as pos from papers),"
+    f" f as (select doc_id, w, count(*) as n, min(pos) as p from w where regexp_full_match(w, '[a-z]{{4,}}') and w not in ({_quoted(UNIMPORTANT)}) group by 1, 2),"
+    " r as (select *, row_number() over (partition by doc_id order by n desc, p) as k from f)"
+)
+# paragraphs: short ones are carried into the next, step by step
+_PARAS = (
+    "pieces as (select {key}, list_filter(list_transform(regexp_split_to_array(regexp_replace({text}, '([。！？.!?])\\n', '\\1' || chr(10) || chr(10), 'g'), '\\n{{2,}}'), lambda x: "
+    + _strip("x").replace("{", "{{").replace("}", "}}") + "), lambda x: x <> '') as ps from {source}),"
+    " carried as (select {key}, ps, 0 as i, '' as kept, null::VARCHAR as para, 0 as k from pieces union all"
+    " select {key}, ps, i + 1, case when length(j) >= 40 then '' else j end, case when length(j) >= 40 then j end, k + (length(j) >= 40)::INTEGER"
+    " from (select *, case when kept = '' then ps[i + 1] else kept || ' ' || ps[i + 1] end as j from carried where i < len(ps))),"
+    " paras as (select {key}, k - 1 as pos, para from carried where para is not null)"
+)
+_SEGMENTS = (
+    f"{_PAIRS}, {_SRC}, {_CAND}, {_PARAS.format(key='src_id', text='t', source='src')}, pt as (select src_id * 100000 + pos as pid, para as t from paras), {_prints('pp', 'pt', 'pid')},"
+    f" {_SENT}, wt as (select cand_id * 100000 + unnest(range(0, len(ws))) as wid, unnest(ws) as t from wins), {_prints('wp', 'wt', 'wid')},"
+    " pw as (select p.src_id, p.cand_id, a.pid, b.wid, len(list_intersect(a.fp, b.fp)) as common, len(a.fp) as na, len(b.fp) as nb"
+    " from pairs p join pp a on a.pid // 100000 = p.src_id join wp b on b.wid // 100000 = p.cand_id),"
+    " pj as (select *, na + nb - common as united from pw where common > 0),"
+    " best as (select * from (select *, row_number() over (partition by src_id, cand_id, pid order by common / united desc, wid) as rn from pj) where rn = 1 and common / united >= 0.01),"
+    " seg as (select b.src_id, b.cand_id, (pid % 100000)::INTEGER as paragraph_index, substr(x.t, 1, 300) as source_paragraph, substr(y.t, 1, 300) as candidate_snippet,"
+    " ((2000 * common + united) // (2 * united))::BIGINT as overlap from best b join pt x using (pid) join wt y using (wid)),"
+    " top5 as (select * exclude (rk) from (select *, row_number() over (partition by src_id, cand_id order by overlap desc, paragraph_index) as rk from seg) where rk <= 5)"
+)
+# laid-out first pages: a line every 60 points, a word every 36, a gap after the eighth
+_WORDS = (
+    "pl as (select doc_id, unnest(range(0, len(l))) as line, unnest(l) as t from (select doc_id, string_split(raw_text, chr(10)) as l from papers where raw_text is not null)),"
+    " pk as (select doc_id, line, unnest(range(0, len(k))) as k, unnest(k) as text from (select doc_id, line, string_split(t, ' ') as k from pl)),"
+    " words as (select doc_id, text, (k % 16) * 36.0::DOUBLE + case when k % 16 >= 8 then 24 else 0 end as x0, 20.0::DOUBLE + line * 60 + (k // 16) * 12 as top from pk where text <> ''),"
+    " bands as (select 0 as band, 612.0::DOUBLE * 0.3::DOUBLE as x union all select band + 1, x + 612.0::DOUBLE * 0.02::DOUBLE / 2 from bands where x + 612.0::DOUBLE * 0.02::DOUBLE / 2 < 612.0::DOUBLE * 0.7::DOUBLE),"
+    " body as (select * from words where top > 792 * 0.25),"
+    " counted as (select d.doc_id, band, any_value(b.x) as x, count(w.x0) as n from (select distinct doc_id from body) d cross join bands b"
+    " left join body w on w.doc_id = d.doc_id and w.x0 >= b.x and w.x0 < b.x + 612.0::DOUBLE * 0.02::DOUBLE group by 1, 2),"
+    " splits as (select doc_id, case when max(n) > 0 and min(n) < 0.1 * max(n) then arg_min(x, n * 1000 + band) + 612.0::DOUBLE * 0.02::DOUBLE / 2 end as split_x from counted group by 1),"
+    " sided as (select w.*, split_x, max(case when x0 < split_x and x0 + 30 > split_x + 6.12 then top + 10 end) over (partition by w.doc_id) as low from words w left join splits using (doc_id) where top >= 792 * 0.05),"
+    " regions as (select *, case when split_x is null or top + 10 <= greatest(coalesce(low, 0), 792 * 0.05) then 0 when x0 >= split_x + 612 * 0.015 then 2 else 1 end as region from sided),"
+    " ordered as (select doc_id, 1 as page, region, (round_even(top / 2, 0) * 2)::INTEGER as line, string_agg(text, ' ' order by x0, text) as text from regions group by all)"
+)
+_FONT = (
+    "fl as (select doc_id, unnest(range(0, len(l))) as i, trim(unnest(l)) as t from (select doc_id, list_transform(string_split(raw_text, chr(10)), lambda x: regexp_replace(x, ' +', ' ', 'g')) as l from papers where raw_text is not null)),"
+    " fs as (select doc_id, i, t, case when i = 0 then 18 else 10 end as size from fl where t <> ''),"
+    " tries as (select s.doc_id, z as wanted, i, t, size >= 0.85 * z and length(t) > 2 as fits, i - lag(i) over (partition by s.doc_id, z order by i) > 2 as wide from fs s, (values (18), (10)) v(z)),"
+    " from_ as (select doc_id, wanted, min(i) as a from tries where fits group by 1, 2),"
+    " stop as (select doc_id, wanted, a, (select min(i) from tries u where u.doc_id = f.doc_id and u.wanted = f.wanted and u.i > f.a and (not u.fits or u.wide)) as z from from_ f),"
+    " runs as (select s.doc_id, s.wanted, string_agg(t, ' ' order by i) as title from stop s join tries u on u.doc_id = s.doc_id and u.wanted = s.wanted and u.i >= a and (z is null or u.i < z) group by 1, 2),"
+    " fonts as (select doc_id, coalesce(arg_max(title, wanted) filter (length(title) >= 10 and exists (select 1 from fs where fs.doc_id = d.doc_id and fs.size = runs.wanted)), '') as title from (select distinct doc_id from fs) d left join runs using (doc_id) group by 1)"
+)
+
 SQL: dict[str, str] = {
     "normalize_text": f"with {_CAND} select cand_id, {_normal('t')} as normalized from cand",
     "char_kgram_counts": f"with {_CAND}, n as (select cand_id, {_normal('t')} as n from cand) select cand_id, len({_char_grams('n')})::BIGINT as n_grams, len(list_distinct({_char_grams('n')}))::BIGINT as n_distinct from n",
@@ -154,10 +255,7 @@ SQL: dict[str, str] = {
     ),
     "dedup_titles": f"with {_FIRST} select src_id, cand_id, arrival_seq from firsts",
     "important_words": (
-        "with w as (select doc_id, unnest(list_filter(regexp_extract_all(lower(coalesce(abstract,'')), '[\\p{L}\\p{M}\\p{Nd}_]+'), lambda x: true)) as w, "
-        "generate_subscripts(list_filter(regexp_extract_all(lower(coalesce(abstract,'')), '[\\p{L}\\p{M}\\p{Nd}_]+'), lambda x: true), 1) as pos from papers),"
-        f" f as (select doc_id, w, count(*) as n, min(pos) as p from w where regexp_full_match(w, '[a-z]{{4,}}') and w not in ({_quoted(UNIMPORTANT)}) group by 1, 2),"
-        " r as (select *, row_number() over (partition by doc_id order by n desc, p) as k from f)"
+        f"with {_IMPORTANT}"
         " select p.doc_id, coalesce(string_agg(w, ' ' order by k) filter (where k <= 10), '') as words from papers p left join r using (doc_id) group by 1"
     ),
     "extract_keywords": (
@@ -192,7 +290,7 @@ SQL: dict[str, str] = {
         " case when cand_id % 2 = 0 then 'https://doi.org/10.1007/' || cand_id else coalesce(url,'') end as url, 'Springer Journal' as source from a where length(plain) >= 30"
     ),
     "springer_split": (
-        "select cand_id, arrival_seq from (select *, row_number() over (partition by arrival_seq % 2 order by arrival_seq) as k from candidates where source = 'springer')"
+        "select cand_id, arrival_seq from (select *, row_number() over (partition by src_id, arrival_seq % 2 order by arrival_seq) as k from candidates where source = 'springer')"
         " where k <= case when arrival_seq % 2 = 0 then 5 else 6 end"
     ),
     "scholar_rows": (
@@ -214,4 +312,68 @@ SQL: dict[str, str] = {
         " q as (select key, unnest(['zh','en','ja','xx']) as lang from a)"
         " select q.key, q.lang, coalesce(template, q.key) as label from q left join l on l.key = q.key and l.lang = case when q.lang = 'xx' then 'zh' else q.lang end"
     ),
+    "search_query": (
+        f"with {_IMPORTANT}, e as (select doc_id, list(w order by k) as ws from r where k <= 8 group by 1)"
+        " select p.doc_id, substr(array_to_string(list_concat([coalesce(title,'')], case when len(coalesce(keywords,[])) > 0 then keywords[1:5] else coalesce(ws, []) end), ' '), 1, 300) as query from papers p left join e using (doc_id)"
+    ),
+    "paragraph_split": f"with recursive {_PARAS.format(key='doc_id', text="coalesce(body,'')", source='papers')} select doc_id, pos, para as paragraph from paras",
+    "segment_best_match": f"with recursive {_SEGMENTS} select * from seg",
+    "segment_top5": f"with recursive {_SEGMENTS} select * from top5",
+    "report_projection": (
+        f"with recursive {_SEGMENTS}, " + _REPORT.split(_PAIRS + ", ", 1)[1] + ","
+        " listed as (select src_id, cand_id, string_agg('#' || (paragraph_index + 1) || '(' || (overlap // 10) || '.' || (overlap % 10) || '%)', '; ' order by overlap desc, paragraph_index) as ms from top5 group by 1, 2)"
+        " select r.src_id, r.rank, r.score / 10 as \"Combined Score\", tf / 10 as \"TF-IDF Score\", fp / 10 as \"N-gram Fingerprint\", kw / 10 as \"Keyword Overlap\", coalesce(ms, '') as \"Matched Paragraphs\","
+        " coalesce(r.title, '') as \"Title\", coalesce(c.authors, '') as \"Authors\", c.year as \"Year\", c.source as \"Source\", coalesce(c.url, '') as \"URL\", substr(coalesce(r.abstract, ''), 1, 300) as \"Abstract\""
+        " from rep r join candidates c using (arrival_seq) left join listed l on l.src_id = r.src_id and l.cand_id = r.cand_id where r.score >= 100"
+    ),
+    "extract_title": f"with {_TITLES} select * from title_of",
+    "content_start": f"with {_STARTS} select doc_id, pos as \"at\" from starts",
+    "line_kinds": f"with l as (select doc_id, {_LINES} as ls from papers), e as (select doc_id, (generate_subscripts(ls, 1) - 1)::INTEGER as pos, unnest(ls) as x from l) select doc_id, pos, {_authors_line('x')} as is_authors, {_front('x')} as is_front from e",
+    "extract_abstract": (
+        f"with {_STARTS}, p as (select doc_id, raw, pos, {_past('raw', _ABSTRACT_RE)} as a, {_past('raw', _INLINE_RE)} as b from starts),"
+        f" q as (select *, {_upto('a', _INTRO_RE)} as a_end, {_upto('b', _KEYS_RE)} as b_keys, {_upto('b', _INTRO_RE)} as b_intro from p),"
+        " t as (select doc_id, case when a is not null then coalesce(a_end, substr(a, 1, 1500)) when b is not null then substr(b, 1, coalesce(nullif(least(length(b_keys), length(b_intro)), 0), 1500)::BIGINT) else substr(raw, pos + 1, 600) end as t from q)"
+        f" select doc_id, {_clean('t')} as abstract from t"
+    ),
+    "extract_body": f"with {_STARTS}, p as (select doc_id, substr(raw, pos + 1) as t from starts), q as (select doc_id, coalesce({_upto('t', _CLOSE_RE)}, t) as t from p) select doc_id, substr({_clean('t')}, 1, 4000) as body from q",
+    "clean_text": f"select doc_id, {_clean("replace(coalesce(body,''), '. ', ' .  ' || repeat(chr(10), 4))")} as cleaned from papers",
+    "join_hyphens": "select doc_id, regexp_replace(replace(replace(coalesce(title,''), '-', '-' || chr(10)), ' ', ' -' || chr(10)), '([\\p{L}\\p{M}\\p{Nd}_])-\\n([\\p{L}\\p{M}\\p{Nd}_])', '\\1-\\2', 'g') as joined from papers",
+    "tei_errors": "select doc_id, case when doc_id % 3 > 0 then 'x' end as title, doc_id % 3 = 0 as broken from papers",
+    "parse_dispatch": (
+        f"with recursive {_WORDS}, {_FONT}, {_TITLES}, paged as (select doc_id, string_agg(text, chr(10)) as t from ordered group by 1),"
+        " p as (select p.doc_id, p.title, p.abstract, p.parse_source, raw_text, f.title as by_font, o.title as by_rule, t from papers p left join fonts f using (doc_id) left join title_of o using (doc_id) left join paged using (doc_id)),"
+        f" s as (select *, case when parse_source = 'grobid' and ({_strip("coalesce(title,'')")} <> '' or {_strip("coalesce(abstract,'')")} <> '') then 'grobid' when parse_source <> 'regex' and by_font <> '' and {_strip("coalesce(t,'')")} <> '' then 'layout'"
+        f" when length({_strip("coalesce(raw_text,'')")}) >= 100 then 'regex' end as way from p)"
+        f" select doc_id, case way when 'grobid' then {_strip("coalesce(title,'')")} when 'layout' then by_font when 'regex' then by_rule end as title, way as parse_source from s"
+    ),
+    "column_split": f"with recursive {_WORDS} select doc_id, 1 as page, split_x from splits",
+    "words_to_lines": f"with recursive {_WORDS} select doc_id, 1 as page, (round_even(top / 2, 0) * 2)::INTEGER as line, string_agg(text, ' ' order by x0, text) as text from words group by 1, 3",
+    "reading_order": f"with recursive {_WORDS} select doc_id, page, region, line, text from ordered",
+    "font_title": f"with {_FONT} select doc_id, title from fonts",
+    "atom_entries": (
+        f"with a as (select *, {_NAMES} as n, " + _strip("coalesce(title,'')") + " as tt, " + _strip("coalesce(abstract,'')") + " as aa from candidates where source = 'arxiv')"
+        f" select arrival_seq, 0 as pos, tt as title, aa as abstract, year, {_et_al('n')} as authors, coalesce(url,'') as url, 'arXiv' as source from a where aa <> ''"
+    ),
+    "thesis_rows": (
+        "with a as (select arrival_seq, cand_id, year, " + _strip("coalesce(title,'')") + " as tt, " + _strip("coalesce(abstract,'')") + " as aa from candidates where source = 'ndltd'),"
+        " b as (select *, length(tt) > 10 as row_, nullif(regexp_extract(tt, '(?:^|[^\\p{L}\\p{M}\\p{Nd}_])((?:19|20)\\d{2})(?:[^\\p{L}\\p{M}\\p{Nd}_]|$)', 1), '')::INTEGER as in_title,"
+        " regexp_extract(tt, '[一-鿿]{2,4}(?:\\s*[一-鿿]{2,4})?') as han from a where length(tt) >= 10)"
+        " select arrival_seq, 0 as pos, tt as title, case when row_ and length(aa) > 30 then substr(aa, 1, 500) else '' end as abstract, case when row_ then coalesce(in_title, case when year between 1900 and 2099 then year end) end as year,"
+        " case when row_ and length(han) <= 12 then han else '' end as authors, 'https://ndltd.ncl.edu.tw/thesis?id=' || cand_id as url, '碩博士論文網' as source from b"
+    ),
+    "active_sources": (
+        "select k::INTEGER as ordinal, c.source as id, default_results as chosen from connectors c join (values (0, 'semantic'), (1, 'arxiv'), (2, 'crossref'), (3, 'ndltd'), (4, 'gscholar'), (5, 'springer')) v(k, s)"
+        " on s = c.source where c.source <> 'ndltd' and default_results > 0"
+    ),
+    "payload_errors": "select arrival_seq from candidates where source = 'semantic' and length(title) > 20 and arrival_seq % 4 = 0",
+    "springer_without_key": (
+        "with a as (select *, " + _strip("coalesce(abstract,'')") + " as plain, row_number() over (partition by src_id, arrival_seq % 2 order by arrival_seq) as k from candidates where source = 'springer' and cand_id % 5 <> 0 and length("
+        + _strip("coalesce(regexp_replace(abstract, '<[^>]+>', ' ', 'g'),'')") + ") >= 30)"
+        " select src_id, arrival_seq, coalesce(title,'') as title, 'https://doi.org/10.1007/' || cand_id as url, case when arrival_seq % 2 = 0 then 'Springer Journal' else 'Springer Book' end as source from a where k <= case when arrival_seq % 2 = 0 then 2 else 3 end"
+    ),
+    "source_union": (
+        "with a as (select source, arrival_seq, " + _strip("coalesce(regexp_replace(abstract, '<[^>]+>', ' ', 'g'),'')") + " as bare, coalesce(abstract,'') as raw, " + _strip("coalesce(abstract,'')") + " as plain from candidates)"
+        " select case source when 'semantic' then 0 when 'crossref' then 2 else 5 end as ordinal, count(*) as n, min(arrival_seq) as first_seq from a"
+        " where source = 'semantic' and raw <> '' or source = 'crossref' and length(bare) >= 30 or source = 'springer' and length(plain) >= 30 group by 1"
+    ),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexiloom.core.tables import load
 from lexiloom.functions import grams, text as T
@@ -91,8 +91,6 @@ def topk_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     left = scoring.fingerprints(_papers(spark, d).select(F.col("doc_id").alias("id_l"), T.text("abstract").alias("text")), "id_l")
     right = scoring.fingerprints(_texts(spark, d).withColumnRenamed("cand_id", "id_r"), "id_r")
     near = scoring.inverted_jaccard(left, right, 0.0)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("id_l").orderBy(F.desc("jaccard"), "id_r")
     best = near.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
     return best.select(F.col("id_l").alias("src_id"), F.col("id_r").alias("cand_id"), "common", F.col("united").cast("long").alias("united"), F.col("rank").cast("long").alias("rank"))
@@ -204,17 +202,44 @@ def long_enough(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def parse_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    """Papers through TEI and patterns; the better parse wins."""
+    """Papers through TEI, layout and patterns; the best parse wins, files other than .pdf have patterns only."""
     p = _papers(spark, d)
     esc = lambda c: F.replace(F.replace(T.text(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     tei = F.when(F.col("parse_source") == "grobid", F.concat(
         F.lit("<TEI><teiHeader><fileDesc><titleStmt><title type='main'>"), esc("title"), F.lit("</title></titleStmt></fileDesc><profileDesc><abstract><p>"),
         esc("abstract"), F.lit("</p></abstract></profileDesc></teiHeader><text><body><p>"), esc("body"), F.lit("</p></body></text></TEI>"),
     ))
-    by_tei = documents.parse_tei(p.select("doc_id", tei.alias("tei"))).where("paper is not null")
+    by_tei = documents.parse_tei(p.select("doc_id", tei.alias("tei")))
     pattern = documents.parse_text(p.where(documents.long_enough(F.col("raw_text")))).select("doc_id", F.struct("title", "abstract", "keywords", "body").alias("paper"))
-    none = by_tei.where(F.lit(False))
-    return documents.first_success(p, by_tei, none, pattern).select("doc_id", "title", "parse_source")
+    files = p.select("doc_id", F.concat(F.lit("file"), F.when(F.col("parse_source") == "regex", ".docx").otherwise(".PDF")).alias("name"))
+    by_layout = documents.parse_layout(_words(spark, d), _chars(spark, d))
+    return documents.first_success(files, by_tei, by_layout, pattern).select("doc_id", "title", "parse_source")
+
+
+@query
+def tei_errors(spark: SparkSession, d: str) -> DataFrame:
+    """TEI documents of which every third is cut off: the broken ones give an error, the others a paper."""
+    p = _papers(spark, d).select("doc_id", F.concat(F.lit("<TEI><titleStmt><title>x"), F.when(F.col("doc_id") % 3 > 0, "</title></titleStmt></TEI>").otherwise("</title>")).alias("tei"))
+    return documents.parse_tei(p).select("doc_id", F.col("paper.title").alias("title"), F.col("error").isNotNull().alias("broken"))
+
+
+@query
+def join_hyphens(spark: SparkSession, d: str) -> DataFrame:
+    """Titles broken into a line for each word or half word, and joined again."""
+    broken = F.replace(F.replace(T.text("title"), F.lit("-"), F.lit("-\n")), F.lit(" "), F.lit(" -\n"))
+    return _papers(spark, d).select("doc_id", T.join_hyphens(broken).alias("joined"))
+
+
+@query
+def line_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """What each line of a raw first page is taken for."""
+    lines = _papers(spark, d).select("doc_id", F.posexplode(T.lines(T.text("raw_text"))).alias("pos", "line"))
+    return lines.select("doc_id", "pos", T.is_author_line(F.col("line")).alias("is_authors"), T.is_front_matter(F.col("line")).alias("is_front"))
+
+
+@query
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return _papers(spark, d).select("doc_id", T.clean(F.replace(T.text("body"), F.lit(". "), F.lit(" .  \n\n\n\n"))).alias("cleaned"))
 
 
 def _payload(spark: SparkSession, d: str, source: str, make) -> DataFrame:
@@ -313,7 +338,7 @@ def progress(spark: SparkSession, d: str) -> DataFrame:
 def report_projection(spark: SparkSession, d: str) -> DataFrame:
     c, p = _candidates(spark, d), _papers(spark, d)
     rows = report.ranked_report(c, p)
-    return report.projection(rows, report.matched_segments(rows, p, c))
+    return report.projection(rows, report.matched_segments(rows, p, c)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query
@@ -352,13 +377,50 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
     return layout.reading_order(_words(spark, d))
 
 
-@query
-def font_title(spark: SparkSession, d: str) -> DataFrame:
-    """Titles by font size over first pages whose first line is set larger."""
+def _chars(spark: SparkSession, d: str) -> DataFrame:
+    """First pages whose first line is set larger, a character each."""
     p = _papers(spark, d).where("raw_text is not null").select("doc_id", F.posexplode(F.split("raw_text", "\n")).alias("line", "t"))
     ch = p.select("doc_id", "line", F.posexplode(F.split("t", "")).alias("k", "text")).where("text <> '' and text <> ' '")
     size = F.when(F.col("line") == 0, 18.0).otherwise(10.0)
-    return layout.font_title(ch.select("doc_id", F.lit(1).alias("page"), F.lit(792.0).alias("page_h"), "text", (F.col("k") * size * 0.5).alias("x0"), ((F.col("k") + 1) * size * 0.5).alias("x1"), (60.0 + F.col("line") * 20.0).alias("top"), size.alias("size")))
+    return ch.select("doc_id", F.lit(1).alias("page"), F.lit(792.0).alias("page_h"), "text", (F.col("k") * size * 0.5).alias("x0"), ((F.col("k") + 1) * size * 0.5).alias("x1"), (60.0 + F.col("line") * 20.0).alias("top"), size.alias("size"))
+
+
+@query
+def font_title(spark: SparkSession, d: str) -> DataFrame:
+    return layout.font_title(_chars(spark, d))
+
+
+@query
+def active_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of the connectors table with a limit above zero."""
+    limits = load(spark, d, "connectors").select(F.col("source").alias("id"), F.when(F.col("source") != "ndltd", F.col("default_results")).otherwise(0).alias("chosen"))
+    return catalog.active(catalog.registry(spark), limits).select("ordinal", "id", "chosen")
+
+
+@query
+def payload_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Responses of which every fourth is cut in the middle: the sources and payloads that failed."""
+    item = F.to_json(F.struct(F.array(F.struct("title", "abstract")).alias("data")))
+    rows = _candidates(spark, d).where("source = 'semantic' and length(title) > 20")
+    cut = rows.select("arrival_seq", F.when(F.col("arrival_seq") % 4 == 0, F.substring(item, 1, 20)).otherwise(item).alias("payload"))
+    return payloads.payload_errors(cut, payloads.SEMANTIC_SCHEMA).select("arrival_seq")
+
+
+@query
+def springer_without_key(spark: SparkSession, d: str) -> DataFrame:
+    """The publisher's rows from the registry: journals and books of each paper by type and DOI prefix."""
+    kind = F.when(F.col("arrival_seq") % 2 == 0, "journal-article").otherwise("book-chapter")
+    item = F.struct(F.array("title").alias("title"), "abstract", F.concat(F.when(F.col("cand_id") % 5 == 0, "10.1016/").otherwise("10.1007/"), "cand_id").alias("DOI"), kind.alias("type"))
+    rows = _candidates(spark, d).where("source = 'springer'")
+    made = rows.select("src_id", "arrival_seq", kind.alias("kind"), F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("message"))).alias("payload"))
+    return payloads.springer_found(made, "arrival_seq", 5, False, ("src_id",)).select("src_id", "arrival_seq", "title", "url", "source")
+
+
+@query
+def source_union(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of three connectors put together in registry order."""
+    parts = {"crossref": crossref_rows(spark, d), "semantic": s2_rows(spark, d), "springer": springer_rows(spark, d)}
+    return catalog.union_sources(parts).groupBy("ordinal").agg(F.count("*").alias("n"), F.min("arrival_seq").alias("first_seq"))
 
 
 ORACLE = {k: v for k, v in oracle.SQL.items() if k in QUERIES}

@@ -46,6 +46,15 @@ def enabled(registry_rows: DataFrame, chosen: list[str]) -> DataFrame:
     return registry_rows.where(F.col("id").isin(chosen)) if chosen else registry_rows.where(F.lit(False))
 
 
+def active(registry_rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """The sources with a chosen limit above zero, in order: ``limits(id, chosen)``.
+
+    With no source or no limit the table is empty, and so is every search over
+    it: that is how a run without sources stops.
+    """
+    return registry_rows.join(limits.where("chosen > 0"), "id").orderBy("ordinal")
+
+
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
     """Rows of several sources in registry order, with ``ordinal``; ``pos`` orders within."""
     out = None
