@@ -1,10 +1,10 @@
 """Problem 1: near-duplicate records, found by b-bit MinHash.
 
 Method.  Each record's set of distinct words is hashed; records with the same
-set form one class, so copies cost one row from there on.  For each class 128
-minima are computed; bands of 6 minima give band keys, and classes that share a
+set form one class, so copies cost one row from there on.  For each class 256
+minima are computed; bands of 8 minima give band keys, and classes that share a
 band key are candidates.  Of each minimum only the low 2 bits are kept, packed
-into four 64-bit words; equal positions of two signatures, counted by bit
+into eight 64-bit words; equal positions of two signatures, counted by bit
 operations, estimate the similarity corrected for chance agreement.  Pairs
 whose estimate reaches the threshold less a margin of standard errors are
 checked exactly on the word hashes.
@@ -33,12 +33,12 @@ from lexiloom.core.links import components, keyed_pairs, member_pairs
 from lexiloom.core.storage import materialize
 from lexiloom.llm.words import WordHasher, words_of
 
-MINIMA, ROWS, ROUNDS, BITS = 128, 6, 2, 2
+MINIMA, ROWS, ROUNDS, BITS = 256, 8, 2, 2
 _rng = np.random.default_rng(20240501)
 _MULT = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
-#: Each round deals the minima into bands of ROWS; what is left over of a deal is in no band of it.
-BANDS = np.concatenate([_rng.permutation(MINIMA)[: MINIMA // ROWS * ROWS].reshape(-1, ROWS) for _ in range(ROUNDS)])
+#: Each round deals all minima into bands of ROWS.
+BANDS = np.concatenate([_rng.permutation(MINIMA).reshape(-1, ROWS) for _ in range(ROUNDS)])
 _FOLD = _rng.integers(1, 2**63, (len(BANDS), ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lexiloom.core.links import expand_links, keyed_pairs, member_pairs
 from lexiloom.core.storage import materialize
 
-SLACK = 21
+SLACK = 41
 GRAM = 16
 #: Stands for the place of a window that a text holds more than once.
 REPEATED = -1
