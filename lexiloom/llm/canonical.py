@@ -1,23 +1,29 @@
 """Problem 4: one consistent form for text that merely looks the same.
 
-Method: quick-check properties decide which characters can be unstable.  Text
-without any is passed through untouched.  Otherwise only the segments around
-unstable characters are normalized, each with its boundary context (the whole
-run of letters, marks and invisible characters it stands in), and the canonical
-segments are spliced into the unchanged rest.
-
-The canonical form: NFC; no invisible characters; every space character a plain
-space; full-width letters, digits and signs in their plain form, but signs of
-Chinese text kept; ligatures of letters spelled out; letters of another script
-that pass for Latin ones inside a Latin word replaced by the Latin letter.
-Superscripts, typographic quotes, dashes and ellipses, single Greek symbols and
-whole words of other scripts stay as they are.
+Method: quick-check properties of Unicode decide which characters can be
+unstable: those whose NFC quick check is not "yes", default-ignorable characters
+and controls, spaces other than the plain one, and compatibility forms (full and
+half width, ligatures, mathematical letters).  Text without any is passed
+through untouched.  Otherwise only the segments around unstable characters are
+normalized, each with its boundary context (the whole run of letters, marks and
+invisible characters it stands in, and the character that a mark may join), and
+the canonical segments are spliced into the unchanged rest.
+
+The canonical form is in NFC, without invisible characters, with every space
+character a plain space; full-width letters, digits and signs are in their plain
+form, but signs of Chinese text kept; half-width kana are full; ligatures of
+letters are spelled out and mathematical letters plain; letters of another
+script that pass for Latin ones inside a Latin word become the Latin letter, so
+"NF\u03baB" becomes "NFkB": callers that must keep Greek inside words pass
+``greek=False``.  Superscripts, typographic quotes, dashes and ellipses, single
+Greek symbols and whole words of other scripts stay as they are.
 
 Null stays null and empty stays empty; line ends and tabs are kept.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -37,20 +43,21 @@ LOOKALIKES = {
 }
 
 # Quick-check classes, as the contents of a character class.
-INVISIBLE = (
-    r"\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e"
-    r"\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb"
-)
+INVISIBLE = r"\p{Default_Ignorable_Code_Point}\u2800\ufff9-\ufffb\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f"
 SPACES = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NOT_NFC = r"\p{NFC_Quick_Check=No}\p{NFC_Quick_Check=Maybe}"
 WIDE_WORD = r"\uff10-\uff19\uff21-\uff3a\uff41-\uff5a"
 WIDE_SIGN = r"\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff5e\uffe0-\uffe6"
 LIGATURES = r"\ufb00-\ufb06"
+#: Other compatibility letters: half-width kana and mathematical letters and digits.
+PLAINER = r"\uff61-\uff9f\U0001d400-\U0001d7ff"
 ACCENTS = r"\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 
 _ALIKE = "".join(LOOKALIKES)
-_UNSTABLE = regex.compile(f"[{INVISIBLE}{SPACES}{WIDE_WORD}{WIDE_SIGN}{LIGATURES}{ACCENTS}{_ALIKE}]")
+_GREEK = frozenset(c for c in LOOKALIKES if unicodedata.name(c).startswith("GREEK"))
+_UNSTABLE = regex.compile(f"[{INVISIBLE}{SPACES}{NOT_NFC}{WIDE_WORD}{WIDE_SIGN}{LIGATURES}{PLAINER}{ACCENTS}{_ALIKE}]")
 #: Runs within which characters can interact; their ends are stable boundaries.
-_SEGMENT = regex.compile(rf"[{SPACES}]|[{WIDE_SIGN}]|[\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}{LIGATURES}{ACCENTS}]+")
+_SEGMENT = regex.compile(rf"[{SPACES}](?!\p{{M}})|[{WIDE_SIGN}](?!\p{{M}})|(?:[^\p{{L}}\p{{N}}\s](?=\p{{M}}))?[\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}{NOT_NFC}{LIGATURES}{ACCENTS}]+")
 _DROP = regex.compile(f"[{INVISIBLE}]+")
 _ONE_SPACE, _ONE_SIGN = regex.compile(f"[{SPACES}]"), regex.compile(f"[{WIDE_SIGN}]")
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -59,33 +66,41 @@ _ALIKE_RE = regex.compile(f"[{_ALIKE}]")
 _HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Hangul}\u3001-\u3003\u3008-\u3011]")
 _ACCENT_AFTER = regex.compile(rf"\p{{L}}[{ACCENTS}]")
 _WIDE_OR_LIG = regex.compile(f"[{WIDE_WORD}{LIGATURES}]")
+_PLAINER = regex.compile(f"[{PLAINER}]+")
+#: All that can be unstable in ASCII.
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
-def _segment(text: str) -> tuple[str, bool]:
+def _segment(text: str, greek: bool) -> tuple[str, bool]:
     """The canonical form of one segment and whether a listed defect was in it."""
     bare = _DROP.sub("", text)
     defect = bare != text
     if _WIDE_OR_LIG.search(bare):
         defect = True
         bare = _WIDE_OR_LIG.sub(lambda m: unicodedata.normalize("NFKC", m[0]), bare)
+    if _ONE_SPACE.search(bare):
+        defect = True
+        bare = _ONE_SPACE.sub(" ", bare)
+    bare = _PLAINER.sub(lambda m: unicodedata.normalize("NFKC", m[0]), bare)
     defect = defect or _ACCENT_AFTER.search(bare) is not None
     bare = unicodedata.normalize("NFC", bare)
     if _ALIKE_RE.search(bare):
 
         def word(m: regex.Match) -> str:
             nonlocal defect
-            if _LATIN.search(m[0]) and _ALIKE_RE.search(m[0]):
-                defect = True
-                return "".join(LOOKALIKES.get(ch, ch) for ch in m[0])
+            if _LATIN.search(m[0]):
+                new = "".join(c if not greek and c in _GREEK else LOOKALIKES.get(c, c) for c in m[0])
+                defect = defect or new != m[0]
+                return new
             return m[0]
 
         bare = unicodedata.normalize("NFC", _LETTERS.sub(word, bare))
     return bare, defect
 
 
-def canonical(text: str | None) -> tuple[str | None, bool]:
+def canonical(text: str | None, greek: bool = True) -> tuple[str | None, bool]:
     """The canonical form of a text, and whether it held a listed defect."""
-    if text is None or text.isascii() or not _UNSTABLE.search(text):
+    if text is None or not (_CONTROL if text.isascii() else _UNSTABLE).search(text):
         return text, False
     chinese = _HAN.search(text) is not None
     parts, at, found = [], 0, False
@@ -98,12 +113,14 @@ def canonical(text: str | None) -> tuple[str | None, bool]:
         elif len(own) == 1 and _ONE_SIGN.match(own):
             new, defect = (own, False) if chinese else (unicodedata.normalize("NFKC", own), True)
         else:
-            new, defect = _segment(own)
+            new, defect = _segment(own, greek)
         parts.append(text[at : m.start()])
         parts.append(new)
         at, found = m.end(), found or defect
     parts.append(text[at:])
-    return "".join(parts), found
+    done = "".join(parts)
+    # what was dropped or replaced may have kept a mark from its letter
+    return done if unicodedata.is_normalized("NFC", done) else unicodedata.normalize("NFC", done), found
 
 
 def canonical_text(text: str | None) -> str | None:
@@ -137,11 +154,11 @@ def canonicalize(df: DataFrame, key: str, *fields: str) -> DataFrame:
 def unstable_fields(df: DataFrame, key: str, *fields: str) -> DataFrame:
     """Distinct ``(key, fld)`` of the fields that hold a listed defect.
 
-    Fields of ASCII only are dropped in the JVM before any Python runs.
+    Fields of plain ASCII without controls are dropped in the JVM before any Python runs.
     """
     suspicious = None
     for f in fields:
-        test = F.col(f).rlike(r"[^\x00-\x7f]")
+        test = F.col(f).rlike(r"[^\t\n\r\x20-\x7e]")
         suspicious = test if suspicious is None else suspicious | test
     done = canonicalize(df.where(suspicious), key, *fields)
     flags = [F.when(F.col(f"{f}_unstable"), F.lit(f)) for f in fields]
