@@ -1,10 +1,10 @@
 """Problem 1: near-duplicate records, found by b-bit MinHash.
 
 Method.  Each record's set of distinct words is hashed; records with the same
-set form one class, so copies cost one row from there on.  For each class 256
+set form one class, so copies cost one row from there on.  For each class 224
 minima are computed; bands of 8 minima give band keys, and classes that share a
 band key are candidates.  Of each minimum only the low 2 bits are kept, packed
-into eight 64-bit words; equal positions of two signatures, counted by bit
+into seven 64-bit words; equal positions of two signatures, counted by bit
 operations, estimate the similarity corrected for chance agreement.  Pairs
 whose estimate reaches the threshold less a margin of standard errors are
 checked exactly on the word hashes.
@@ -12,8 +12,8 @@ checked exactly on the word hashes.
 Scale.  The texts are tokenized once; their word hashes are written to the
 shared folder and shuffled once by class, the band rows once by key.  No group
 is collected: keys of one class end after that shuffle, hot keys are cut into
-blocks on both sides of the join, and a set-size test inside it drops pairs that
-cannot qualify.  Classes are told apart by the sets themselves, their 64-bit
+blocks on both sides of the join, and a test of the sets' sizes precedes the
+exact one.  Classes are told apart by the sets themselves, their 64-bit
 hashes only route them.
 
 Records with null or empty texts, or with fewer words than ``min_words``, are
@@ -33,7 +33,7 @@ from lexiloom.core.links import components, keyed_pairs, member_pairs
 from lexiloom.core.storage import materialize
 from lexiloom.llm.words import WordHasher, words_of
 
-MINIMA, ROWS, ROUNDS, BITS = 256, 8, 2, 2
+MINIMA, ROWS, ROUNDS, BITS = 224, 8, 2, 2
 _rng = np.random.default_rng(20240501)
 _MULT = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
@@ -107,7 +107,6 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(keys.ravel()),
                 "class": pa.array(np.repeat(part.column("class").to_numpy(), width)),
-                "n": pa.array(np.repeat(np.array([len(s) for s in sets], dtype=np.int32), width)),
             })
 
 
@@ -116,7 +115,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _blocks(batch):
             sig = packed(minima(sets))
             cols = {f"s{k}": pa.array(np.ascontiguousarray(sig[:, k])) for k in range(sig.shape[1])}
-            yield pa.RecordBatch.from_pydict({"class": part.column("class"), **cols})
+            yield pa.RecordBatch.from_pydict({"class": part.column("class"), "n": pa.array([len(s) for s in sets], pa.int32()), **cols})
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,16 +158,15 @@ def class_links(sets: DataFrame, threshold: float, sigmas: float = 4.5) -> DataF
     """Verified links ``(class_a, class_b, similarity)`` between different word sets."""
     # the filter, which the joins would add, makes all uses share one exchange
     distinct = sets.where("class is not null").select("class", "words").distinct()
-    rows = distinct.mapInArrow(_banded, "key long, class long, n int")
+    rows = distinct.mapInArrow(_banded, "key long, class long")
     candidates = (
         keyed_pairs(rows, "key")
         .where("class_a < class_b")
-        .where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
         .select("class_a", "class_b")
         .distinct()
     )
     words = MINIMA * BITS // 64
-    signed = distinct.mapInArrow(_signed, "class long, " + ", ".join(f"s{k} long" for k in range(words)))
+    signed = distinct.mapInArrow(_signed, "class long, n int, " + ", ".join(f"s{k} long" for k in range(words)))
 
     def side(of: DataFrame, x: str) -> DataFrame:
         return of.select(*(F.col(c).alias(f"{c}_{x}") for c in of.columns))
@@ -179,6 +177,7 @@ def class_links(sets: DataFrame, threshold: float, sigmas: float = 4.5) -> DataF
     margin = sigmas * (expected * (1 - expected) / MINIMA) ** 0.5
     near = (
         candidates.join(side(signed, "a"), "class_a").join(side(signed, "b"), "class_b")
+        .where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
         .where(equal_positions(words) >= MINIMA * (expected - margin))
         .select("class_a", "class_b")
     )
