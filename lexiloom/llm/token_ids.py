@@ -6,13 +6,17 @@ passage that recurs in another document gives the same chunks.  Each distinct
 chunk is encoded once and its ids are joined back.
 
 A cut may fall inside a token.  So each chunk is split at its first and last
-safe boundary, a plain space between two characters that are neither spaces nor
-controls: the tokenizer's pattern always begins a new piece there, so ids on
-both sides are independent.  What lies between the safe boundaries is the
-chunk's body; the tail of one chunk and the head of the next are put together
-to a join, which is encoded as a whole.  A chunk without a safe boundary is
-taken into the join too, and the join grows until it ends at safe boundaries,
-where the ids agree exactly with those of the undivided text.
+safe boundary, where the tokenizer's pattern always begins a new piece, so that
+ids on both sides are independent: before white space after a visible character,
+and between letters, digits and punctuation (but for apostrophes, which may open
+a piece with letters).  What lies between the safe boundaries is the chunk's
+body; the tail of one chunk and the head of the next are put together to a join,
+which is encoded as a whole.  A chunk without a safe boundary is taken into the
+join too, and the join grows until it ends at safe boundaries, where the ids
+agree exactly with those of the undivided text.
+
+The texts are cut once: that pass gives the keys of every document's pieces and
+each piece that the task meets first, and is written to the shared folder.
 
 Defined results: null and empty texts give an empty list; texts that look like
 special tokens are ordinary text; a repeated document id gives one row for each
@@ -33,9 +37,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from lexiloom.core.storage import materialize
+
 WINDOW, LEAST, MOST, MASK = 12, 24, 2048, np.uint64(0x3F)
 _ROLL = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(WINDOW)], dtype=np.uint64)
-_SAFE = re.compile(r"(?<=[^\s\x00-\x1f\x7f-\xa0]) (?=[^\s\x00-\x1f\x7f-\xa0])")
+# Classes of the tokenizer's pattern, as far as every version of Unicode agrees on them.
+_L, _N, _P = r"A-Za-zÀ-ÖØ-öø-ʯΑ-ΡΣ-ώА-яぁ-ゖァ-ヺ一-鿋가-힣", "0-9", r"!-&(-/:-@\[-`{-~、。，！？：；（）「」“”‘’–—…"
+_SAFE = re.compile(rf"(?<=[{_L}])(?=[{_N}{_P}'\s])|(?<=[{_N}])(?=[{_L}{_P}'\s])|(?<=[{_P}])(?=[{_L}{_N}\s])|(?<=')(?=\s)", re.A)
 #: Distinct pieces that one task remembers having sent; forgotten when full.
 SENT_LIMIT = 200_000
 
@@ -86,52 +94,47 @@ def cuts(text: str) -> list[int]:
 
 def pieces(text: str) -> list[str]:
     """Bodies and joins of a text, in order; their ids concatenate exactly."""
-    out, pending, start = [], "", 0
+    out, start, opened = [], 0, 0
     for end in cuts(text):
-        chunk = text[start:end]
+        # ends are included: what stands there belongs to the next chunk
+        first = _SAFE.search(text, start + 1, end)
+        if first:
+            last = first.start()
+            for m in _SAFE.finditer(text, last + 1, end):
+                last = m.start()
+            out += [text[a:b] for a, b in ((opened, first.start()), (first.start(), last)) if b > a]
+            opened = last
         start = end
-        safe = [m.start() for m in _SAFE.finditer(chunk)]
-        if not safe:
-            pending += chunk
-            continue
-        first, last = safe[0], safe[-1]
-        head = pending + chunk[:first]
-        if head:
-            out.append(head)
-        if last > first:
-            out.append(chunk[first:last])
-        pending = chunk[last:]
-    if pending:
-        out.append(pending)
-    return out
+    return [*out, text[opened:]] if opened < len(text) else out
 
 
 def _key(piece: str) -> bytes:
     return xxhash.xxh3_128_digest(piece.encode("utf-8", "surrogatepass"))
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document: the keys of its pieces, in order."""
-    for batch in batches:
-        keys = [[_key(p) for p in pieces(t)] if t else [] for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "keys": pa.array(keys, pa.list_(pa.binary()))})
-
-
-def _distinct_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of all texts, each about once a task."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document: the keys of its pieces, in order, and the pieces the task has not sent yet."""
     sent: set[bytes] = set()
     for batch in batches:
-        keys, texts = [], []
+        keys, fresh_keys, fresh = [], [], []
         for t in batch.column("text").to_pylist():
+            own, new_keys, new = [], [], []
             for p in pieces(t) if t else ():
                 k = _key(p)
+                own.append(k)
                 if k not in sent:
                     if len(sent) >= SENT_LIMIT:
                         sent.clear()
                     sent.add(k)
-                    keys.append(k)
-                    texts.append(p)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "piece": pa.array(texts, pa.string())})
+                    new_keys.append(k)
+                    new.append(p)
+            keys.append(own)
+            fresh_keys.append(new_keys)
+            fresh.append(new)
+        lists = pa.list_(pa.binary())
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id"), "keys": pa.array(keys, lists), "fresh_keys": pa.array(fresh_keys, lists), "fresh": pa.array(fresh, pa.list_(pa.string())),
+        })
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], name: str, folder: str) -> Iterator[pa.RecordBatch]:
@@ -145,13 +148,12 @@ def _pieces_of(documents: DataFrame, name: str, folder: str | None) -> tuple[Dat
     """Placed pieces ``(doc_id, tag, at, key)`` and encoded ones ``(key, piece_ids)``."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     folder = folder or tokenizer_folder()
-    source = documents.select("doc_id", "text")
-    placed = source.mapInArrow(_placed, f"doc_id {kind}, keys array<binary>").select(
-        "doc_id", F.xxhash64("keys").alias("tag"), F.posexplode("keys").alias("at", "key")
+    done = materialize(
+        documents.select("doc_id", "text").mapInArrow(_cut, f"doc_id {kind}, keys array<binary>, fresh_keys array<binary>, fresh array<string>"), "pieces"
     )
+    placed = done.select("doc_id", F.xxhash64("keys").alias("tag"), F.posexplode("keys").alias("at", "key"))
     encoded = (
-        source.select("text").mapInArrow(_distinct_pieces, "key binary, piece string")
-        .groupBy("key").agg(F.first("piece").alias("piece"))
+        done.select(F.explode(F.arrays_zip("fresh_keys", "fresh")).alias("f")).groupBy(F.col("f.fresh_keys").alias("key")).agg(F.first("f.fresh").alias("piece"))
         .mapInArrow(lambda it: _encoded(it, name, folder), "key binary, piece_ids array<int>")
     )
     return placed, encoded
