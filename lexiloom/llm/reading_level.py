@@ -6,19 +6,23 @@ of that vocabulary covers a fixed share of the document's tokens.  Coverage
 ranks at four shares and the complexity of the sentences (words per sentence,
 word length) are computed in SQL and compared with the language's own mean and
 spread.  Judgements of readers calibrate them: a logistic model for "at least
-intermediate" and one for "advanced" is fitted on at most ``MAX_LABELS``
-labelled documents (a documented bound; those of least hash) and applied to all
+intermediate" and one for "advanced" is fitted on at most about ``MAX_LABELS``
+labelled documents (a documented bound, drawn by hash) and applied to all
 documents as a SQL expression.
 
 The language is decided by the text, since the given one may be wrong: the
 language under whose word frequencies the text is most likely, with frequencies
-over all documents as labelled.  Only the ``MAX_PROFILE`` most frequent words of
-a language take part in that decision (a bound for the broadcast); ranks use the
-whole vocabulary.
+over all documents as labelled.  A text none of whose words occurs under a label
+keeps the given language, or ``und``.
 
-Defined results: null, empty and word-less texts have no words, a null level
-and are never found; texts under ``MIN_WORDS`` words get an estimate but are
-never advanced in ``advanced_documents``.
+Scale.  Joins on words take the most frequent ``HEAD`` rows of the word table as
+a broadcast (a fixed bound); the rest, whose words are rare, is shuffled, so no
+task holds the rows of a common word.
+
+Defined results: ``n_words`` counts runs with a letter or digit in the text;
+texts without a letter (null and empty ones too) have a null level and are never
+found; texts under ``MIN_WORDS`` words get an estimate but are never advanced in
+``advanced_documents``.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from lexiloom.core.storage import materialize
 
 SHARES = (0.5, 0.7, 0.8, 0.9)
 MAX_LABELS = 50_000
-MAX_PROFILE = 3_000
+#: Rows of a word table that are broadcast.
+HEAD = 20_000
 MIN_WORDS = 30
 FEATURES = ("cover_50", "cover_70", "cover_80", "cover_90", "mean_rank", "sentence_mean", "sentence_weighted", "sentence_max", "word_length", "long_8", "long_10", "log_words")
 
@@ -39,6 +44,11 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)
 
 
+def n_words(text: Column) -> Column:
+    """Runs of visible characters that hold a letter or digit; 0 for null."""
+    return F.coalesce(F.size(F.filter(F.split(text, r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))), F.lit(0))
+
+
 def _sentence_lengths(text: Column) -> Column:
     parts = F.split(text, r"[.!?。！？\n]+")
     counts = F.transform(parts, lambda s: F.size(F.regexp_extract_all(s, F.lit(r"(\p{L}+)"), 1)))
@@ -53,14 +63,28 @@ def tokens(documents: DataFrame) -> DataFrame:
     )
 
 
+def by_word(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """``rows`` joined with ``table``, one row for each ``on``: its HEAD heaviest rows by broadcast, the others by shuffle."""
+    head = materialize(table.orderBy(F.desc(weight), *on).limit(HEAD), "head")
+    common = F.broadcast(head.select(*on).withColumn("_common", F.lit(True)))
+    rare = lambda df: df.join(common, on, "left_anti")
+    return rows.join(F.broadcast(head), on).unionByName(rare(rows).join(rare(table), on))
+
+
 def languages(counted: DataFrame) -> DataFrame:
     """``(doc_id, own)``: the language under which a document's words are likeliest."""
     by_label = counted.where("lang is not null").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = by_label.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= MAX_PROFILE)
     totals = by_label.groupBy("lang").agg(F.sum("n").alias("total"))
-    profile = top.join(F.broadcast(totals), "lang").select("word", F.col("lang").alias("own"), F.log(F.col("n") / F.col("total") * 1e7 + 1).alias("weight"))
-    scored = counted.select("doc_id", "word", "n").join(F.broadcast(profile), "word").groupBy("doc_id", "own").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
-    return scored.groupBy("doc_id").agg(F.max_by("own", F.struct("score", "own")).alias("own"))
+    # one row a word, with its weight under each language
+    profile = (
+        by_label.join(F.broadcast(totals), "lang").withColumn("w", F.struct(F.col("lang").alias("own"), F.log(F.col("n") / F.col("total") * 1e7 + 1).alias("weight")))
+        .groupBy("word").agg(F.sum("n").alias("all"), F.collect_list("w").alias("ws"))
+    )
+    met = by_word(counted.select("doc_id", "word", "n"), profile, ["word"], "all")
+    scored = met.select("doc_id", "n", F.explode("ws").alias("w")).groupBy("doc_id", F.col("w.own").alias("own")).agg(F.sum(F.col("n") * F.col("w.weight")).alias("score"))
+    likeliest = scored.groupBy("doc_id").agg(F.max_by("own", F.struct("score", "own")).alias("found"))
+    given = counted.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    return given.join(likeliest, "doc_id", "left").select("doc_id", F.coalesce("found", "lang", F.lit("und")).alias("own"))
 
 
 def features(documents: DataFrame) -> DataFrame:
@@ -72,22 +96,20 @@ def features(documents: DataFrame) -> DataFrame:
     # words of one language ranked without one task per language: equal counts share a rank
     spread = vocabulary.groupBy("own", "total").agg(F.count("*").alias("words"))
     ranked = spread.withColumn("rank", F.sum("words").over(Window.partitionBy("own").orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, 0)))
-    ranks = vocabulary.join(ranked.select("own", "total", "rank"), ["own", "total"]).select("own", "word", F.log("rank").alias("rank"))
-    joined = placed.join(ranks, ["own", "word"]).groupBy("doc_id", "own").agg(
+    ranks = vocabulary.join(ranked.select("own", "total", "rank"), ["own", "total"]).select("own", "word", "total", F.log("rank").alias("rank"))
+    joined = by_word(placed, ranks, ["own", "word"], "total").groupBy("doc_id", "own").agg(
         F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("rs"), F.sum("n").alias("n_tokens"),
         (F.sum(F.col("rank") * F.col("n")) / F.sum("n")).alias("mean_rank"),
     )
-    running = F.expr(
-        "aggregate(rs, struct(cast(0 as bigint) as c, cast(array() as array<struct<r:double,c:bigint>>) as o),"
-        " (a, x) -> struct(a.c + x.n as c, concat(a.o, array(struct(x.rank as r, a.c + x.n as c))) as o)).o"
-    )
-    covered = joined.withColumn("run", running)
-    cover = [
-        F.filter("run", lambda x, p=p: x["c"] >= F.col("n_tokens") * p)[0]["r"].alias(f"cover_{int(p * 100)}") for p in SHARES
-    ]
+    # one walk over the ranks notes where each share is reached
+    names = [f"cover_{int(p * 100)}" for p in SHARES]
+    start = ", ".join(f"cast(null as double) as {c}" for c in names)
+    step = ", ".join(f"coalesce(a.{c}, if(a.c + x.n >= n_tokens * {p}D, x.rank, null)) as {c}" for c, p in zip(names, SHARES, strict=True))
+    walked = F.expr(f"aggregate(rs, struct(cast(0 as bigint) as c, {start}), (a, x) -> struct(a.c + x.n as c, {step}))")
+    covered = joined.withColumn("w", walked).select("doc_id", "own", "mean_rank", *(F.col(f"w.{c}").alias(c) for c in names))
     lengths = documents.where("text is not null").select(
         "doc_id", _sentence_lengths(F.col("text")).alias("sl"), F.transform(_words(F.col("text")), F.length).alias("wl"),
-        F.size(F.filter(F.split("text", r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))).alias("n_words"),
+        n_words(F.col("text")).alias("n_words"),
     )
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / F.size(a)
     shape = lengths.where("size(sl) > 0").select(
@@ -97,7 +119,7 @@ def features(documents: DataFrame) -> DataFrame:
         (F.size(F.filter("wl", lambda x: x >= 8)) / F.size("wl")).alias("long_8"),
         (F.size(F.filter("wl", lambda x: x >= 10)) / F.size("wl")).alias("long_10"), F.log(F.size("wl")).alias("log_words"),
     )
-    return covered.select("doc_id", "own", "mean_rank", *cover).join(shape, "doc_id").select("doc_id", "own", "n_words", *FEATURES).dropDuplicates(["doc_id"])
+    return covered.join(shape, "doc_id").select("doc_id", "own", "n_words", *FEATURES).dropDuplicates(["doc_id"])
 
 
 def standardized(rows: DataFrame) -> DataFrame:
@@ -143,10 +165,9 @@ def _probability(weights: np.ndarray) -> Column:
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, lang, n_words, coverage_rank, words_per_sentence, p_intermediate, p_advanced, level)``."""
     rows = materialize(standardized(features(documents)), "levels")
-    sample = (
-        rows.where(F.col("n_words") >= MIN_WORDS).join(_judged(labels), "doc_id")
-        .orderBy(F.xxhash64("doc_id")).limit(MAX_LABELS).select("level", *FEATURES).toPandas()
-    )
+    labelled = rows.where(F.col("n_words") >= MIN_WORDS).join(_judged(labels), "doc_id")
+    most = MAX_LABELS / max(1, labels.count())
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, most) * (1 << 20))).select("level", *FEATURES).toPandas()
     if len(sample):
         x, y = sample[list(FEATURES)].to_numpy(float), sample["level"].to_numpy(float)
         middle, high = fit_logistic(x, (y >= 0.5).astype(float)), fit_logistic(x, (y >= 1.5).astype(float))
@@ -154,8 +175,9 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
         middle = high = np.zeros(1 + len(FEATURES))
     scored = rows.withColumn("p_intermediate", _probability(middle)).withColumn("p_advanced", _probability(high))
     level = F.when(F.col("p_advanced") >= 0.5, "advanced").when(F.col("p_intermediate") >= 0.5, "intermediate").otherwise("basic")
-    known = scored.select("doc_id", F.col("own").alias("lang"), "n_words", "coverage_rank", "words_per_sentence", "p_intermediate", "p_advanced", level.alias("level"))
-    return documents.select("doc_id").distinct().join(known, "doc_id", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0)))
+    known = scored.select("doc_id", F.col("own").alias("lang"), "coverage_rank", "words_per_sentence", "p_intermediate", "p_advanced", level.alias("level"))
+    everyone = documents.groupBy("doc_id").agg(F.max(n_words(F.col("text"))).alias("n_words"))
+    return everyone.join(known, "doc_id", "left").select("doc_id", "lang", "n_words", "coverage_rank", "words_per_sentence", "p_intermediate", "p_advanced", "level")
 
 
 def advanced_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:

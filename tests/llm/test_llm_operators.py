@@ -38,6 +38,19 @@ def test_canonical_is_stable_and_splices(raw):
         assert canonical.canonical_text(raw + " \n" + raw) == f"{once} \n{once}"
 
 
+def test_every_character_comes_out_in_nfc_and_stable():
+    for k in [*range(0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200)]:
+        for raw in (chr(k), f"a{chr(k)}b", f"={chr(k)}", f"{chr(k)}\u0301"):
+            once = canonical.canonical_text(raw)
+            assert unicodedata.is_normalized("NFC", once) and canonical.canonical_text(once) == once, hex(k)
+
+
+def test_greek_may_stay_and_more_forms_are_plain():
+    assert canonical.canonical("NF\u03baB") == ("NFkB", True) and canonical.canonical("NF\u03baB", greek=False) == ("NF\u03baB", False)
+    assert canonical.canonical_text("\uff76\uff9e \U0001d400x \u212b \u3164y\U000e0041") == "\u30ac Ax \u00c5 y"
+    assert canonical.canonical("a\x00b\x9fc\td") == ("abc\td", True)
+
+
 def test_unstable_fields_in_spark(spark):
     df = spark.createDataFrame([(1, "a​", None, 0), (1, "a​", None, 1), (2, "x", "mаtter", 0), (3, None, None, 0)], "cand_id long, title string, abstract string, key int")
     assert {tuple(r) for r in canonical.unstable_fields(df, "cand_id", "title", "abstract").collect()} == {(1, "title"), (2, "abstract")}
@@ -221,6 +234,31 @@ def test_reading_levels(spark):
     assert reading_level.advanced_documents(d.limit(0), l.limit(0)).count() == 0
 
 
+def test_documents_without_language_evidence_are_not_lost(spark):
+    docs = [(i, text(i, 64), None) for i in range(20)] + [(50, text(50, 40), "en"), (51, "Слово за словом " * 20, None), (52, "Слово " * 40, "xx"), (53, None, None), (54, "12 34", "en")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in reading_level.reading_levels(d, spark.createDataFrame([], "doc_id long, rater_id int, reading_level string")).collect()}
+    assert len(got) == len(docs) and all(got[i]["n_words"] == 64 and got[i]["level"] is not None and got[i]["lang"] == "en" for i in range(20))
+    assert got[51]["lang"] == "xx" and got[53]["level"] is None and (got[54]["n_words"], got[54]["level"]) == (2, None)
+    alone = reading_level.reading_levels(d.where("doc_id < 3"), spark.createDataFrame([], "doc_id long, rater_id int, reading_level string")).collect()
+    assert [(x["lang"], x["n_words"]) for x in alone] == [("und", 64)] * 3
+
+
+def test_coverage_ranks_equal_brute_force(spark):
+    import collections
+    import math
+
+    docs = [(i, " ".join(random.Random(i).choices(WORDS[: 10 + 3 * i], k=50 + i)), "en") for i in range(25)]
+    rows = {r["doc_id"]: r for r in reading_level.features(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    counts = collections.Counter(w for _, t, _ in docs for w in t.split())
+    by_count = collections.Counter(counts.values())
+    rank = {w: sum(k for c, k in by_count.items() if c >= n) for w, n in counts.items()}  # equal counts share the last rank
+    for i, t, _ in docs:
+        ranks = sorted(rank[w] for w in t.split())
+        for share in reading_level.SHARES:
+            assert abs(rows[i][f"cover_{int(share * 100)}"] - math.log(ranks[math.ceil(share * len(ranks) - 1e-9) - 1])) < 1e-9
+
+
 # --- problem 3 ---------------------------------------------------------------------------------------------------
 
 def test_truncation(spark):
