@@ -7,7 +7,12 @@ rows times a block, and no key's rows are ever collected into one list.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexiloom.core.storage import materialize
 
@@ -21,24 +26,83 @@ def _cut(df: DataFrame, parts: Column, mine: str, other: str) -> DataFrame:
     return df.withColumn(mine, own).withColumn(other, F.explode(F.sequence(F.lit(0), parts - 1)))
 
 
-def keyed_pairs(rows: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
-    """All ordered pairs of rows with one key: columns ``key, <c>_a, <c>_b``, a row with itself too.
+#: Pairs that one batch of the pass over sorted rows holds.
+_PAIRS = 1 << 20
 
-    Rows are shuffled by key once; keys of a single row end there.  A key of more
-    than ``block`` rows is cut into blocks on both sides, so a task joins at most
-    about ``block`` rows of a key with as many.
-    """
-    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n > 1")
-    small, large = counted.where(F.col("_n") <= block).drop("_n"), counted.where(F.col("_n") > block)
-    parts = F.ceil(F.col("_n") / block).cast("int")
 
-    def side(df: DataFrame, x: str) -> DataFrame:
-        fixed = {key, "_p", "_q"}
-        return df.select(*(F.col(c).alias(c if c in fixed else f"{c}_{x}") for c in df.columns if c != "_n"))
+def _pairs_within(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs, the earlier first, inside runs of rows."""
+    first, last = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+    row = first + np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    later = last - row - 1
+    cuts = np.searchsorted(np.cumsum(later), np.arange(0, later.sum() + _PAIRS, _PAIRS))
+    for a, b in zip(cuts, [*cuts[1:], len(row)], strict=True):
+        n = later[a:b]
+        left = np.repeat(row[a:b], n)
+        if len(left):
+            yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
 
-    few = side(small, "a").join(side(small, "b"), key)
-    many = side(_cut(large, parts, "_p", "_q"), "a").join(side(_cut(large, parts, "_q", "_p"), "b"), [key, "_p", "_q"])
-    return few.unionByName(many.drop("_p", "_q"))
+
+def _paired(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of the rows of each key, from rows sorted by key (the first column).
+
+    Rows of keys with more than ``block`` rows come out alone, with their key.
+    """
+    carry, hot = None, None
+
+    def out(rows: pa.RecordBatch, left: np.ndarray, right: np.ndarray | None) -> pa.RecordBatch:
+        at = pa.array(left)
+        keys = pa.nulls(len(left), rows.column(0).type) if right is not None else rows.column(0).take(at)
+        a = [rows.column(k).take(at) for k in range(1, rows.num_columns)]
+        b = [rows.column(k).take(pa.array(right)) if right is not None else pa.nulls(len(left), rows.column(k).type) for k in range(1, rows.num_columns)]
+        return pa.RecordBatch.from_arrays([keys, *a, *b], ["_key", *(f"{c}_{x}" for x in "ab" for c in rows.schema.names[1:])])
+
+    for batch in itertools.chain(batches, [None]):
+        rows = carry if batch is None else batch if carry is None else pa.concat_batches([carry, batch])
+        if rows is None or not rows.num_rows:
+            continue
+        keys = rows.column(0).to_numpy()
+        starts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1]
+        sizes = np.diff(np.r_[starts, len(keys)])
+        large = (sizes > block) | (keys[starts] == hot if hot is not None else False)
+        small = ~large & (sizes > 1)
+        carry = hot = None
+        if batch is not None:  # the last key may go on in the next batch
+            if large[-1]:
+                hot = keys[-1]
+            else:
+                small[-1] = False
+                carry = rows.slice(starts[-1])
+        if large.any():
+            yield out(rows, np.flatnonzero(np.repeat(large, sizes)), None)
+        for left, right in _pairs_within(sizes[small], starts[small]):
+            yield out(rows, left, right)
+
+
+def keyed_pairs(rows: DataFrame, key: str, order: str, block: int = BLOCK) -> DataFrame:
+    """Pairs of rows with one key, each once: ``<c>_a, <c>_b`` of the other columns, ``order_a < order_b``.
+
+    Rows are shuffled and sorted by key once; a pass over the sorted rows pairs
+    those of each key (a window and a self-join would sort them four times).  A
+    key of more than ``block`` rows is left out of that pass and joined with
+    itself in blocks on both sides, so a task joins at most about ``block`` rows of
+    a key with as many.  Rows with a null key are in no pair.
+    """
+    names = [c for c in rows.columns if c != key]
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    schema = f"_key {kind(key)}, " + ", ".join(f"{c}_{x} {kind(c)}" for x in "ab" for c in names)
+    ordered = rows.where(F.col(key).isNotNull()).select(key, *names).repartition(F.col(key)).sortWithinPartitions(key, order)
+    met = materialize(ordered.mapInArrow(lambda it: _paired(it, block), schema), "pairs")
+    few = met.where("_key is null").where(F.col(f"{order}_a") < F.col(f"{order}_b")).drop("_key")
+    large = met.where("_key is not null").select("_key", *(F.col(f"{c}_a").alias(c) for c in names))
+    counted = large.join(large.groupBy("_key").agg(F.ceil(F.count("*") / block).cast("int").alias("_n")), "_key")
+
+    def side(x: str, mine: str, other: str) -> DataFrame:
+        cut = _cut(counted, F.col("_n"), mine, other)
+        return cut.select("_key", "_p", "_q", *(F.col(c).alias(f"{c}_{x}") for c in names))
+
+    many = side("a", "_p", "_q").join(side("b", "_q", "_p"), ["_key", "_p", "_q"]).where(F.col(f"{order}_a") < F.col(f"{order}_b"))
+    return few.unionByName(many.drop("_key", "_p", "_q"))
 
 
 def expand_links(links: DataFrame, left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexiloom.functions.grams import fingerprint, normalize, terms
+from lexiloom.core.storage import materialize
+from lexiloom.functions.grams import terms, text_fingerprint
 from lexiloom.functions.text import strip, text
 
 #: Weight of a gram in one text only, under smoothed idf over two texts.
@@ -62,7 +65,7 @@ def keyword_overlap(keywords: Column, abstract: Column) -> tuple[Column, Column]
 
 def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
     """``keys, fp``: the winnowed fingerprint of each text."""
-    return texts.select(*keys, normalize(F.col("text")).alias("n")).select(*keys, fingerprint(F.col("n")).alias("fp"))
+    return texts.select(*keys, text_fingerprint(F.col("text")).alias("fp"))
 
 
 def fingerprint_scores(pairs: DataFrame, sources: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -80,17 +83,59 @@ def fingerprint_scores(pairs: DataFrame, sources: DataFrame, candidates: DataFra
     )
 
 
-def inverted_jaccard(left: DataFrame, right: DataFrame, least: float = 0.01) -> DataFrame:
-    """All pairs of ``left(id_l, fp)`` and ``right(id_r, fp)`` with a Jaccard of ``least``.
-
-    An inverted join on the hashes: pairs that share none never appear.  A hash
-    that many texts hold is one skewed key, which adaptive execution splits.
+#: Hashes of one block of each side of a top-k search.
+BLOCK_LEFT, BLOCK_RIGHT = 2_000_000, 500_000
+_NEAR = "id_l long, id_r long, common long, united long"
+
+
+def _nearest_in_block(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The k nearest rows of a right block for each row of a left block, through an index of the right one."""
+    arrow = pa.schema([(f.split()[0], pa.int64()) for f in _NEAR.split(", ")])
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    if left.num_rows and right.num_rows:
+        sets = right.column("fp").combine_chunks()
+        sizes, ids = sets.value_lengths().to_numpy(zero_copy_only=False), right.column("id_r").to_numpy()
+        held, place = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        postings = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(place, kind="stable")]
+        ends = np.cumsum(np.bincount(place, minlength=len(held)))
+        for id_l, own in zip(left.column("id_l").to_pylist(), left.column("fp").combine_chunks(), strict=True):
+            fp = own.values.to_numpy(zero_copy_only=False)
+            at = np.searchsorted(held, fp)
+            at = at[held[np.minimum(at, len(held) - 1)] == fp]
+            first, n = np.where(at > 0, ends[at - 1], 0), ends[at] - np.where(at > 0, ends[at - 1], 0)
+            rows = postings[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            common = np.bincount(rows, minlength=len(sizes))
+            united = len(fp) + sizes - common
+            best = np.lexsort((ids, -(common / united)))[:k]
+            best = best[common[best] > 0]
+            for out, x in zip(found, (np.full(len(best), id_l), ids[best], common[best], united[best]), strict=True):
+                out.append(x)
+    return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0), pa.int64()) for x in found], schema=arrow)
+
+
+def topk_jaccard(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows of ``right(id_r, fp)`` nearest to each of ``left(id_l, fp)``, exactly; ids are numbers.
+
+    Every row of ``left`` is a query against all of ``right``, in blocks: both
+    sides are dealt into blocks of a bounded number of hashes, and a task scores a
+    block of queries against a block of rows through an index made in place.  Only
+    k rows a query and block leave it.  (An inverted join would ship a row for
+    each shared hash: hundreds of times as many.)  Rows that share nothing are not
+    nearest; ties go to the lesser id.
     """
-    ls = left.select("id_l", F.explode("fp").alias("h"), F.size("fp").alias("nl"))
-    rs = right.select("id_r", F.explode("fp").alias("h"), F.size("fp").alias("nr"))
-    met = ls.join(rs, "h").groupBy("id_l", "id_r", "nl", "nr").agg(F.count("*").alias("common"))
-    j = F.col("common") / (F.col("nl") + F.col("nr") - F.col("common"))
-    return met.select("id_l", "id_r", "common", (F.col("nl") + F.col("nr") - F.col("common")).alias("united"), j.alias("jaccard")).where(F.col("jaccard") >= least)
+    l, r = (materialize(df.where("size(fp) > 0").dropDuplicates([c]), "prints") for df, c in ((left, "id_l"), (right, "id_r")))
+    blocks = [max(1, math.ceil((df.agg(F.sum(F.size("fp"))).first()[0] or 0) / most)) for df, most in ((l, BLOCK_LEFT), (r, BLOCK_RIGHT))]
+
+    def dealt(df: DataFrame, key: str, own: int, other: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), F.lit(blocks[own])).cast("int")
+        rest = F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1)))
+        at = [mine, rest] if own == 0 else [rest, mine]
+        return df.select(F.col(key).cast("long").alias(key), "fp", at[0].alias("bl"), at[1].alias("br"))
+
+    units = dealt(l, "id_l", 0, 1).groupBy("bl", "br").cogroup(dealt(r, "id_r", 1, 0).groupBy("bl", "br"))
+    near = units.applyInArrow(lambda a, b: _nearest_in_block(a, b, k), _NEAR)
+    order = Window.partitionBy("id_l").orderBy(F.desc(F.col("common") / F.col("united")), "id_r")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def tenths(part: Column, whole: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexiloom.core.storage import materialize
 from lexiloom.functions.text import let, strip, text
 from lexiloom.operators.scoring import fingerprints, tenths
 
@@ -46,21 +47,24 @@ def sentence_windows(c: Column) -> Column:
 def best_segments(pairs: DataFrame, sources: DataFrame, candidates: DataFrame, top: int = TOP) -> DataFrame:
     """The best matching window of each paragraph, the ``top`` of each pair.
 
-    ``sources(src_id, text)``, ``candidates(cand_id, text)``.  An inverted join
-    on the hashes; the first window wins ties, then the first paragraph.
+    ``sources(src_id, text)``, ``candidates(cand_id, text)``.  The fingerprints are
+    computed once; the texts of the kept segments alone are fetched.  The first
+    window wins ties, then the first paragraph.
     Returns ``src_id, cand_id, paragraph_index, source_paragraph,
     candidate_snippet, overlap`` (tenths of a percent).
     """
     paras = sources.select("src_id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph_index", "text"))
     wins = candidates.select("cand_id", F.posexplode(sentence_windows(F.col("text"))).alias("window_index", "text"))
-    p = fingerprints(paras, "src_id", "paragraph_index")
-    w = fingerprints(wins, "cand_id", "window_index")
-    ph = p.select("src_id", "paragraph_index", F.size("fp").cast("long").alias("np"), F.explode("fp").alias("h"))
-    wh = w.select("cand_id", "window_index", F.size("fp").cast("long").alias("nw"), F.explode("fp").alias("h"))
+    p = materialize(fingerprints(paras, "src_id", "paragraph_index").withColumnRenamed("fp", "fs"), "paragraphs")
+    w = materialize(fingerprints(wins, "cand_id", "window_index").withColumnRenamed("fp", "fc"), "windows")
+    # the pairs are given, so the two sets meet in a row; nothing is exploded
     met = (
-        pairs.select("src_id", "cand_id").distinct().join(wh, "cand_id").join(ph, ["src_id", "h"])
-        .groupBy("src_id", "cand_id", "paragraph_index", "window_index", "np", "nw").agg(F.count("*").alias("common"))
-    )
+        pairs.select("src_id", "cand_id").distinct().join(w, "cand_id").join(p, "src_id")
+        .select(
+            "src_id", "cand_id", "paragraph_index", "window_index", F.size("fs").cast("long").alias("np"), F.size("fc").cast("long").alias("nw"),
+            F.size(F.array_intersect("fc", "fs")).cast("long").alias("common"),
+        ).where("common > 0")
+    )
     united = F.col("np") + F.col("nw") - F.col("common")
     best = Window.partitionBy("src_id", "cand_id", "paragraph_index").orderBy(F.desc("j"), "window_index")
     chosen = (

@@ -9,8 +9,6 @@ from __future__ import annotations
 from lexiloom.functions.grams import CHAR_GRAM, STOP_WORDS, WINDOW, WORD_GRAM
 from lexiloom.functions.text import UNIMPORTANT
 from lexiloom.operators.scoring import UNSHARED
-from lexiloom.plans.labels import LABELS, LANGUAGES
-from lexiloom.sources.catalog import SOURCES
 
 _WIDE = "".join(chr(0xFF01 + k) for k in range(94))
 _PLAIN = "".join(chr(0x21 + k) for k in range(94)).replace("'", "''")
@@ -91,6 +89,7 @@ _FIRST = f"firsts as (select * from (select *, row_number() over (partition by s
 _MATCHED = "list_filter(coalesce(keywords, []), lambda k: contains(lower(coalesce(c.abstract,'')), lower(k)))"
 _SHARE = f"(case when len(coalesce(keywords, [])) > 0 then (2000*len({_MATCHED}) + len(keywords)) // (2*len(keywords)) else 0 end)::BIGINT"
 _TIER = "case when score >= 600 then 'high' when score >= 350 then 'medium' else 'low' end"
+_MARK = "case risk_tier when 'high' then '🔴' when 'medium' then '🟡' else '🟢' end"
 _REPORT = (
     f"{_COSINE}, {_JACCARD}, {_FIRST},"
     f" base as (select c.src_id, c.cand_id, c.arrival_seq, c.title, c.abstract, floor(coalesce(cosine,0)*1000 + 0.5)::BIGINT as tf, {_SHARE} as kw, coalesce({_TENTHS}, 0) as fp"
@@ -112,7 +111,10 @@ _VENUE = (
     " when contains(lower(coalesce(url,'')), '10.1007') or contains(lower(coalesce(title,'')), 'springer') then 'Springer'"
     " when contains(lower(coalesce(url,'')), '10.1016') or contains(lower(coalesce(title,'')), 'elsevier') then 'Elsevier' else 'CrossRef' end"
 )
-_LABEL_ROWS = ", ".join(f"('{k}', '{lang}', '{t}')" for k, own in LABELS.items() for lang, t in zip(LANGUAGES, own, strict=True))
+_LABEL_ROWS = (
+    "('risk_high','zh','高風險'), ('risk_high','en','High Risk'), ('risk_high','ja','高リスク'), ('risk_medium','zh','中風險'), ('risk_medium','en','Medium Risk'), ('risk_medium','ja','中リスク'),"
+    " ('risk_low','zh','低風險'), ('risk_low','en','Low Risk'), ('risk_low','ja','低リスク')"
+)
 _SENT = (
     "sents as (select cand_id, t, list_filter(list_transform(string_split(regexp_replace(" + _strip("t") + ", '([。！？.!?])[\\s\\p{Z}]+', '\\1␞', 'g'), '␞'), lambda s: " + _strip("s")
     + "), lambda s: length(s) > 10) as ss from cand),"
@@ -228,7 +230,7 @@ SQL: dict[str, str] = {
     "fingerprint_hashes": f"with {_SRC}, {_prints('sp', 'src', 'src_id')} select src_id, unnest(fp) as h from sp",
     "fingerprint_jaccard": f"with {_SRC}, {_CAND}, {_PAIRS}, {_JACCARD} select src_id, cand_id, common, united, {_TENTHS} as tenths from jac",
     "topk_fingerprint": (
-        f"with s as (select doc_id as src_id, coalesce(abstract,'') as t from papers), {_CAND}, {_prints('sp', 's', 'src_id')}, {_prints('cp', 'cand', 'cand_id')},"
+        f"with {_SRC}, {_CAND}, {_prints('sp', 'src', 'src_id')}, {_prints('cp', 'cand', 'cand_id')},"
         " a as (select src_id, len(fp) as na, unnest(fp) as h from sp), b as (select cand_id, len(fp) as nb, unnest(fp) as h from cp),"
         " m as (select src_id, cand_id, count(*) as common, any_value(na) + any_value(nb) - count(*) as united from a join b using (h) group by 1, 2),"
         " r as (select *, row_number() over (partition by src_id order by common / united desc, cand_id) as rank from m)"
@@ -250,8 +252,16 @@ SQL: dict[str, str] = {
         f"with {_REPORT} select src_id, count(*) as total, count_if(risk_tier = 'high')::BIGINT as high, count_if(risk_tier = 'medium')::BIGINT as medium, count_if(risk_tier = 'low')::BIGINT as low from rep where score >= 100 group by 1"
     ),
     "detail_view": (
-        f"with {_REPORT} select src_id, cand_id, case risk_tier when 'high' then '🔴' when 'medium' then '🟡' else '🟢' end as mark, substr(coalesce(title,''), 1, 90) as short_title,"
-        " substr(coalesce(abstract,''), 1, 400) as short_abstract, score >= 600 as expanded from rep where score >= 100"
+        f"with {_REPORT} select r.src_id, r.cand_id, {_MARK} || ' [' || rank || '] ' || substr(coalesce(r.title,''), 1, 90) || ' — Similarity ' || (score // 10) || '.' || (score % 10) || '%' as heading, {_MARK} as mark,"
+        " substr(coalesce(r.title,''), 1, 90) as short_title, substr(coalesce(r.abstract,''), 1, 400) as short_abstract, coalesce(nullif(c.authors, ''), 'Unknown') as authors, coalesce(nullif(c.year, 0)::VARCHAR, 'Unknown') as year,"
+        " coalesce(c.url, '') as link, c.source, array_to_string(list_filter(coalesce(p.keywords, []), lambda k: contains(lower(coalesce(c.abstract,'')), lower(k))), '`, `') as keywords,"
+        " case risk_tier when 'high' then 'High Risk' when 'medium' then 'Medium Risk' else 'Low Risk' end as risk, (score // 10) || '.' || (score % 10) || '%' as combined_shown, (tf // 10) || '.' || (tf % 10) || '%' as tfidf_shown,"
+        " (fp // 10) || '.' || (fp % 10) || '%' as ngram_shown, (kw // 10) || '.' || (kw % 10) || '%' as keyword_shown, score >= 600 as expanded"
+        " from rep r join candidates c using (arrival_seq) join papers p on p.doc_id = r.src_id where score >= 100"
+    ),
+    "progress_text": (
+        "with p as (select src_id, c.source, count(*) as n, any_value(max_results) as most from candidates c join connectors using (source) group by 1, 2), q as (select *, floor(least(1.0, n / most) * 100)::BIGINT as pct from p)"
+        " select src_id, source, source || '：已取得 ' || n || ' 筆，整體進度 ' || pct || '%' as text_zh, source || ': ' || n || ' results · Overall ' || pct || '%' as text_en, source || '：' || n || ' 件取得 · 全体 ' || pct || '%' as text_ja from q"
     ),
     "dedup_titles": f"with {_FIRST} select src_id, cand_id, arrival_seq from firsts",
     "important_words": (
@@ -304,9 +314,11 @@ SQL: dict[str, str] = {
     "progress": (
         "select src_id, source, done, least(1.0, done / max_results)::DOUBLE as share from (select src_id, source, count(*) as done from candidates group by 1, 2) join connectors using (source)"
     ),
-    "source_registry": "select * from (values " + ", ".join(
-        f"({k}, '{s.id}', '{s.display_name}', {s.least}, {s.most}, {s.default}, {str(s.has_help).lower()}, {chr(39) + s.key_field + chr(39) if s.key_field else 'null'})" for k, s in enumerate(SOURCES)
-    ) + ") t(ordinal, id, display_name, least, most, default_limit, has_help, key_field)",
+    "source_registry": (
+        "select * from (values (0, 'semantic', 'Semantic Scholar', 5, 50, 20, false, 'semantic'), (1, 'arxiv', 'arXiv', 5, 20, 10, false, null), (2, 'crossref', 'CrossRef', 5, 20, 10, false, null),"
+        " (3, 'ndltd', 'NDLTD', 5, 20, 10, false, null), (4, 'gscholar', 'Google Scholar', 5, 20, 10, true, null), (5, 'springer', 'Springer', 5, 20, 10, true, 'springer'))"
+        " t(ordinal, id, display_name, least, most, default_limit, has_help, key_field)"
+    ),
     "i18n_labels": (
         f"with l(key, lang, template) as (values {_LABEL_ROWS}), a as (select distinct 'risk_' || coalesce(risk_tier, 'none') as key from scores),"
         " q as (select key, unnest(['zh','en','ja','xx']) as lang from a)"
@@ -326,6 +338,11 @@ SQL: dict[str, str] = {
         " coalesce(r.title, '') as \"Title\", coalesce(c.authors, '') as \"Authors\", c.year as \"Year\", c.source as \"Source\", coalesce(c.url, '') as \"URL\", substr(coalesce(r.abstract, ''), 1, 300) as \"Abstract\""
         " from rep r join candidates c using (arrival_seq) left join listed l on l.src_id = r.src_id and l.cand_id = r.cand_id where r.score >= 100"
     ),
+    "detail_segments": (
+        f"with recursive {_SEGMENTS}, " + _REPORT.split(_PAIRS + ", ", 1)[1] + " select t.src_id, t.cand_id, paragraph_index, 'Your paper (paragraph ' || (paragraph_index + 1) || ')' as place,"
+        " 'Fingerprint overlap ' || (overlap // 10) || '.' || (overlap % 10) || '%' as shown, case when overlap >= 150 then '#ffebee' when overlap >= 70 then '#fff8e1' else '#f1f8e9' end as colour, source_paragraph, candidate_snippet"
+        " from top5 t where exists (select 1 from rep r where r.src_id = t.src_id and r.cand_id = t.cand_id and r.score >= 100)"
+    ),
     "extract_title": f"with {_TITLES} select * from title_of",
     "content_start": f"with {_STARTS} select doc_id, pos as \"at\" from starts",
     "line_kinds": f"with l as (select doc_id, {_LINES} as ls from papers), e as (select doc_id, (generate_subscripts(ls, 1) - 1)::INTEGER as pos, unnest(ls) as x from l) select doc_id, pos, {_authors_line('x')} as is_authors, {_front('x')} as is_front from e",

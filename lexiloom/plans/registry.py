@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom.core.tables import load
 from lexiloom.functions import grams, text as T
@@ -88,12 +88,10 @@ def fingerprint_jaccard(spark: SparkSession, d: str) -> DataFrame:
 @query
 def topk_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest candidates of each paper, among all candidates."""
-    left = scoring.fingerprints(_papers(spark, d).select(F.col("doc_id").alias("id_l"), T.text("abstract").alias("text")), "id_l")
+    left = scoring.fingerprints(_sources(spark, d).withColumnRenamed("src_id", "id_l"), "id_l")
     right = scoring.fingerprints(_texts(spark, d).withColumnRenamed("cand_id", "id_r"), "id_r")
-    near = scoring.inverted_jaccard(left, right, 0.0)
-    order = Window.partitionBy("id_l").orderBy(F.desc("jaccard"), "id_r")
-    best = near.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
-    return best.select(F.col("id_l").alias("src_id"), F.col("id_r").alias("cand_id"), "common", F.col("united").cast("long").alias("united"), F.col("rank").cast("long").alias("rank"))
+    best = scoring.topk_jaccard(left, right, 10)
+    return best.select(F.col("id_l").alias("src_id"), F.col("id_r").alias("cand_id"), "common", "united", F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -346,6 +344,21 @@ def detail_view(spark: SparkSession, d: str) -> DataFrame:
     return report.detail(report.ranked_report(_candidates(spark, d), _papers(spark, d)))
 
 
+@query
+def detail_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The matched segments of the reported results as a detail view shows them."""
+    c, p = _candidates(spark, d), _papers(spark, d)
+    return report.detail_segments(report.matched_segments(report.ranked_report(c, p), p, c))
+
+
+@query
+def progress_text(spark: SparkSession, d: str) -> DataFrame:
+    """The progress of each paper's sources as shown, in three languages."""
+    rows = report.progress(_candidates(spark, d), load(spark, d, "connectors", "source", "max_results"))
+    shown = [labels.filled("progress_fmt", x, source=F.col("source"), count=F.col("done"), pct=F.floor(F.col("share") * 100)).alias(f"text_{x}") for x in labels.LANGUAGES]
+    return rows.select("src_id", "source", *shown)
+
+
 @query
 def i18n_labels(spark: SparkSession, d: str) -> DataFrame:
     asked = load(spark, d, "scores").select("risk_tier").distinct().select(F.concat(F.lit("risk_"), F.coalesce("risk_tier", F.lit("none"))).alias("key"))

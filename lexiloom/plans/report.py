@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexiloom.functions.text import text
 from lexiloom.operators.scoring import first_arrivals, ranked, risk_colour, score_pairs, tier_summary
-from lexiloom.operators.segments import best_segments
-from lexiloom.plans.labels import label
+from lexiloom.operators.segments import best_segments, segment_colour
+from lexiloom.plans.labels import filled, label
 
 
 def ranked_report(candidates: DataFrame, papers: DataFrame, threshold: float = 10.0) -> DataFrame:
@@ -54,12 +54,28 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def detail(report: DataFrame) -> DataFrame:
-    """What a detail view shows: cut texts, mark of the tier, expanded if high."""
+def detail(report: DataFrame, lang: str = "en") -> DataFrame:
+    """What a detail view shows of each result: heading, cut texts, names for what is unknown, scores, matched keywords."""
+    unknown, tier = F.lit(label("unknown", lang)), F.col("risk_tier")
+    score = lambda c: F.concat(F.floor(F.col(c) / 10), F.lit("."), F.col(c) % 10, F.lit("%"))
+    names = F.create_map(*[F.lit(x) for t in ("high", "medium", "low") for x in (t, label(f"risk_{t}", lang))])
+    title = F.substring(text("title"), 1, 90)
     return report.select(
-        "src_id", "cand_id", risk_colour(F.col("risk_tier")).alias("mark"), F.substring(text("title"), 1, 90).alias("short_title"),
-        F.substring(text("abstract"), 1, 400).alias("short_abstract"), (F.col("score") >= 600).alias("expanded"),
-    )
+        "src_id", "cand_id", filled("expander_result", lang, icon=risk_colour(tier), i=F.col("rank"), title=title, score=F.col("score") / 10).alias("heading"),
+        risk_colour(tier).alias("mark"), title.alias("short_title"), F.substring(text("abstract"), 1, 400).alias("short_abstract"),
+        F.coalesce(F.nullif("authors", F.lit("")), unknown).alias("authors"), F.coalesce(F.nullif("year", F.lit(0)).cast("string"), unknown).alias("year"), text("url").alias("link"), "source",
+        F.array_join("matched_keywords", "`, `").alias("keywords"), names[tier].alias("risk"), *(score(c).alias(f"{n}_shown") for c, n in (("score", "combined"), ("tf", "tfidf"), ("fp", "ngram"), ("kw", "keyword"))),
+        (F.col("score") >= 600).alias("expanded"),
+    )
+
+
+def detail_segments(segments: DataFrame, lang: str = "en") -> DataFrame:
+    """The matched segments as a detail view shows them: named paragraph, overlap, colour, both texts."""
+    percent = F.concat(F.floor(F.col("overlap") / 10), F.lit("."), F.col("overlap") % 10, F.lit("%"))
+    return segments.select(
+        "src_id", "cand_id", "paragraph_index", filled("para_source", lang, n=F.col("paragraph_index") + 1).alias("place"), F.concat(F.lit(label("para_overlap", lang) + " "), percent).alias("shown"),
+        segment_colour(F.col("overlap") / 10).alias("colour"), "source_paragraph", "candidate_snippet",
+    )
 
 
 def progress(candidates: DataFrame, limits: DataFrame) -> DataFrame:

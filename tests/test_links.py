@@ -21,10 +21,24 @@ def test_expand_links_equals_brute_force(spark):
 
 
 def test_keyed_pairs_equal_brute_force(spark):
-    rows = [(1, k) for k in range(45)] + [(2, 1), (2, 2), (3, 7), (None, 8), (None, 9)]
-    out = links.keyed_pairs(spark.createDataFrame(rows, "key long, v long"), "key", block=10)
-    want = sorted((k, a, b) for k in (1, 2) for a, b in itertools.product([v for c, v in rows if c == k], repeat=2))
-    assert sorted(tuple(r) for r in out.select("key", "v_a", "v_b").collect()) == want
+    rows = [(1, k, "x") for k in range(45)] + [(2, 1, "y"), (2, 2, "z"), (2, 2, "w"), (3, 7, "x"), (None, 8, "x"), (None, 9, "x")] + [(10 + k // 3, k, "q") for k in range(60)]
+    df = spark.createDataFrame(rows, "key long, v long, t string").repartition(5)
+    for block in (1, 10, 1000):
+        out = links.keyed_pairs(df, "key", "v", block=block)
+        want = sorted((a[1], b[1], a[2], b[2]) for a, b in itertools.product(rows, repeat=2) if a[0] is not None and a[0] == b[0] and a[1] < b[1])
+        assert sorted(tuple(r) for r in out.select("v_a", "v_b", "t_a", "t_b").collect()) == want
+    assert links.keyed_pairs(df.limit(0), "key", "v").count() == 0
+
+
+def test_keyed_pairs_over_batches(spark):
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        rows = [(k // 5, k) for k in range(100)] + [(1000, 1000 + k) for k in range(40)] + [(2000, 5000 + k) for k in range(19)]
+        out = links.keyed_pairs(spark.createDataFrame(rows, "key long, v long").coalesce(1), "key", "v", block=20)
+        assert sorted(tuple(r) for r in out.collect()) == sorted((a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
 
 
 def test_a_huge_class_spreads_over_tasks(spark):
@@ -39,8 +53,8 @@ def test_a_huge_class_spreads_over_tasks(spark):
         both = links.expand_links(self_link, members.withColumnRenamed("id", "l"), members.withColumnRenamed("id", "r"), block)
         loads = per_task(both)
         assert sum(loads) == n * n and max(loads) < 0.3 * n * n and len(loads) >= 12
-        loads = per_task(links.keyed_pairs(members, "class", block))
-        assert sum(loads) == n * n and max(loads) < 0.3 * n * n and len(loads) >= 12
+        loads = per_task(links.keyed_pairs(members, "class", "id", block))
+        assert sum(loads) == n * (n - 1) // 2 and max(loads) < 0.3 * sum(loads) and len(loads) >= 12
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)

@@ -87,15 +87,20 @@ def test_scores_ranking_and_tiers(spark):
     assert scoring.score_pairs(cands.limit(0), papers).count() == 0
 
 
-def test_inverted_join_equals_the_pair_list(spark):
+def test_nearest_prints_equal_brute_force(spark, monkeypatch):
     a = scoring.fingerprints(spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id_l long, text string"), "id_l")
     b = scoring.fingerprints(spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id_r long, text string"), "id_r")
-    got = {(r[0], r[1]): r["jaccard"] for r in scoring.inverted_jaccard(a, b).collect()}
-    for i, x in enumerate(TEXTS):
-        for j, y in enumerate(TEXTS):
-            p, q = py_print(x), py_print(y)
-            want = len(p & q) / len(p | q) if p and q else 0
-            assert abs(got.get((i, j), 0) - (want if want >= 0.01 else 0)) < 1e-12
+    prints = [py_print(t) for t in TEXTS]
+    for most, k in ((10**6, 100), (20, 3)):
+        monkeypatch.setattr(scoring, "BLOCK_LEFT", most)
+        monkeypatch.setattr(scoring, "BLOCK_RIGHT", most)
+        want = []
+        for i, p in enumerate(prints):
+            near = sorted((-len(p & q) / len(p | q), j) for j, q in enumerate(prints) if p & q)[:k]
+            want += [(i, j, len(p & prints[j]), len(p | prints[j]), n + 1) for n, (_, j) in enumerate(near)]
+        got = scoring.topk_jaccard(a, b, k).select("id_l", "id_r", "common", "united", "rank").collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
+    assert scoring.topk_jaccard(a.limit(0), b, 3).count() == 0 and scoring.topk_jaccard(a, b.limit(0), 3).count() == 0
 
 
 def test_paragraphs_and_windows(spark):
