@@ -2,15 +2,19 @@
 
 Method.  One pass over all texts counts the corpus vocabulary and, for the last
 one, two and three words before every gap, how often a sentence ended there and
-how often it went on.  The vocabulary becomes a trie as a relation: every
-proper prefix of every word.  The end of a text, without the marks that may
-follow a cut (tags, ellipses, brackets, padding), is then judged:
-
-* an ellipsis after an open sentence, or a trailing hyphen: cut;
-* a final token that is unknown and a proper prefix of known words: cut;
-* else the share of sentences that ended after the same last words decides;
-* where those words tell nothing, length evidence does: many open texts of the
-  source have exactly this length, far more than of the lengths around it.
+how often it went on.  The vocabulary becomes a trie as a relation: the proper
+prefixes of its words.  The end of a text is cleaned of the marks that may
+follow a cut (tags, ellipses, brackets, padding) and then judged by the first
+evidence there is, named in ``evidence``:
+
+* ``prefix``: the final token is unknown and a proper prefix of known words;
+* ``length``: many open texts of the source have exactly this length, far more
+  than of the lengths around it, and the token is unknown or its words seldom
+  end a sentence;
+* ``marks``: an ellipsis followed an open sentence, a hyphen a word, or a bracket
+  near the end never closed;
+* ``context``: fewer than half of the sentences with the same last words ended
+  there; where no context is known, a known word that is a prefix of others.
 
 Texts that end in sentence punctuation, a link, a keyword list or a heading are
 complete; a citation or bracket at the end is set aside and the words before it
@@ -46,6 +50,8 @@ _HEADING = re.compile(
     r"\n\s*(?:\[\d+\][^\n]*|\d*\.?\s*(?:references|bibliography|acknowledge?ments?|appendix|funding|notes|supplement\w*)\b[^\n]{0,80})$", re.I
 )
 FLUSH = 300_000
+#: Final tokens that may be broadcast to the prefixes; more of them are joined by shuffle.
+MOST_FINALS = 200_000
 
 
 def _classed(text: str) -> tuple[list[str], list[str], list[int]]:
@@ -108,8 +114,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends.update([one[i] for i in ended])
             ends.update([two[i - 1] for i in ended if i > 0])
             ends.update([three[i - 2] for i in ended if i > 1])
-        if len(vocabulary) + len(every) > FLUSH:
-            yield flush()
+            if len(vocabulary) + len(every) > FLUSH:
+                yield flush()
     yield flush()
 
 
@@ -128,21 +134,18 @@ def tail(text: str) -> dict:
     facts = {"open": False, "sure": False, "token": None, "k3": None, "k2": None, "k1": None}
     if not rest:
         return facts
-    if dots:
-        facts["open"] = facts["sure"] = not _STOP.search(rest)
-        return facts
-    if _STOP.search(rest) or _LINK.search(rest) or _KEYWORDS.search(rest) or _HEADING.search(rest):
+    if _STOP.search(rest) or not dots and (_LINK.search(rest) or _KEYWORDS.search(rest) or _HEADING.search(rest)):
         return facts
-    bare = _CITED.sub("", rest)
+    bare = rest if dots else _CITED.sub("", rest)
     if _STOP.search(bare):
         return facts
     hyphen = bool(re.search(r"\w[-‐]$", bare))
     words, classes, _ = _classed(canonical_text(bare))
     if not words:
-        return facts
+        return facts | {"open": dots, "sure": dots}
     keys = _contexts(classes[-3:])
     last = words[-1]
-    facts.update(open=True, sure=hyphen, token=None if last[0].isdigit() else last, k3=keys[0], k2=keys[1], k1=keys[2])
+    facts.update(open=True, sure=dots or hyphen, token=None if last[0].isdigit() else last, k3=keys[0], k2=keys[1], k1=keys[2])
     # an opened bracket or quotation never closed near the end shows a cut
     window = bare[-160:]
     if window.rfind("(") > window.rfind(")") or window.rfind("[") > window.rfind("]"):
@@ -167,7 +170,7 @@ def _ended_share(n: int) -> Column:
 def judged(records: DataFrame) -> DataFrame:
     """Verdicts on ``records(tbl, rec_key, origin, text)``.
 
-    Returns ``(tbl, rec_key, origin, is_cut)``, one row for each key.  The
+    Returns ``(tbl, rec_key, origin, is_cut, evidence)``, one row for each key.  The
     evidence of the open texts alone is joined; complete texts are told by
     their last characters and never leave the scan.
     """
@@ -185,12 +188,11 @@ def judged(records: DataFrame) -> DataFrame:
         "tails",
     )
     words = stats.where("kind = 'w'").select(F.col("key").alias("token"), F.col("ended").alias("seen"))
-    trie = (
-        words.where("length(token) > 1")
-        .select(F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substr(token, 1, i))")).alias("token"))
-        .groupBy("token").agg(F.count("*").alias("below"))
-    )
     finals = tails.where("token is not null").select("token").distinct()
+    prefixes = words.where("length(token) > 1").select(F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substr(token, 1, i))")).alias("token"))
+    if finals.count() <= MOST_FINALS:
+        prefixes = prefixes.join(F.broadcast(finals), "token", "left_semi")
+    trie = prefixes.groupBy("token").agg(F.count("*").alias("below"))
     known = (
         finals.join(words, "token", "left")
         .join(trie, "token", "left")
@@ -212,16 +214,16 @@ def judged(records: DataFrame) -> DataFrame:
     )
     unknown = F.col("token").isNotNull() & (F.coalesce("seen", F.lit(0)) == 0)
     share = F.coalesce(_ended_share(3), _ended_share(2), _ended_share(1))
-    is_cut = (
-        F.when(F.col("sure"), True)
-        .when(unknown & (F.coalesce("below", F.lit(0)) > 0), True)
-        .when(F.coalesce("spike", F.lit(False)) & (unknown | F.coalesce(share < 0.9, F.lit(True))), True)
-        .when(share.isNotNull(), share < 0.5)
-        .otherwise(F.coalesce("below", F.lit(0)) > 0)
+    below = F.coalesce("below", F.lit(0)) > 0
+    evidence = (
+        F.when(unknown & below, "prefix")
+        .when(F.coalesce("spike", F.lit(False)) & (unknown | F.coalesce(share < 0.9, F.lit(True))), "length")
+        .when(F.col("sure"), "marks")
+        .when(F.coalesce(share < 0.5, below), "context")
     )
-    verdicts = out.select("tbl", "rec_key", is_cut.alias("is_cut")).where("is_cut").distinct()
+    verdicts = out.select("tbl", "rec_key", evidence.alias("evidence")).where("evidence is not null").groupBy("tbl", "rec_key").agg(F.max("evidence").alias("evidence"))
     everyone = texts.groupBy("tbl", "rec_key").agg(F.min("origin").alias("origin"))
-    return everyone.join(verdicts, ["tbl", "rec_key"], "left").select("tbl", "rec_key", "origin", F.coalesce("is_cut", F.lit(False)).alias("is_cut"))
+    return everyone.join(verdicts, ["tbl", "rec_key"], "left").select("tbl", "rec_key", "origin", F.col("evidence").isNotNull().alias("is_cut"), "evidence")
 
 
 def cut_rates(verdicts: DataFrame) -> DataFrame:
