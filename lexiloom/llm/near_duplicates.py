@@ -160,8 +160,7 @@ def class_links(sets: DataFrame, threshold: float, sigmas: float = 4.5) -> DataF
     distinct = sets.where("class is not null").select("class", "words").distinct()
     rows = distinct.mapInArrow(_banded, "key long, class long")
     candidates = (
-        keyed_pairs(rows, "key")
-        .where("class_a < class_b")
+        keyed_pairs(rows, "key", "class")
         .select("class_a", "class_b")
         .distinct()
     )
