@@ -231,7 +231,7 @@ def text_links(texts: DataFrame, span: int) -> DataFrame:
         lambda it: _windows(it, span), "h long, class long, main boolean, place int"
     )
     candidates = (
-        keyed_pairs(rows, "h").where("class_a < class_b and (main_a or main_b)")
+        keyed_pairs(rows, "h", "class").where("main_a or main_b")
         .groupBy("class_a", "class_b").agg(F.collect_set(F.struct("place_a", "place_b")).alias("places"))
     )
     both = _with_texts(candidates, distinct).select("class_a", "class_b", "text_a", "text_b", "places")
