@@ -164,7 +164,7 @@ def _probability(weights: np.ndarray) -> Column:
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, lang, n_words, coverage_rank, words_per_sentence, p_intermediate, p_advanced, level)``."""
-    rows = materialize(standardized(features(documents)), "levels")
+    rows = materialize(standardized(materialize(features(documents), "features")), "levels")
     labelled = rows.where(F.col("n_words") >= MIN_WORDS).join(_judged(labels), "doc_id")
     most = MAX_LABELS / max(1, labels.count())
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, most) * (1 << 20))).select("level", *FEATURES).toPandas()
@@ -175,9 +175,11 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
         middle = high = np.zeros(1 + len(FEATURES))
     scored = rows.withColumn("p_intermediate", _probability(middle)).withColumn("p_advanced", _probability(high))
     level = F.when(F.col("p_advanced") >= 0.5, "advanced").when(F.col("p_intermediate") >= 0.5, "intermediate").otherwise("basic")
-    known = scored.select("doc_id", F.col("own").alias("lang"), "coverage_rank", "words_per_sentence", "p_intermediate", "p_advanced", level.alias("level"))
-    everyone = documents.groupBy("doc_id").agg(F.max(n_words(F.col("text"))).alias("n_words"))
-    return everyone.join(known, "doc_id", "left").select("doc_id", "lang", "n_words", "coverage_rank", "words_per_sentence", "p_intermediate", "p_advanced", "level")
+    known = scored.select("doc_id", F.col("own").alias("lang"), F.col("n_words").alias("found"), "coverage_rank", "words_per_sentence", "p_intermediate", "p_advanced", level.alias("level"))
+    # texts with a letter have their count from the features
+    counted = F.when(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)), 0).otherwise(n_words(F.col("text")))
+    everyone = documents.groupBy("doc_id").agg(F.max(counted).alias("others"))
+    return everyone.join(known, "doc_id", "left").select("doc_id", "lang", F.coalesce("found", "others").alias("n_words"), "coverage_rank", "words_per_sentence", "p_intermediate", "p_advanced", "level")
 
 
 def advanced_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
