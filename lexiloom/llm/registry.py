@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom.core.tables import load
-from lexiloom.llm import canonical, entity_match, near_duplicates, packing, reading_level, shared_spans, token_ids, truncation
+from lexiloom.llm import canonical, entity_match, near_duplicates, oracle, packing, reading_level, shared_spans, token_ids, truncation
 
 _TEXTS = ("title", "abstract")
 
@@ -110,8 +110,15 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.reading_levels(*_level_tables(spark, sf_dir))
 
 
+def p8_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the levels are estimated from: language, coverage ranks and sentence complexity of every document with words."""
+    rows = reading_level.features(_level_tables(spark, sf_dir)[0])
+    ranks = [F.round(F.exp(c)).cast("long").alias(c) for c in ("cover_50", "cover_70", "cover_80", "cover_90")]
+    return rows.select("doc_id", "own", *ranks, F.round(F.exp("sentence_mean"), 6).alias("sentence_mean"), F.round(F.exp("sentence_max")).cast("int").alias("sentence_max"), F.round("word_length", 6).alias("word_length"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_matches, p3_found, p3_rates, p4_found, p4_canonical, p5_found, p5_shared, p6_ids, p7_packed, p7_fill, p8_found, p8_levels)
+    for f in (p1_found, p1_groups, p2_found, p2_matches, p3_found, p3_rates, p4_found, p4_canonical, p5_found, p5_shared, p6_ids, p7_packed, p7_fill, p8_found, p8_levels, p8_features)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.SQL
