@@ -2,7 +2,7 @@
 
 Method.  One pass over all texts counts the corpus vocabulary and, for the last
 one, two and three words before every gap, how often a sentence ended there and
-how often it went on.  The vocabulary becomes a trie as a relation: the proper
+how often it went on (of contexts only those that an open text asks for).  The vocabulary becomes a trie as a relation: the proper
 prefixes of its words.  The end of a text is cleaned of the marks that may
 follow a cut (tags, ellipses, brackets, padding) and then judged by the first
 evidence there is, named in ``evidence``:
@@ -38,7 +38,11 @@ from lexiloom.llm.canonical import canonical_text
 
 _TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|\p{Han}|[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*")
 _ASCII_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[A-Za-z]+(?:['-][A-Za-z]+)*")
-_END_GAP = re.compile(r"[.!?。！？][\"'”’)\]]*(?:\s|$)|[。！？]|\n\s*\n")
+# The end of a sentence: a full stop, but not one inside a number, before a space or the next token; or a blank line.
+# Every way begins with a character of its own, which lets the search skip all others.
+_QUOTED = r"[\"'”’)\]]*(?=\s|{t}|$)"
+_STOPS = rf"\.(?!(?<=\d\.)\d){_QUOTED}|!{_QUOTED}|\?{_QUOTED}|。|！|？|\n\s*\n"
+_END, _ASCII_END = regex.compile(_STOPS.format(t=r"[\d\p{L}\p{M}]")), re.compile(_STOPS.format(t="[0-9A-Za-z]"))
 _STOP = re.compile(r"[.!?。！？][\"'”’)\]»]*$")
 _DOTS = re.compile(r"(?:…|\.\.\.+|\[\s*(?:…|\.\.\.)\s*\]|&hellip;?|&(?:h(?:e(?:l(?:l(?:i(?:p)?)?)?)?)?)?)\s*$")
 _TAG = re.compile(r"(?:</?[A-Za-z][\w:.-]*\s*/?>|</?[\w:.-]*|&(?:nbsp|#\d*|amp|lt|gt|quot)?;?)\s*$")
@@ -50,34 +54,49 @@ _HEADING = re.compile(
     r"\n\s*(?:\[\d+\][^\n]*|\d*\.?\s*(?:references|bibliography|acknowledge?ments?|appendix|funding|notes|supplement\w*)\b[^\n]{0,80})$", re.I
 )
 FLUSH = 300_000
-#: Final tokens that may be broadcast to the prefixes; more of them are joined by shuffle.
+#: Final tokens that may be broadcast to the prefixes, and contexts that may be sent to the counting pass.
 MOST_FINALS = 200_000
 
 
+class _Remembered(dict):
+    """Values of a function of tokens, remembered up to a bound."""
+
+    def __init__(self, function) -> None:
+        self._function = function
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= FLUSH:
+            self.clear()
+        value = self[token] = self._function(token)
+        return value
+
+
+def _class_of(token: str) -> str:
+    return "#" if token[0].isdigit() else "@" if token[0].isupper() else token.lower()
+
+
+_LOWER, _CLASS = _Remembered(str.lower), _Remembered(_class_of)
+
+
 def _classed(text: str) -> tuple[list[str], list[str], list[int]]:
     """Tokens of a canonical text in lower case, their classes, and the
     positions of the tokens, other than the last, after which a sentence ends."""
+    token, end = (_ASCII_TOKEN, _ASCII_END) if text.isascii() else (_TOKEN, _END)
     shouting = text.isupper()
     words, classes, ended = [], [], []
-    fresh, last = True, 0
-    for m in (_ASCII_TOKEN if text.isascii() else _TOKEN).finditer(text):
-        start, end = m.span()
-        if last:
-            # one plain space, the usual gap, ends nothing
-            fresh = not (start - last == 1 and text[last] == " ") and _END_GAP.search(text, last, start) is not None
-            if fresh:
-                ended.append(len(words) - 1)
-        w = m[0]
-        low = w.lower()
-        first = w[0]
-        if first.isdigit():
-            classes.append("#")
-        elif first.isupper() and not fresh and not shouting:
-            classes.append("@")
+    for sentence in end.split(text):
+        own = token.findall(sentence)
+        if not own:
+            continue
+        if words:
+            ended.append(len(words) - 1)
+        low = [_LOWER[w] for w in own]
+        words += low
+        if shouting:
+            classes += ["#" if w[0].isdigit() else w for w in low]
         else:
-            classes.append(low)
-        words.append(low)
-        last = end
+            classes.append("#" if low[0][0].isdigit() else low[0])
+            classes += [_CLASS[w] for w in own[1:]]
     return words, classes, ended
 
 
@@ -86,15 +105,16 @@ def _contexts(classes: list[str]) -> list[str]:
     return [" ".join(classes[-k:]) for k in (3, 2, 1)]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], wanted: tuple[set, set, set] | None) -> Iterator[pa.RecordBatch]:
+    """Counts of words, and of the contexts in ``wanted`` (keys as tuples of classes; None: all)."""
     vocabulary: Counter[str] = Counter()
-    every: Counter[str] = Counter()
-    ends: Counter[str] = Counter()
+    every: Counter[tuple] = Counter()
+    ends: Counter[tuple] = Counter()
 
     def flush() -> pa.RecordBatch:
         n = len(vocabulary)
         out = pa.RecordBatch.from_pydict({
-            "kind": pa.array(["w"] * n + ["c"] * len(every)), "key": pa.array([*vocabulary, *every], pa.string()),
+            "kind": pa.array(["w"] * n + ["c"] * len(every)), "key": pa.array([*vocabulary, *map(" ".join, every)], pa.string()),
             "ended": pa.array([*vocabulary.values(), *(ends[k] for k in every)], pa.int64()),
             "went_on": pa.array([0] * n + [v - ends[k] for k, v in every.items()], pa.int64()),
         })
@@ -105,15 +125,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t in batch.column("text").to_pylist():
             words, one, ended = _classed(canonical_text(t))
-            two = [f"{a} {b}" for a, b in zip(one, one[1:])]  # noqa: B905
-            three = [f"{a} {b}" for a, b in zip(two, one[2:])]  # noqa: B905
             # the last token is judged, so it does not count
             vocabulary.update([w for w, c in zip(words[:-1], one, strict=False) if c != "#"])
-            for keys in (one, two, three):
-                every.update(keys[:-1])
-            ends.update([one[i] for i in ended])
-            ends.update([two[i - 1] for i in ended if i > 0])
-            ends.update([three[i - 2] for i in ended if i > 1])
+            before = one[:-1]
+            for n in (1, 2, 3):
+                # contexts that end at each token, from the n-th on
+                found = zip(*(before[k:] for k in range(n)))  # noqa: B905
+                if wanted is None:
+                    every.update(found)
+                    ends.update([tuple(one[i + 1 - n : i + 1]) for i in ended if i + 1 >= n])
+                else:
+                    own = wanted[n - 1]
+                    every.update([k for k in found if k in own])
+                    ends.update([k for i in ended if i + 1 >= n and (k := tuple(one[i + 1 - n : i + 1])) in own])
             if len(vocabulary) + len(every) > FLUSH:
                 yield flush()
     yield flush()
@@ -175,11 +199,6 @@ def judged(records: DataFrame) -> DataFrame:
     their last characters and never leave the scan.
     """
     texts = records.where("text is not null and trim(text) <> ''")
-    stats = materialize(
-        texts.select("text").mapInArrow(_counted, "kind string, key string, ended long, went_on long")
-        .groupBy("kind", "key").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on")),
-        "stats",
-    )
     suspects = texts.where(~F.col("text").rlike(r"[^.…][.。!?]\s*$")).withColumn("n_chars", F.length("text"))
     tails = materialize(
         suspects.select("tbl", "rec_key", "origin", "n_chars", "text").mapInArrow(
@@ -187,6 +206,17 @@ def judged(records: DataFrame) -> DataFrame:
         ).where("open").distinct(),
         "tails",
     )
+    # the contexts that any open text asks for; where they are too many to be sent out, all are counted
+    asked = tails.select(F.explode(F.array_distinct(F.array_compact(F.array("k1", "k2", "k3")))).alias("k")).distinct().limit(MOST_FINALS + 1).toPandas()["k"]
+    wanted = None
+    if len(asked) <= MOST_FINALS:
+        keys = [tuple(k.split(" ")) for k in asked]
+        wanted = tuple({k for k in keys if len(k) == n} for n in (1, 2, 3))
+    stats = materialize(
+        texts.select("text").mapInArrow(lambda it: _counted(it, wanted), "kind string, key string, ended long, went_on long")
+        .groupBy("kind", "key").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on")),
+        "stats",
+    )
     words = stats.where("kind = 'w'").select(F.col("key").alias("token"), F.col("ended").alias("seen"))
     finals = tails.where("token is not null").select("token").distinct()
     prefixes = words.where("length(token) > 1").select(F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substr(token, 1, i))")).alias("token"))
