@@ -97,16 +97,13 @@ def features(documents: DataFrame) -> DataFrame:
     spread = vocabulary.groupBy("own", "total").agg(F.count("*").alias("words"))
     ranked = spread.withColumn("rank", F.sum("words").over(Window.partitionBy("own").orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, 0)))
     ranks = vocabulary.join(ranked.select("own", "total", "rank"), ["own", "total"]).select("own", "word", "total", F.log("rank").alias("rank"))
-    joined = by_word(placed, ranks, ["own", "word"], "total").groupBy("doc_id", "own").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("rs"), F.sum("n").alias("n_tokens"),
-        (F.sum(F.col("rank") * F.col("n")) / F.sum("n")).alias("mean_rank"),
+    # the running count over a document's ranks notes where each share is reached
+    document = Window.partitionBy("doc_id", "own")
+    running = by_word(placed, ranks, ["own", "word"], "total").select(
+        "doc_id", "own", "rank", "n", F.sum("n").over(document.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.sum("n").over(document).alias("all"),
     )
-    # one walk over the ranks notes where each share is reached
-    names = [f"cover_{int(p * 100)}" for p in SHARES]
-    start = ", ".join(f"cast(null as double) as {c}" for c in names)
-    step = ", ".join(f"coalesce(a.{c}, if(a.c + x.n >= n_tokens * {p}D, x.rank, null)) as {c}" for c, p in zip(names, SHARES, strict=True))
-    walked = F.expr(f"aggregate(rs, struct(cast(0 as bigint) as c, {start}), (a, x) -> struct(a.c + x.n as c, {step}))")
-    covered = joined.withColumn("w", walked).select("doc_id", "own", "mean_rank", *(F.col(f"w.{c}").alias(c) for c in names))
+    cover = [F.min(F.when(F.col("run") >= F.col("all") * p, F.col("rank"))).alias(f"cover_{int(p * 100)}") for p in SHARES]
+    covered = running.groupBy("doc_id", "own").agg(*cover, (F.sum(F.col("rank") * F.col("n")) / F.sum("n")).alias("mean_rank"))
     lengths = documents.where("text is not null").select(
         "doc_id", _sentence_lengths(F.col("text")).alias("sl"), F.transform(_words(F.col("text")), F.length).alias("wl"),
         n_words(F.col("text")).alias("n_words"),
