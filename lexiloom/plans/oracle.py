@@ -248,6 +248,7 @@ SQL: dict[str, str] = {
     "ranked_report": (
         f"with {_REPORT} select src_id, cand_id, arrival_seq, tf as tfidf_tenths, kw as keyword_tenths, fp as fingerprint_tenths, score as combined_tenths, risk_tier, rank from rep where score >= 100"
     ),
+    "streamed_scores": f"with {_REPORT} select src_id, cand_id, arrival_seq, score as combined_tenths from rep",
     "risk_tier_summary": (
         f"with {_REPORT} select src_id, count(*) as total, count_if(risk_tier = 'high')::BIGINT as high, count_if(risk_tier = 'medium')::BIGINT as medium, count_if(risk_tier = 'low')::BIGINT as low from rep where score >= 100 group by 1"
     ),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexiloom.core import storage
 from lexiloom.core.tables import load
 from lexiloom.functions import grams, text as T
 from lexiloom.operators import documents, layout, scoring, segments
 from lexiloom.plans import labels, oracle, report
 from lexiloom.sources import catalog, payloads
+from lexiloom.streaming import arrivals
 
 QUERIES: dict = {}
 
@@ -47,6 +51,16 @@ def ranked_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("src_id", "cand_id", "arrival_seq", F.col("tf").alias("tfidf_tenths"), F.col("kw").alias("keyword_tenths"), F.col("fp").alias("fingerprint_tenths"), F.col("score").alias("combined_tenths"), "risk_tier", F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def streamed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates arriving as a stream of files, scored batch by batch; the first arrival of each title."""
+    folder = f"{storage.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # a file or a folder of files: the pattern names either
+    stream = arrivals.candidate_stream(spark, f"{d}/candidates.parque[t]", _candidates(spark, d).schema)
+    arrivals.score_stream(stream, _papers(spark, d), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return arrivals.latest(spark, f"{folder}/out").select("src_id", "cand_id", "arrival_seq", F.col("score").alias("combined_tenths"))
+
+
 @query
 def risk_tier_summary(spark: SparkSession, d: str) -> DataFrame:
     return report.summary(report.ranked_report(_candidates(spark, d), _papers(spark, d)))
@@ -319,7 +333,8 @@ def source_limit(spark: SparkSession, d: str) -> DataFrame:
     """The first rows of each source for each paper, up to the source's limit."""
     limits = load(spark, d, "connectors", "source", "max_results")
     rows = _candidates(spark, d).join(F.broadcast(limits), "source")
-    return payloads.limited(rows, ["src_id", "source"], "arrival_seq", F.col("max_results")).select("src_id", "source", "cand_id", "arrival_seq")
+    most = limits.agg(F.max("max_results")).first()[0]
+    return payloads.limited(rows, ["src_id", "source"], "arrival_seq", F.col("max_results"), most).select("src_id", "source", "cand_id", "arrival_seq")
 
 
 @query
