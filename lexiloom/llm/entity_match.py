@@ -39,6 +39,7 @@ hashes (which tokens are looked up, and in how many parts) and the weights.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -67,6 +68,7 @@ _HELD = np.dtype([("h", "<u4"), ("tf", "u1")])
 _ASKED = np.dtype([("h", "<u4"), ("w", "<f4"), ("looked", "u1")])
 _TAG = re.compile(r"<[^<>]{0,60}>|&[a-z]+;|&#\d+;")
 _WORD = re.compile(r"[一-鿿]+|[^\W_一-鿿]+")
+_OTHERS, _BETWEEN, _INITIAL = re.compile(r"\band others\b|\bet al\b\.?"), re.compile(r"[;&]|\band\b"), re.compile(r",\s*\w\.?\s*$")
 _PART = re.compile(r"(?:^|\s)(\d{1,3}|i{1,3}|iv|v)$")
 _DOI = re.compile(r"10\.\d{3,9}[/_][^\s?#]+")
 FEATURES = ("score", "title", "back", "authors", "unknown", "gap_rec", "gap_cand")
@@ -76,24 +78,27 @@ START, PRIOR = (-9.5, 3.5, 3.5, 4.5, 2.0, -1.0, 4.5, 1.0), 10.0
 IDENTIFIER = 4.0
 
 
+def _plain(text: str) -> str:
+    """Canonical form in lower case, without accents or mark-up."""
+    text = canonical_text(_TAG.sub(" ", text) if "<" in text or "&" in text else text).lower()
+    if text.isascii():
+        return text
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
 @functools.lru_cache(maxsize=CACHED)
 def words(title: str | None) -> list[str]:
     """Words of a title in canonical form, without accents or mark-up."""
-    if not title:
-        return []
-    text = unicodedata.normalize("NFKD", canonical_text(_TAG.sub(" ", title)).lower())
-    return _WORD.findall("".join(c for c in text if not unicodedata.combining(c)))
+    return _WORD.findall(_plain(title)) if title else []
 
 
 @functools.lru_cache(maxsize=CACHED)
 def names(authors: str | None) -> list[set[str]]:
     """Name words of each listed author, without initials."""
-    if not authors:
-        return []
     out = []
-    for one in re.split(r"[;&]|\band\b", re.sub(r"\band others\b|\bet al\b\.?", " ", canonical_text(authors), flags=re.I)):
-        for name in one.split(",") if one.count(",") > 1 or not re.search(r",\s*\w\.?\s*$", one) else [one]:
-            own = {w for w in words(name) if len(w) > 1}
+    for one in _BETWEEN.split(_OTHERS.sub(" ", _plain(authors))) if authors else ():
+        for name in one.split(",") if one.count(",") > 1 or not _INITIAL.search(one) else [one]:
+            own = {w for w in _WORD.findall(name) if len(w) > 1}
             if own:
                 out.append(own)
     return out
@@ -175,9 +180,9 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(cols | {"h": pa.array(np.ascontiguousarray(entries["h"])), "tf": pa.array(entries["tf"].astype(np.int32))})
 
 
-def _mask(bits: np.ndarray) -> tuple[int, int, int]:
+def _mask(bits: list[int]) -> tuple[int, int, int]:
     """Two signed halves of the 128-bit mask of some bits, and how many bits coincide."""
-    own = set(bits.tolist())
+    own = set(bits)
     m = sum(1 << b for b in own)
     return *(x - 2**64 if x >= 2**63 else x for x in (m & (2**64 - 1), m >> 64)), len(bits) - len(own)
 
@@ -189,39 +194,39 @@ _QUERY = (
 )
 
 
-def _queries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _queries(batches: Iterator[pa.RecordBatch], n: int, part_load: int) -> Iterator[pa.RecordBatch]:
     """Each record as a query: weights, the tokens to look up, and bounds on what a title can share."""
     for batch in batches:
         out: dict[str, list] = {c.split()[0]: [] for c in _QUERY.split(", ")}
         for rec_id, year, part, ts in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "year", "part", "ts")), strict=True):
-            h = np.array([t["h"] for t in ts], dtype=np.int64)
-            df, held = np.array([t["df"] for t in ts], dtype=float), np.array([t["held"] for t in ts], dtype=float)
-            order = np.argsort(df, kind="stable")
-            h, df, held = h[order], df[order], held[order]
-            w, kind = np.log(1 + (n - df + 0.5) / (df + 0.5)), h & 3
-            titled, named = kind == TITLE, kind == AUTHOR
-            own_t, own_a = w[titled].sum(), w[named][:3].sum()
+            # rarest first; with each token its weight and the pairs of postings that looking it up joins
+            own = sorted((t["df"], t["h"], math.log(1 + (n - t["df"] + 0.5) / (t["df"] + 0.5)), t["held"] * (t["df"] - t["held"])) for t in ts)
+            titled, named = ([x for x in own if x[1] & 3 == k] for k in (TITLE, AUTHOR))
+            own_t, own_a = sum(x[2] for x in titled), sum(x[2] for x in named[:3])
+            looks = [x for x in own if x[1] & 3 in (AUTHOR, URL)]
             # words by falling weight; those without which a pair cannot reach the floor of the title
-            left = own_t - np.cumsum(w[titled]) + w[titled]
-            looked = named | (kind == URL)
-            looked[np.flatnonzero(titled)[left >= TITLE_FLOOR * own_t]] = True
-            heavy = titled & (df <= n / 10)
-            bits, weights, base = (h[heavy] >> 8) & 127, w[heavy], w[titled & ~heavy].sum()
-            for k, tier in enumerate(np.array_split(np.arange(len(bits)), _TIERS)):
-                low, high, same = _mask(bits[tier])
-                top = weights[tier].max() if len(tier) else 0.0
+            left = own_t
+            for x in titled:
+                if left < TITLE_FLOOR * own_t:
+                    break
+                looks.append(x)
+                left -= x[2]
+            heavy = [x for x in titled if x[0] <= n / 10]
+            base = sum(x[2] for x in titled) - sum(x[2] for x in heavy)
+            for k in range(_TIERS):
+                tier = heavy[len(heavy) * k // _TIERS : len(heavy) * (k + 1) // _TIERS]
+                low, high, same = _mask([(x[1] >> 8) & 127 for x in tier])
+                top = tier[0][2] if tier else 0.0
                 base += same * top
                 for c, x in ((f"low{k}", low), (f"high{k}", high), (f"top{k}", top)):
                     out[c].append(x)
-            low, _, same = _mask((h[named] >> 8) & 63)
-            top = w[named].max() if named.any() else 0.0
-            load = held * (df - held) / PART_LOAD
-            packed = np.empty(len(h), dtype=_ASKED)
-            packed["h"], packed["w"], packed["looked"] = h & 0xFFFFFFFF, w, looked
-            packed.sort(order="h")
+            low, _, same = _mask([(x[1] >> 8) & 63 for x in named])
+            top = named[0][2] if named else 0.0
+            chosen = {x[1] for x in looks}
+            packed = np.array(sorted((x[1] & 0xFFFFFFFF, x[2], x[1] in chosen) for x in own), dtype=_ASKED)
             row = {
                 "rec_id": rec_id, "year_r": year, "part_r": part, "own_t": own_t, "own_a": own_a, "names": low, "top_a": top, "more_a": same * top, "base": base,
-                "asked": packed.tobytes(), "looks": h[looked].tolist(), "levels": np.clip(np.ceil(np.log2(np.maximum(load[looked], 1))), 0, MOST_PARTS).astype(int).tolist(),
+                "asked": packed.tobytes(), "looks": [x[1] for x in looks], "levels": [min(MOST_PARTS, math.ceil(math.log2(max(1.0, x[3] / part_load)))) for x in looks],
             }
             for c, x in row.items():
                 out[c].append(x)
@@ -347,7 +352,7 @@ def _possible() -> Column:
     return (kind == URL) | by_names | by_title
 
 
-def scored_pairs(candidates: DataFrame, records: DataFrame) -> DataFrame:
+def scored_pairs(candidates: DataFrame, records: DataFrame, part_load: int = PART_LOAD) -> DataFrame:
     """The pairs above their floor with score and agreement of their attributes."""
     cands, recs = _profiles(candidates, "cand_id"), _profiles(records, "rec_id")
     tokens_c = cands.select("tokens").mapInArrow(_exploded, "h long, tf int").select("h", "tf", F.lit(0).alias("asks"))
@@ -362,7 +367,7 @@ def scored_pairs(candidates: DataFrame, records: DataFrame) -> DataFrame:
     length = max(1.0, (cands.agg(F.sum(F.length("tokens"))).first()[0] or 0) / _TOKEN.itemsize / max(1, n))
     queries = materialize(
         tokens_r.join(frequency, "h").groupBy(F.col("id").alias("rec_id"), "content", "part", "year").agg(F.collect_set(F.struct("h", "df", "held")).alias("ts"))
-        .mapInArrow(lambda it: _queries(it, n), _QUERY),
+        .mapInArrow(lambda it: _queries(it, n, part_load), _QUERY),
         "queries",
     )
     looked = queries.select(F.explode(F.arrays_zip("looks", "levels")).alias("x")).groupBy(F.shiftrightunsigned("x.looks", 64 - CELL_BITS).alias("cell")).agg((F.max("x.levels") + 1).cast("long").alias("v"))

@@ -316,7 +316,10 @@ def test_retrieval_equals_brute_force(spark):
 
     cands, recs = [row(i) for i in range(300)], [row(1000 + i) for i in range(120)]
     schema = "{} long, title string, authors string, year int, url string"
-    found = entity_match.scored_pairs(spark.createDataFrame([*cands, cands[0], (None, "x", None, None, None)], schema.format("cand_id")), spark.createDataFrame([*recs, recs[0]], schema.format("rec_id"))).collect()
+    sides = spark.createDataFrame([*cands, cands[0], (None, "x", None, None, None)], schema.format("cand_id")), spark.createDataFrame([*recs, recs[0]], schema.format("rec_id"))
+    found = entity_match.scored_pairs(*sides).collect()
+    # the same with every token cut into parts
+    assert {(x["cand_id"], x["rec_id"]) for x in entity_match.scored_pairs(*sides, part_load=20).collect()} == {(x["cand_id"], x["rec_id"]) for x in found}
     bags = {x[0]: set(entity_match.terms(*x[1:])) for x in [*cands, *recs]}
     df = collections.Counter(t for x in [*cands, cands[0], *recs, recs[0]] for t in bags[x[0]])
     n = len(cands) + len(recs) + 2
