@@ -190,18 +190,60 @@ def _confirmed(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int32())) for c in ("class_a", "class_b")], ["class_a", "class_b"])
 
 
+def _reach(equal, most: int) -> int:
+    """The largest m up to ``most`` for which ``equal(i, j)`` holds on all parts of [0, m)."""
+    low, high, step = 0, 0, 256
+    while low < most:
+        high = min(most, low + step)
+        if not equal(low, high):
+            break
+        low, step = high, 2 * step
+    else:
+        return most
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if equal(low, middle) else (low, middle)
+    return low
+
+
+def _extent(ta: str, a: int, tb: str, b: int) -> tuple[int, int]:
+    """How far the equal letters around a and b reach to the left and to the right."""
+    right = _reach(lambda i, j: ta[a + i : a + j] == tb[b + i : b + j], min(len(ta) - a, len(tb) - b))
+    return _reach(lambda i, j: ta[a - j : a - i] == tb[b - j : b - i], min(a, b)), right
+
+
+def _shared_spans(ta: str, tb: str, places: list[dict], span: int) -> tuple[list[int], list[int]]:
+    """The intervals of both texts that lie in a common run of ``span``, as flat lists.
+
+    Every such run holds a selected window, so runs are found by letters around
+    those; texts that repeat a window are compared on the hashes of all windows.
+    """
+    if any(REPEATED in p.values() for p in places):
+        ha, hb = window_hashes(ta, span), window_hashes(tb, span)
+        return _runs(np.isin(ha, hb), span).ravel().tolist(), _runs(np.isin(hb, ha), span).ravel().tolist()
+    ends: dict[int, int] = {}  # how far the last run reaches, by the distance of the places
+    out: tuple[list[int], list[int]] = ([], [])
+    for a, b in sorted((p["place_a"], p["place_b"]) for p in places):
+        if a < ends.get(a - b, 0):
+            continue
+        left, right = _extent(ta, a, tb, b)
+        ends[a - b] = a + right
+        if left + right >= span:
+            out[0].extend((a - left, a + right))
+            out[1].extend((b - left, b + right))
+    return out
+
+
 def _spanned(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans_a, spans_b = [], []
-        for ta, tb in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-            ha, hb = window_hashes(ta, span), window_hashes(tb, span)
-            spans_a.append(_runs(np.isin(ha, hb), span).ravel().tolist())
-            spans_b.append(_runs(np.isin(hb, ha), span).ravel().tolist())
+        columns = (batch.column(c).to_pylist() for c in ("text_a", "text_b", "places"))
+        found = [_shared_spans(ta, tb, places, span) for ta, tb, places in zip(*columns, strict=True)]
+        keep = pa.array([k for k, (x, _) in enumerate(found) if x], pa.int32())
         ints = pa.list_(pa.int32())
         yield pa.RecordBatch.from_pydict({
             "class_a": batch.column("class_a"), "class_b": batch.column("class_b"),
-            "spans_a": pa.array(spans_a, ints), "spans_b": pa.array(spans_b, ints),
-        })
+            "spans_a": pa.array([x for x, _ in found], ints), "spans_b": pa.array([y for _, y in found], ints),
+        }).take(keep)
 
 
 def _distinct(texts: DataFrame, span: int) -> DataFrame:
@@ -219,29 +261,30 @@ def _with_texts(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "class_a").join(side("b"), "class_b").where("main_a or main_b")
 
 
-def text_links(texts: DataFrame, span: int) -> DataFrame:
-    """Pairs ``(class_a, class_b)`` of different texts that share ``span`` characters.
+def _candidates(texts: DataFrame, span: int) -> DataFrame:
+    """Pairs of different texts with a selected window in common: ``class_a, class_b, text_a, text_b, places``.
 
     ``texts(text, main)``: only pairs with at least one ``main`` text count;
-    ``class`` is the 64-bit hash of a text (texts are told apart by their letters).  Candidates carry the places of the
-    windows they share, so letters are compared only around those.
+    ``class`` is the 64-bit hash of a text (texts are told apart by their letters).
+    Candidates carry the places of the windows they share, so letters are compared
+    only around those.
     """
     distinct = _distinct(texts, span)
     rows = distinct.select("class", "text", "main").mapInArrow(
         lambda it: _windows(it, span), "h long, class long, main boolean, place int"
     )
-    candidates = (
-        keyed_pairs(rows, "h", "class").where("main_a or main_b")
-        .groupBy("class_a", "class_b").agg(F.collect_set(F.struct("place_a", "place_b")).alias("places"))
-    )
-    both = _with_texts(candidates, distinct).select("class_a", "class_b", "text_a", "text_b", "places")
-    return materialize(both.mapInArrow(lambda it: _confirmed(it, span), "class_a long, class_b long"), "span-links")
+    met = keyed_pairs(rows, "h", "class").where("main_a or main_b").groupBy("class_a", "class_b").agg(F.collect_set(F.struct("place_a", "place_b")).alias("places"))
+    return _with_texts(met, distinct).select("class_a", "class_b", "text_a", "text_b", "places")
+
+
+def text_links(texts: DataFrame, span: int) -> DataFrame:
+    """Pairs ``(class_a, class_b)`` of different texts that share ``span`` characters."""
+    return materialize(_candidates(texts, span).mapInArrow(lambda it: _confirmed(it, span), "class_a long, class_b long"), "span-links")
 
 
-def link_spans(links: DataFrame, texts: DataFrame, span: int) -> DataFrame:
-    """The shared intervals of both texts of every link, as flat lists of start and end."""
-    both = _with_texts(links, _distinct(texts, span)).select("class_a", "class_b", "text_a", "text_b")
-    return both.mapInArrow(lambda it: _spanned(it, span), "class_a long, class_b long, spans_a array<int>, spans_b array<int>")
+def link_spans(texts: DataFrame, span: int) -> DataFrame:
+    """The pairs of :func:`text_links` with the shared intervals of both texts, as flat lists of start and end."""
+    return _candidates(texts, span).mapInArrow(lambda it: _spanned(it, span), "class_a long, class_b long, spans_a array<int>, spans_b array<int>")
 
 
 def _records(candidates: DataFrame, segments: DataFrame) -> DataFrame:
@@ -303,7 +346,7 @@ def shared_report(candidates: DataFrame, segments: DataFrame, span: int = 120) -
     viewers = seen.select("class", "viewer", "n_chars").distinct()
     holders = long.groupBy("class").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     texts = records.select("text", F.lit(True).alias("main"))
-    links = materialize(link_spans(text_links(texts, span), texts, span), "shared-spans")
+    links = materialize(link_spans(texts, span), "shared-spans")
     directed = links.select(F.col("class_a").alias("class"), F.col("class_b").alias("partner"), F.col("spans_a").alias("spans")).union(
         links.select("class_b", "class_a", "spans_b")
     )
