@@ -175,9 +175,11 @@ def score_pairs(candidates: DataFrame, papers: DataFrame) -> DataFrame:
 
     ``candidates(src_id, cand_id, title, abstract, arrival_seq, ...)``,
     ``papers(doc_id, title, abstract, body, keywords)``.  Candidates whose paper
-    is missing are dropped; a blank abstract scores 0 everywhere.
+    is missing are dropped; a blank abstract scores 0 everywhere; a repeated paper
+    counts once.
     """
-    sources = papers.select(
+    # texts are brought together by key before their fingerprints, which are larger, are made and joined
+    sources = papers.dropDuplicates(["doc_id"]).select(
         F.col("doc_id").alias("src_id"), F.concat_ws(" ", text("title"), text("abstract"), text("body")).alias("text"), "keywords"
     )
     texts = candidates.select("cand_id", text("abstract").alias("text")).dropDuplicates(["cand_id"])

@@ -32,7 +32,8 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    p = _papers(spark, d)
+    # by key before the fingerprints, which are larger than the texts and joined by it
+    p = _papers(spark, d).dropDuplicates(["doc_id"])
     return p.select(F.col("doc_id").alias("src_id"), T.source_text(F.col("title"), F.col("abstract"), F.col("body")).alias("text"))
 
 

@@ -27,7 +27,7 @@ def summary(report: DataFrame) -> DataFrame:
 
 def matched_segments(report: DataFrame, papers: DataFrame, candidates: DataFrame) -> DataFrame:
     """Matched paragraphs of the reported pairs only."""
-    sources = papers.select(F.col("doc_id").alias("src_id"), F.concat_ws(" ", text("title"), text("abstract"), text("body")).alias("text"))
+    sources = papers.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("src_id"), F.concat_ws(" ", text("title"), text("abstract"), text("body")).alias("text"))
     texts = candidates.select("cand_id", text("abstract").alias("text")).dropDuplicates(["cand_id"])
     return best_segments(report, sources, texts)
 

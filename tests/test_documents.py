@@ -68,3 +68,22 @@ def test_thesis_authors_and_years(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t array<string>")
     got = {r["k"]: (r["y"], r["a"]) for r in df.select("k", payloads.thesis_year(F.col("t")).alias("y"), payloads.thesis_author(F.col("t")).alias("a")).collect()}
     assert got == {0: (2011, ""), 1: (None, "Wang"), 2: (None, "甲乙丙丁戊己"), 3: (None, ""), 4: (None, "")}
+
+
+def test_gutter_bands_follow_the_page_width(spark):
+    import random
+
+    from lexiloom.operators import layout
+
+    r = random.Random(4)
+    pages = [(k, w, [round(r.uniform(0, w), 2) if r.random() < 0.3 else round(r.choice((0.1, 0.3, 0.52)) * w + r.uniform(0, 0.15 * w), 2) for _ in range(300)]) for k, w in enumerate((595.32, 612.0, 600.1, 419.53, 841.89))]
+    rows = [(k, 1, w, 800.0, "t", x, x + 5, 400.0, 410.0) for k, w, xs in pages for x in xs]
+    words = spark.createDataFrame(rows, "doc_id long, page int, page_w double, page_h double, text string, x0 double, x1 double, top double, bottom double")
+    got = {x["doc_id"]: x["split_x"] for x in layout.column_split(words).collect()}
+    for k, w, xs in pages:
+        starts = [w * 0.30]
+        while starts[-1] + w * 0.02 / 2 < w * 0.70:
+            starts.append(starts[-1] + w * 0.02 / 2)
+        counts = [sum(s <= x < s + w * 0.02 for x in xs) for s in starts]
+        least = counts.index(min(counts))
+        assert got[k] == (starts[least] + w * 0.02 / 2 if min(counts) / max(counts) < 0.10 else None)
