@@ -27,7 +27,7 @@ def summary(report: DataFrame) -> DataFrame:
 
 def matched_segments(report: DataFrame, papers: DataFrame, candidates: DataFrame) -> DataFrame:
     """Matched paragraphs of the reported pairs only."""
-    sources = papers.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("src_id"), F.concat_ws(" ", text("title"), text("abstract"), text("body")).alias("text"))
+    sources = papers.select(F.col("doc_id").alias("src_id"), F.concat_ws(" ", text("title"), text("abstract"), text("body")).alias("text"))
     texts = candidates.select("cand_id", text("abstract").alias("text")).dropDuplicates(["cand_id"])
     return best_segments(report, sources, texts)
 
@@ -38,7 +38,7 @@ def projection(report: DataFrame, segments: DataFrame, lang: str = "en") -> Data
         F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("o"), F.col("paragraph_index").alias("i")))).alias("ss")
     )
     one = lambda s: F.format_string("#%d(%d.%d%%)", s["i"] + 1, F.floor(-s["o"] / 10), -s["o"] % 10)
-    rows = report.join(listed, ["src_id", "cand_id"], "left")
+    rows = report.join(listed.hint("merge"), ["src_id", "cand_id"], "left")  # lists are estimated as one entry each
     return rows.select(
         "src_id", "rank",
         (F.col("score") / 10).alias(label("metric_combined", lang)), (F.col("tf") / 10).alias(label("metric_tfidf", lang)),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from lexiloom.functions import grams
-from lexiloom.operators import scoring
+from lexiloom.operators import scoring, segments
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,6 +27,22 @@ def test_scores_send_no_texts_or_grams_to_the_driver(spark, name):
     assert n > 0 and "BroadcastExchange" not in plan and "Generate" not in plan
 
 
+@pytest.mark.parametrize("name", ["detail_segments", "segment_top5"])
+def test_segments_leave_one_pass(spark, name):
+    n, plan = ran(contract.queries()[name](spark, DATA))
+    assert n > 0 and "BroadcastExchange" not in plan and "Generate" not in plan
+
+
+def test_a_pair_of_many_paragraphs_and_windows(spark):
+    paras = [f"Paragraph number {i} tells of item {i * 7} in box {i * 13} and shelf {i * 31} here." for i in range(300)]
+    s = spark.createDataFrame([(1, "\n\n".join(paras)), (2, "")], "src_id long, text string")
+    c = spark.createDataFrame([(7, " ".join(paras)), (8, paras[5]), (9, None)], "cand_id long, text string")
+    got = segments.best_segments(s.select("src_id").crossJoin(c.select("cand_id")), s, c, 2**31 - 1).collect()
+    assert sum(r["cand_id"] == 7 for r in got) == 300
+    best = max((r for r in got if r["cand_id"] == 8), key=lambda r: r["overlap"])
+    assert (best["paragraph_index"], best["overlap"], best["candidate_snippet"]) == (5, 1000, paras[5])
+
+
 def test_repeated_and_missing_sources(spark):
     s = spark.createDataFrame([(1, "apples and pears are fruit"), (1, "apples and pears are fruit"), (2, ""), (3, None)], "src_id long, text string")
     rows = spark.createDataFrame([(1, 5, "apples and pears are fruit"), (1, 6, None), (2, 5, "apples"), (3, 5, "x"), (4, 5, "apples"), (None, 5, "apples")], "src_id long, cand_id long, text string")
