@@ -351,7 +351,7 @@ def progress(spark: SparkSession, d: str) -> DataFrame:
 @query
 def report_projection(spark: SparkSession, d: str) -> DataFrame:
     c, p = _candidates(spark, d), _papers(spark, d)
-    rows = report.ranked_report(c, p)
+    rows = storage.materialize(report.ranked_report(c, p), "report")  # read twice
     return report.projection(rows, report.matched_segments(rows, p, c)).withColumn("rank", F.col("rank").cast("long"))
 
 

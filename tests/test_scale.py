@@ -27,7 +27,7 @@ def test_scores_send_no_texts_or_grams_to_the_driver(spark, name):
     assert n > 0 and "BroadcastExchange" not in plan and "Generate" not in plan
 
 
-@pytest.mark.parametrize("name", ["detail_segments", "segment_top5"])
+@pytest.mark.parametrize("name", ["detail_segments", "segment_top5", "report_projection"])
 def test_segments_leave_one_pass(spark, name):
     n, plan = ran(contract.queries()[name](spark, DATA))
     assert n > 0 and "BroadcastExchange" not in plan and "Generate" not in plan
