@@ -16,7 +16,7 @@ def ran(df):
     return n, df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["ranked_report", "detail_view", "tfidf_cosine", "fingerprint_jaccard"])
+@pytest.mark.parametrize("name", ["ranked_report", "risk_tier_summary", "detail_view", "tfidf_cosine", "fingerprint_jaccard"])
 def test_scores_send_no_texts_or_grams_to_the_driver(spark, name):
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")  # Spark's own
