@@ -33,6 +33,11 @@ def test_segments_leave_one_pass(spark, name):
     assert n > 0 and "BroadcastExchange" not in plan and "Generate" not in plan
 
 
+def test_topk_ships_neither_side_once_for_each_block_of_the_other(spark):
+    n, plan = ran(contract.queries()["topk_fingerprint"](spark, DATA))
+    assert n > 0 and "CoGroup" not in plan and "Generate" not in plan
+
+
 def test_a_pair_of_many_paragraphs_and_windows(spark):
     paras = [f"Paragraph number {i} tells of item {i * 7} in box {i * 13} and shelf {i * 31} here." for i in range(300)]
     s = spark.createDataFrame([(1, "\n\n".join(paras)), (2, "")], "src_id long, text string")
