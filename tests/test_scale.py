@@ -16,7 +16,7 @@ def ran(df):
     return n, df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["ranked_report", "risk_tier_summary", "detail_view", "tfidf_cosine", "fingerprint_jaccard"])
+@pytest.mark.parametrize("name", ["ranked_report", "risk_tier_summary", "detail_view", "streamed_scores", "tfidf_cosine", "fingerprint_jaccard"])
 def test_scores_send_no_texts_or_grams_to_the_driver(spark, name):
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")  # Spark's own
@@ -27,6 +27,12 @@ def test_scores_send_no_texts_or_grams_to_the_driver(spark, name):
     assert n > 0 and "BroadcastExchange" not in plan and "Generate" not in plan
 
 
+def test_a_batch_of_the_stream_sends_nothing_to_the_driver(spark):
+    candidates, papers = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("candidates", "papers"))
+    n, plan = ran(scoring.score_pairs(scoring.first_arrivals(candidates), papers))
+    assert n > 0 and "BroadcastExchange" not in plan and "Generate" not in plan
+
+
 @pytest.mark.parametrize("name", ["detail_segments", "segment_top5", "report_projection"])
 def test_segments_leave_one_pass(spark, name):
     n, plan = ran(contract.queries()[name](spark, DATA))
