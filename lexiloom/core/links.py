@@ -7,8 +7,9 @@ rows times a block, and no key's rows are ever collected into one list.
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +44,25 @@ def _pairs_within(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.nd
             yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _paired(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+#: Which of the pairs (row numbers of a batch) are to be kept.
+Keep = Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _paired(batches: Iterator[pa.RecordBatch], block: int, keep: Keep | None = None, carried: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     """Pairs of the rows of each key, from rows sorted by key (the first column).
 
     Rows of keys with more than ``block`` rows come out alone, with their key.
+    The ``carried`` columns are null in pairs.
     """
     carry, hot = None, None
 
     def out(rows: pa.RecordBatch, left: np.ndarray, right: np.ndarray | None) -> pa.RecordBatch:
         at = pa.array(left)
         keys = pa.nulls(len(left), rows.column(0).type) if right is not None else rows.column(0).take(at)
-        a = [rows.column(k).take(at) for k in range(1, rows.num_columns)]
-        b = [rows.column(k).take(pa.array(right)) if right is not None else pa.nulls(len(left), rows.column(k).type) for k in range(1, rows.num_columns)]
+        bare = [right is not None and rows.schema.names[k] in carried for k in range(rows.num_columns)]
+        none = lambda k: pa.nulls(len(left), rows.column(k).type)
+        a = [none(k) if bare[k] else rows.column(k).take(at) for k in range(1, rows.num_columns)]
+        b = [none(k) if bare[k] or right is None else rows.column(k).take(pa.array(right)) for k in range(1, rows.num_columns)]
         return pa.RecordBatch.from_arrays([keys, *a, *b], ["_key", *(f"{c}_{x}" for x in "ab" for c in rows.schema.names[1:])])
 
     for batch in itertools.chain(batches, [None]):
@@ -76,10 +84,17 @@ def _paired(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Record
         if large.any():
             yield out(rows, np.flatnonzero(np.repeat(large, sizes)), None)
         for left, right in _pairs_within(sizes[small], starts[small]):
-            yield out(rows, left, right)
+            if keep is not None:
+                kept = keep(rows, left, right)
+                left, right = left[kept], right[kept]
+            if len(left):
+                yield out(rows, left, right)
 
 
-def keyed_pairs(rows: DataFrame, key: str, order: str, block: int = BLOCK) -> DataFrame:
+def keyed_pairs(
+    rows: DataFrame | list[DataFrame], key: str, order: str, block: int = BLOCK,
+    keep: tuple[Keep, Column] | None = None, carried: tuple[str, ...] = (), drop_shuffles: bool = False,
+) -> DataFrame:
     """Pairs of rows with one key, each once: ``<c>_a, <c>_b`` of the other columns, ``order_a < order_b``.
 
     Rows are shuffled and sorted by key once; a pass over the sorted rows pairs
@@ -87,13 +102,25 @@ def keyed_pairs(rows: DataFrame, key: str, order: str, block: int = BLOCK) -> Da
     key of more than ``block`` rows is left out of that pass and joined with
     itself in blocks on both sides, so a task joins at most about ``block`` rows of
     a key with as many.  Rows with a null key are in no pair.
+
+    ``keep`` chooses among the pairs before any is written, in the pass and, for
+    large keys, as a condition on ``<c>_a, <c>_b``; the ``carried`` columns are
+    there for that choice and do not come out.  Of several tables, which have no
+    key in common, one at a time is shuffled and paired.
     """
-    names = [c for c in rows.columns if c != key]
-    kind = lambda c: rows.schema[c].dataType.simpleString()
+    tables = rows if isinstance(rows, list) else [rows]
+    names = [c for c in tables[0].columns if c != key]
+    kind = lambda c: tables[0].schema[c].dataType.simpleString()
     schema = f"_key {kind(key)}, " + ", ".join(f"{c}_{x} {kind(c)}" for x in "ab" for c in names)
-    ordered = rows.where(F.col(key).isNotNull()).select(key, *names).repartition(F.col(key)).sortWithinPartitions(key, order)
-    met = materialize(ordered.mapInArrow(lambda it: _paired(it, block), schema), "pairs")
-    few = met.where("_key is null").where(F.col(f"{order}_a") < F.col(f"{order}_b")).drop("_key")
+    chosen, condition = keep or (None, F.lit(True))
+
+    def passed(df: DataFrame) -> DataFrame:
+        ordered = df.where(F.col(key).isNotNull()).select(key, *names).repartition(F.col(key)).sortWithinPartitions(key, order)
+        return materialize(ordered.mapInArrow(lambda it: _paired(it, block, chosen, carried), schema), "pairs", drop_shuffles)
+
+    met = functools.reduce(DataFrame.unionByName, [passed(df) for df in tables])
+    hidden = [f"{c}_{x}" for c in carried for x in "ab"]
+    few = met.where("_key is null").where(F.col(f"{order}_a") < F.col(f"{order}_b")).drop("_key", *hidden)
     large = met.where("_key is not null").select("_key", *(F.col(f"{c}_a").alias(c) for c in names))
     counted = large.join(large.groupBy("_key").agg(F.ceil(F.count("*") / block).cast("int").alias("_n")), "_key")
 
@@ -101,8 +128,8 @@ def keyed_pairs(rows: DataFrame, key: str, order: str, block: int = BLOCK) -> Da
         cut = _cut(counted, F.col("_n"), mine, other)
         return cut.select("_key", "_p", "_q", *(F.col(c).alias(f"{c}_{x}") for c in names))
 
-    many = side("a", "_p", "_q").join(side("b", "_q", "_p"), ["_key", "_p", "_q"]).where(F.col(f"{order}_a") < F.col(f"{order}_b"))
-    return few.unionByName(many.drop("_key", "_p", "_q"))
+    many = side("a", "_p", "_q").join(side("b", "_q", "_p"), ["_key", "_p", "_q"]).where((F.col(f"{order}_a") < F.col(f"{order}_b")) & condition)
+    return few.unionByName(many.drop("_key", "_p", "_q", *hidden))
 
 
 def expand_links(links: DataFrame, left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -143,12 +170,29 @@ def member_pairs(links: DataFrame, members: DataFrame, block: int = BLOCK) -> Da
     ``links(class_a, class_b)`` may hold a class with itself; ``members(class,
     id)``.
     """
+    return _members_met(links, members, members, block).distinct()
+
+
+def _members_met(links: DataFrame, left: DataFrame, right: DataFrame, block: int) -> DataFrame:
     both = expand_links(
-        links, members.withColumnRenamed("id", "id_l"), members.withColumnRenamed("id", "id_r"), block
+        links, left.withColumnRenamed("id", "id_l"), right.withColumnRenamed("id", "id_r"), block
     ).where("id_l < id_r or id_l > id_r and class_a <> class_b")
-    return both.select(
-        F.least("id_l", "id_r").alias("id_a"), F.greatest("id_l", "id_r").alias("id_b")
-    ).distinct()
+    return both.select(F.least("id_l", "id_r").alias("id_a"), F.greatest("id_l", "id_r").alias("id_b"))
+
+
+def member_pairs_once(links: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """:func:`member_pairs` for written tables of distinct links, each in one direction, and distinct members.
+
+    ``members(class, id, several)``: whether the id is in several classes.  Pairs
+    of ids of one class each are distinct as they are made and are not shuffled
+    again, however many there are; only pairs of ids in several classes are.
+    """
+    one, more = members.where("not several").drop("several"), members.where("several").drop("several")
+    pairs = _members_met(links, one, one, block)
+    if more.isEmpty():
+        return pairs
+    others = _members_met(links, more, members.drop("several"), block).union(_members_met(links, one, more, block))
+    return pairs.union(others.distinct())
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

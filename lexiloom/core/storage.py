@@ -56,16 +56,26 @@ def _clear_at_end(spark: SparkSession) -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back.
 
     This cuts the lineage: the files survive the loss of any executor, and every
-    later use reads them instead of computing ``df`` again.
+    later use reads them instead of computing ``df`` again.  With
+    ``drop_shuffles`` the shuffle files of the write are deleted at its end; else
+    they stay until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     if spark.sparkContext.applicationId not in _seen:
         _seen.add(spark.sparkContext.applicationId)
         atexit.register(_clear_at_end, spark)
     path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    try:
+        spark.conf.set(_CLEANUP, "true" if drop_shuffles else before)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

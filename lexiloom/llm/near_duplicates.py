@@ -10,11 +10,15 @@ whose estimate reaches the threshold less a margin of standard errors are
 checked exactly on the word hashes.
 
 Scale.  The texts are tokenized once; their word hashes are written to the
-shared folder and shuffled once by class, the band rows once by key.  No group
-is collected: keys of one class end after that shuffle, hot keys are cut into
-blocks on both sides of the join, and a test of the sets' sizes precedes the
-exact one.  Classes are told apart by the sets themselves, their 64-bit
-hashes only route them.
+shared folder and shuffled once by class, the band rows once by key.  Texts
+that share only common words meet in some band as often as the square of their
+number, so no such pair is ever written: signatures travel with the band rows
+and are compared where two rows meet.  For that the bands are passed in PASSES
+parts, and the shuffle files of one are deleted before the next.  No group
+is collected: hot keys are cut into blocks on both sides of the join, and a
+test of the sets' sizes precedes the exact one.  Pairs of copies, whose number
+may exceed the input by far, are not shuffled once made.  Classes are told apart
+by the sets themselves, their 64-bit hashes only route them.
 
 Records with null or empty texts, or with fewer words than ``min_words``, are
 in no pair and form groups of their own.  Repeated ids count once.
@@ -27,9 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexiloom.core.links import components, keyed_pairs, member_pairs
+from lexiloom.core.links import components, keyed_pairs, member_pairs_once
 from lexiloom.core.storage import materialize
 from lexiloom.llm.words import WordHasher, words_of
 
@@ -40,6 +44,9 @@ _PLUS = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
 #: Each round deals all minima into bands of ROWS.
 BANDS = np.concatenate([_rng.permutation(MINIMA).reshape(-1, ROWS) for _ in range(ROUNDS)])
 _FOLD = _rng.integers(1, 2**63, (len(BANDS), ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Parts in which the bands are shuffled, one at a time; rows of a key that one task pairs.
+PASSES, BLOCK = 4, 16_000
+SIGNATURE = tuple(f"s{k}" for k in range(MINIMA * BITS // 64))
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -49,23 +56,24 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """The MINIMA least hash values (32 bits each) of every set, none empty."""
+def minima(sets: list[np.ndarray], of: np.ndarray | None = None) -> np.ndarray:
+    """The MINIMA least hash values (32 bits each) of every set, none empty; 0 for those not named in ``of``."""
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     x = _spread(np.concatenate(sets))
-    out = np.empty((len(sets), MINIMA), dtype=np.uint32)
-    for k in range(MINIMA):
+    out = np.zeros((len(sets), MINIMA), dtype=np.uint32)
+    for k in range(MINIMA) if of is None else of:
         out[:, k] = np.minimum.reduceat(((x * _MULT[k] + _PLUS[k]) >> np.uint64(32)).astype(np.uint32), starts)
     return out
 
 
-def band_keys(low: np.ndarray) -> np.ndarray:
-    """A 64-bit key of every band of every row of minima."""
-    keys = np.empty((len(low), len(BANDS)), dtype=np.uint64)
-    for b, rows in enumerate(BANDS):
-        h = (low[:, rows].astype(np.uint64) * _FOLD[b]).sum(axis=1, dtype=np.uint64) + np.uint64(b)
+def band_keys(low: np.ndarray, bands: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit key of every band (or of those named) of every row of minima."""
+    bands = np.arange(len(BANDS)) if bands is None else bands
+    keys = np.empty((len(low), len(bands)), dtype=np.uint64)
+    for at, b in enumerate(bands):
+        h = (low[:, BANDS[b]].astype(np.uint64) * _FOLD[b]).sum(axis=1, dtype=np.uint64) + np.uint64(b)
         h ^= h >> np.uint64(29)
-        keys[:, b] = h * np.uint64(0xBF58476D1CE4E5B9)
+        keys[:, at] = h * np.uint64(0xBF58476D1CE4E5B9)
     return keys.view(np.int64)
 
 
@@ -99,23 +107,21 @@ def _blocks(batch: pa.RecordBatch, size: int = 1024) -> Iterator[tuple[pa.Record
         yield part, [np.frombuffer(b, dtype=np.uint32) for b in part.column("words").to_pylist()]
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(batches: Iterator[pa.RecordBatch], bands: np.ndarray) -> Iterator[pa.RecordBatch]:
+    of = np.unique(BANDS[bands])
     for batch in batches:
         for part, sets in _blocks(batch):
-            keys = band_keys(minima(sets))
-            width = keys.shape[1]
-            yield pa.RecordBatch.from_pydict({
-                "key": pa.array(keys.ravel()),
-                "class": pa.array(np.repeat(part.column("class").to_numpy(), width)),
-            })
+            keys = band_keys(minima(sets, of), bands)
+            again = {c: pa.array(np.repeat(part.column(c).to_numpy(), keys.shape[1])) for c in ("class", *SIGNATURE)}
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), **again})
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, sets in _blocks(batch):
             sig = packed(minima(sets))
-            cols = {f"s{k}": pa.array(np.ascontiguousarray(sig[:, k])) for k in range(sig.shape[1])}
-            yield pa.RecordBatch.from_pydict({"class": part.column("class"), "n": pa.array([len(s) for s in sets], pa.int32()), **cols})
+            cols = {c: pa.array(np.ascontiguousarray(sig[:, k])) for k, c in enumerate(SIGNATURE)}
+            yield pa.RecordBatch.from_pydict({"class": part.column("class"), "words": part.column("words"), **cols})
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +138,16 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
+def agreeing(rows: pa.RecordBatch, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows have signatures with at least ``least`` equal positions."""
+    differing = np.zeros(len(left), np.uint8)
+    for c in SIGNATURE:
+        s = rows.column(c).to_numpy().view(np.uint64)
+        x = s[left] ^ s[right]
+        differing += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+    return differing <= MINIMA - least
+
+
 def equal_positions(words: int) -> Column:
     """How many of the packed positions agree, by bit counts over ``words`` words."""
     total = None
@@ -156,32 +172,27 @@ def word_sets(df: DataFrame, key: str, fields: tuple[str, ...], min_words: int)
 
 def class_links(sets: DataFrame, threshold: float, sigmas: float = 4.5) -> DataFrame:
     """Verified links ``(class_a, class_b, similarity)`` between different word sets."""
-    # the filter, which the joins would add, makes all uses share one exchange
+    signature = ", ".join(f"{c} long" for c in SIGNATURE)
     distinct = sets.where("class is not null").select("class", "words").distinct()
-    rows = distinct.mapInArrow(_banded, "key long, class long")
-    candidates = (
-        keyed_pairs(rows, "key", "class")
-        .select("class_a", "class_b")
-        .distinct()
-    )
-    words = MINIMA * BITS // 64
-    signed = distinct.mapInArrow(_signed, "class long, n int, " + ", ".join(f"s{k} long" for k in range(words)))
+    signed = materialize(distinct.mapInArrow(_signed, f"class long, words binary, {signature}"), "classes", drop_shuffles=True)
 
-    def side(of: DataFrame, x: str) -> DataFrame:
-        return of.select(*(F.col(c).alias(f"{c}_{x}") for c in of.columns))
+    def side(x: str) -> DataFrame:
+        return signed.select(F.col("class").alias(f"class_{x}"), F.col("words").alias(f"words_{x}"))
 
     # estimate = (share of equal positions - chance) / (1 - chance)
     chance = 2.0**-BITS
     expected = threshold + (1 - threshold) * chance
     margin = sigmas * (expected * (1 - expected) / MINIMA) ** 0.5
-    near = (
-        candidates.join(side(signed, "a"), "class_a").join(side(signed, "b"), "class_b")
-        .where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-        .where(equal_positions(words) >= MINIMA * (expected - margin))
-        .select("class_a", "class_b")
-    )
+    least = MINIMA * (expected - margin)
+    rows = [
+        signed.mapInArrow(lambda it, bands=bands: _banded(it, bands), f"key long, class long, {signature}")
+        for bands in np.array_split(np.arange(len(BANDS)), PASSES)
+    ]
+    keep = (lambda *pairs: agreeing(*pairs, least)), equal_positions(len(SIGNATURE)) >= least
+    near = keyed_pairs(rows, "key", "class", BLOCK, keep, SIGNATURE, drop_shuffles=True).distinct()
     exact = (
-        near.join(side(distinct, "a"), "class_a").join(side(distinct, "b"), "class_b")
+        near.join(side("a"), "class_a").join(side("b"), "class_b")
+        .where(F.least(F.length("words_a"), F.length("words_b")) >= threshold * F.greatest(F.length("words_a"), F.length("words_b")))
         .select("class_a", "class_b", "words_a", "words_b")
         .mapInArrow(_exact, "class_a long, class_b long, n_a int, n_b int, common int")
     )
@@ -198,11 +209,14 @@ def near_duplicate_pairs(
     set; their pairs are written out, as the form of the result asks.
     """
     sets = word_sets(df, key, fields, min_words)
-    members = sets.select("class", "id").distinct()
-    links = class_links(sets, threshold).select("class_a", "class_b")
+    # an id with several texts is in several classes
+    of_id = Window.partitionBy("id")
+    placed = sets.select("class", "id").repartition(F.col("id")).distinct()
+    members = materialize(placed.withColumn("several", F.min("class").over(of_id) < F.max("class").over(of_id)), "members", drop_shuffles=True)
+    links = class_links(sets, threshold).select("class_a", "class_b").distinct()
     alike = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
     within = alike.select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
-    return member_pairs(materialize(links.union(within), "links"), members)
+    return member_pairs_once(materialize(links.union(within), "links", drop_shuffles=True), members)
 
 
 def near_duplicate_groups(
