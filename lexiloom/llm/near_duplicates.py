@@ -45,7 +45,7 @@ _PLUS = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
 BANDS = np.concatenate([_rng.permutation(MINIMA).reshape(-1, ROWS) for _ in range(ROUNDS)])
 _FOLD = _rng.integers(1, 2**63, (len(BANDS), ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Parts in which the bands are shuffled, one at a time; rows of a key that one task pairs.
-PASSES, BLOCK = 4, 16_000
+PASSES, BLOCK = 7, 16_000
 SIGNATURE = tuple(f"s{k}" for k in range(MINIMA * BITS // 64))
 
 
